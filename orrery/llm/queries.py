@@ -7,6 +7,7 @@ import importlib
 #: Module and query of each operator.
 OPERATORS = [
     ("sharding", "op8_jump_sharding"),
+    ("license_scan", "op9_license_scan"),
 ]
 
 
