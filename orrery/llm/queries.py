@@ -6,6 +6,7 @@ import importlib
 
 #: Module and query of each operator.
 OPERATORS = [
+    ("packing", "op2_pack_sequences"),
     ("media", "op7_webp_media"),
     ("sharding", "op8_jump_sharding"),
     ("license_scan", "op9_license_scan"),
