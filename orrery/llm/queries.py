@@ -7,6 +7,7 @@ import importlib
 #: Module and query of each operator.
 OPERATORS = [
     ("packing", "op2_pack_sequences"),
+    ("token_counts", "op3_token_counts"),
     ("media", "op7_webp_media"),
     ("sharding", "op8_jump_sharding"),
     ("license_scan", "op9_license_scan"),
