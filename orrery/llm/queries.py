@@ -8,6 +8,7 @@ import importlib
 OPERATORS = [
     ("packing", "op2_pack_sequences"),
     ("token_counts", "op3_token_counts"),
+    ("language_id", "op5_language_id"),
     ("media", "op7_webp_media"),
     ("sharding", "op8_jump_sharding"),
     ("license_scan", "op9_license_scan"),
