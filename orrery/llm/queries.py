@@ -11,6 +11,7 @@ OPERATORS = [
     ("token_counts", "op3_token_counts"),
     ("language_id", "op5_language_id"),
     ("media", "op7_webp_media"),
+    ("suffix_dedup", "op10_suffix_dedup"),
     ("sharding", "op8_jump_sharding"),
     ("license_scan", "op9_license_scan"),
 ]
