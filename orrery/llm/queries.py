@@ -10,6 +10,7 @@ OPERATORS = [
     ("packing", "op2_pack_sequences"),
     ("token_counts", "op3_token_counts"),
     ("language_id", "op5_language_id"),
+    ("chat_format", "op6_chat_format"),
     ("media", "op7_webp_media"),
     ("suffix_dedup", "op10_suffix_dedup"),
     ("sharding", "op8_jump_sharding"),
