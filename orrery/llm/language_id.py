@@ -190,13 +190,16 @@ def fit(samples: list[tuple[bytes, str]], t: Training = Training()) -> Network |
 
 def sample(docs: DataFrame, key: str, text: str, label: str, usable, t: Training) -> list[tuple[bytes, str]]:
     """At most ``t.documents * t.windows`` (window, label) pairs of usable labelled rows."""
-    order = F.xxhash64(F.col(key).cast("string"), F.lit(t.seed))
-    rows = docs.filter(usable & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(text, F.col(label).alias("label"), order.alias("order"))
-    rows = rows.orderBy("order", "label", F.crc32(F.col(text).cast("binary"))).limit(t.documents)
-    size = F.octet_length(text)
-    raw = F.col(text).cast("binary")
-    cut = lambda i: F.substring(raw, 1 + F.pmod(F.xxhash64("order", F.lit(i)), F.greatest(size - F.lit(t.width - 1), F.lit(1))).cast("int"), F.lit(t.width))
-    got = rows.select("label", F.array(*(cut(i) for i in range(t.windows))).alias("windows")).collect()
+    usable = usable & F.col(label).isNotNull()
+    n = docs.filter(usable).count()
+    if not n:
+        return []
+    # rows whose hash is small enough for four times the documents wanted: what reaches the driver doesn't grow with the input
+    order, size, raw = F.xxhash64(F.col(key).cast("string"), F.lit(t.seed)), F.octet_length(text), F.col(text).cast("binary")
+    few = F.pmod(order, F.lit(1 << 31)) < min(1.0, 4 * t.documents / n) * (1 << 31)
+    cut = lambda i: F.substring(raw, 1 + F.pmod(F.xxhash64(order, F.lit(i)), F.greatest(size - F.lit(t.width - 1), F.lit(1))).cast("int"), F.lit(t.width))
+    rows = docs.filter(usable & few & F.col(text).rlike(r"\p{L}")).select(F.col(label).alias("label"), order.alias("order"), F.array(*(cut(i) for i in range(t.windows))).alias("windows"))
+    got = rows.orderBy("order", "label", "windows").limit(t.documents).select("label", "windows").collect()
     return [(bytes(w), r["label"]) for r in got for w in r.windows]
 
 
