@@ -47,7 +47,7 @@ STRETCH, MARK, BEACON = 0, 1, 2
 class Settings:
     length: int = 100
     gram: int = 24
-    flush: int = 600_000  # stretches that a task holds at once
+    flush: int = 150_000  # stretches that a task holds at once
     hot: int = 256  # contents of one minimiser in a flush from which on they are dealt out by content
     unit: int = 4 << 20  # bytes of a long document that are looked at together
     part: int = 20_000  # contents of one minimiser that are sorted together
@@ -144,7 +144,8 @@ def _scan(s: Settings):
         _, place, counts = np.unique(gram, return_inverse=True, return_counts=True)
         hot = counts[place] > s.hot
         salt = np.where(hot, 1 + (content & 1023), 0)
-        yield _rows(STRETCH, salt, gram, content, doc, lo, hi, at)
+        for i in range(0, len(gram), 20_000):
+            yield _rows(STRETCH, *(c[i : i + 20_000] for c in (salt, gram, content, doc, lo, hi, at)))
         if hot.any():
             beacons = np.unique(gram[hot])
             yield _rows(BEACON, 0, beacons, np.iinfo(np.int64).min, np.zeros(len(beacons)), 0, 0, np.zeros(len(beacons)))
