@@ -7,6 +7,7 @@ import importlib
 #: Module and query of each operator.
 OPERATORS = [
     ("near_dedup", "op1_minhash_dedup"),
+    ("decontaminate", "op4_decontaminate"),
     ("packing", "op2_pack_sequences"),
     ("token_counts", "op3_token_counts"),
     ("language_id", "op5_language_id"),
