@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
+from orrery.llm.store import on_workers
+
 #: Module and query of each operator.
 OPERATORS = [
     ("near_dedup", "op1_minhash_dedup"),
@@ -19,8 +22,19 @@ OPERATORS = [
 ]
 
 
+def visible(function):
+    """The function, with this package made importable for Python workers first."""
+
+    @functools.wraps(function)
+    def run(spark, *rest):
+        on_workers(spark)
+        return function(spark, *rest)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"orrery.llm.{module}"), name) for module, name in OPERATORS}
+    return {name: visible(getattr(importlib.import_module(f"orrery.llm.{module}"), name)) for module, name in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

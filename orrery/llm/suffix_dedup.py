@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -371,7 +372,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", set
     return marks.union(compared.frame().filter(F.col("kind") == MARK).select("doc", "lo", "hi")).union(late)
 
 
-def _cut(names: list[str], whole_characters: bool):
+OUT = ("n_bytes", "n_removed", "n_spans", "kept")
+
+
+def _cut(names: list[str], whole_characters: bool, out: tuple[str, ...]):
     """Applies spans to texts: (other columns, text, spans) to (other columns, n_bytes, n_removed, n_spans, kept)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,23 +405,39 @@ def _cut(names: list[str], whole_characters: bool):
             removed = to[offsets[1:]] - to[offsets[:-1]]
             n_spans = np.bincount(row[hi > lo], minlength=len(sizes))
             kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets - to[offsets]), pa.py_buffer(data[~gone])])
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(np.diff(offsets)), pa.array(removed), pa.array(n_spans), kept.cast(pa.binary())], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
+            kept = pc.if_else(b.column(k).is_null(), pa.scalar(None, pa.binary()), kept.cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(np.diff(offsets)), pa.array(removed), pa.array(n_spans), kept], names=[*names, *out])
 
     return run
 
 
-def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings(), keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
-    """Per row: doc (the key), the columns to keep, n_bytes, n_removed, n_spans, kept (the remaining bytes).
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings(), keep: tuple[str, ...] = (), whole_characters: bool = False, out: tuple[str, ...] = OUT) -> DataFrame:
+    """Per row: the key, the columns to keep, and n_bytes, n_removed, n_spans, kept (the remaining bytes; null for null), named ``out``.
 
     ``whole_characters``: a span gives up bytes at its ends rather than cut a character.
     """
     spans = repeated_spans(docs, key, text, settings).groupBy(F.col("doc").alias("span_doc_")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans_"))
     names = [key, *keep]
-    joined = docs.select(*names, F.col(text).cast("binary").alias("text_")).join(spans, F.col(key).cast("long") == F.col("span_doc_"), "left").select(*names, "text_", "spans_")
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())])
-    return joined.mapInArrow(_cut(names, whole_characters), schema)
+    rows = docs.select(*names, F.col(text).cast("binary").alias("_text"))
+    joined = rows.join(spans, rows[key].cast("long") == spans["span_doc_"], "left").select(*(rows[c] for c in names), rows["_text"], spans["spans_"])
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in out[:3]] + [T.StructField(out[3], T.BinaryType())])
+    return joined.mapInArrow(_cut(names, whole_characters, out), schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return cut_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
+
+
+def repeats_stage(docs: DataFrame, settings: Settings = Settings(length=200, gram=48)) -> DataFrame:
+    """The documents without their repeated strings of 200 bytes and more, about 30 words.
+
+    ``n_chars`` follows the text.  A document of which nothing is left goes.
+    """
+    names = docs.columns
+    out = tuple(c + "_" * (1 + max(map(len, names))) for c in OUT)  # no name of the input
+    cut = cut_repeats(docs, settings=settings, keep=tuple(c for c in names if c not in ("doc_id", "text")), whole_characters=True, out=out)
+    changed = F.col(out[1]) > 0
+    text = F.col(out[3]).cast("string")
+    new = {"text": text, "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
+    return cut.filter(~changed | (F.octet_length(out[3]) > 0)).select(*(new[c].alias(c) if c in new else F.col(c) for c in names))
