@@ -144,18 +144,24 @@ def levels(found: DataFrame) -> DataFrame:
     nodes = Table(once, "events")
     there = nodes.frame().select(F.col("event_id").alias("jump"))
     start = nodes.frame().join(there, F.col("waits_for") == F.col("jump"), "left").select("event_id", "jump", F.col("jump").isNotNull().cast("long").alias("level"))
-    now, n = Table(start, "levels"), None
+    rounds, n = [Table(start, "levels")], None
     nodes.drop()
-    for _ in range(64):
-        open_, total = now.frame().agg(F.count("jump"), F.count("*")).first()
-        n = n or total
-        if not open_ or _ > math.ceil(math.log2(n + 1)) + 1:
+    while True:
+        # a round's rows that have arrived stay in its table; only the others go on
+        moving = rounds[-1].frame().filter("jump is not null")
+        left = moving.count()
+        n = n or left
+        if not left or len(rounds) > math.ceil(math.log2(n + 1)) + 2:
             break
-        a, b = now.frame(), now.frame().select(F.col("event_id").alias("at"), F.col("jump").alias("next"), F.col("level").alias("more"))
-        after = Table(a.join(b, F.col("jump") == F.col("at"), "left").select("event_id", F.col("next").alias("jump"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "levels")
-        now.drop()
-        now = after
-    return now.frame().select("event_id", F.when(F.col("jump").isNull(), F.col("level")).alias("level"))
+        known = moving
+        for t in rounds:
+            known = known.union(t.frame().filter("jump is null"))
+        known = known.select(F.col("event_id").alias("at"), F.col("jump").alias("next"), F.col("level").alias("more"))
+        rounds.append(Table(moving.join(known, F.col("jump") == F.col("at")).select("event_id", F.col("next").alias("jump"), (F.col("level") + F.col("more")).alias("level")), "levels"))
+    out = moving.select("event_id", F.lit(None).cast("long").alias("level"))
+    for t in rounds:
+        out = out.union(t.frame().filter("jump is null").select("event_id", "level"))
+    return out
 
 
 def format_chat(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
