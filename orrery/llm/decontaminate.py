@@ -2,9 +2,9 @@
 
 1. Words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, letters of ASCII and Latin-1 lower-cased) of every document are hashed;
    document frequencies of their buckets are counted over all documents.
-2. Passages of a fixed number of words become TF-IDF rows.  A randomised SVD of
-   all passages is computed in two distributed passes: tasks send sums of the size
-   of the basis, never rows.
+2. Passages of a fixed number of words become TF-IDF rows, each divided by the root
+   of its words' squared weights.  A randomised SVD of all passages is computed in
+   two distributed passes: tasks send sums of the size of the basis, never rows.
 3. Windows of two widths over whole documents, a step of words apart, are
    projected (divided by the singular values, so that no direction dominates) and
    compared with the benchmark's items by cosine.
@@ -32,14 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm.store import Table
-from orrery.llm.textops import ALNUM, LOWER, blocks, hash_spans, runs, text_bytes
+from orrery.llm.textops import ALNUM, LOWER, blocks, hash_spans, mix, runs, text_bytes
 
 
 @dataclass(frozen=True)
 class Settings:
     buckets: int = 1 << 13
-    rank: int = 96
+    rank: int = 256
     extra: int = 16  # further directions of the random basis
+    signs: int = 4  # random combinations that a row is added to
     passage: int = 48  # words of a row of the matrix
     step: int = 16  # words between windows
     widths: tuple[int, ...] = (2, 4)  # of windows, in steps
@@ -88,11 +89,14 @@ def frequencies(words: DataFrame, s: Settings) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(s.buckets + 1, np.int64)
-        for _, w, offsets in _batches(batches):
-            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            pairs = np.unique(doc * s.buckets + w % s.buckets)
-            counts[:-1] += np.bincount(pairs % s.buckets, minlength=s.buckets)
-            counts[-1] += int((np.diff(offsets) > 0).sum())
+        for _, w, offsets in _batches(batches, 1 << 17):
+            n = np.diff(offsets)
+            counts[-1] += int((n > 0).sum())
+            for i in range(0, len(n), 256):
+                some = n[i : i + 256]
+                seen = np.zeros((len(some), s.buckets), bool)
+                seen.ravel()[np.repeat(np.arange(len(some)), some) * s.buckets + w[offsets[i] : offsets[i + len(some)]] % s.buckets] = True
+                counts[:-1] += seen.sum(axis=0)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bucket", "n"])
 
@@ -113,24 +117,33 @@ def segments(offsets: np.ndarray, size: int) -> np.ndarray:
     return np.repeat(offsets[:-1], n) + size * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
 
 
-def row_sums(words: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Sums of the words' table rows between ``starts``; zero rows of the table cost nothing."""
-    bucket = (words % len(table)).astype(np.int64)
-    live = table.any(axis=1)[bucket]
-    at = np.flatnonzero(live)
-    edges = np.searchsorted(at, np.append(starts, len(words)))
-    out = np.zeros((len(starts), table.shape[1]), np.float32)
-    full = np.flatnonzero(np.diff(edges))
-    if len(full):
-        out[full] = np.add.reduceat(table.take(bucket[at], axis=0), edges[:-1][full], axis=0)
+def cells(words: np.ndarray, starts: np.ndarray, size: int, buckets: int) -> np.ndarray:
+    """The buckets of each segment's words (segments, size), filled up with ``buckets``."""
+    lengths = np.diff(np.append(starts, len(words)))
+    out = np.full((len(starts), size), buckets, np.int64)
+    out.ravel()[np.arange(len(words)) + np.repeat(size * np.arange(len(starts)) - starts, lengths)] = words % buckets
     return out
 
 
-def norms(words: np.ndarray, starts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """The length of each segment's TF-IDF vector."""
-    seg = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))
-    cell, count = np.unique(seg * len(idf) + words % len(idf), return_counts=True)
-    return np.sqrt(np.bincount(cell // len(idf), (count * idf[cell % len(idf)].astype(float)) ** 2, len(starts)))
+def filled(table: np.ndarray) -> np.ndarray:
+    """The table with a row of zeros for the fill of :func:`cells`."""
+    return np.concatenate([table, np.zeros((1, *table.shape[1:]), table.dtype)])
+
+
+def row_sums(bucket: np.ndarray, table: np.ndarray, chunk: int = 512) -> np.ndarray:
+    """Sums of a filled table's rows over the cells of each segment, some segments at a time so that they stay in the cache."""
+    n, size = bucket.shape
+    out = np.zeros((n, table.shape[1]), np.float32)
+    for i in range(0, n, chunk):
+        some, total = bucket[i : i + chunk], out[i : i + chunk]
+        for k in range(size):
+            total += table.take(some[:, k], axis=0)
+    return out
+
+
+def scales(bucket: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """What a passage's row is multiplied with: one over the root of its words' squared weights."""
+    return 1 / np.sqrt(np.maximum(filled(idf**2).take(bucket).sum(axis=1), 1e-9))
 
 
 def _sum_binary(frame: DataFrame, rows: int) -> np.ndarray:
@@ -157,44 +170,42 @@ def _sum_binary(frame: DataFrame, rows: int) -> np.ndarray:
 def singular_basis(words: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray:
     """(buckets, rank): right singular vectors of all passages, divided by their singular values.
 
-    The first pass sums A'(A R) for a random R, whose orthonormal basis Q spans the
-    leading row space; the second sums (A Q)'(A Q), which gives the directions in it.
+    The first pass adds every row, with random signs, to a few of ``rank + extra``
+    combinations (a sparse random test matrix): their orthonormal basis Q spans the
+    leading row space.  The second sums (A Q)'(A Q), which gives the directions in it.
     """
-    width = s.rank + s.extra
-    random = np.random.default_rng(s.seed).standard_normal((s.buckets, width)).astype(np.float32) * idf[:, None]
-    parts = 8
+    width, parts = s.rank + s.extra, 8
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((s.buckets, width), np.float32)
+        total, weight = np.zeros((width, s.buckets + 1)), filled(idf.astype(np.float64))
         for _, w, offsets in _batches(batches, 1 << 17):
             starts = segments(offsets, s.passage)
             if not len(starts):
                 continue
-            y = row_sums(w, starts, random)
-            y /= np.maximum(norms(w, starts, idf) ** 2, 1e-9)[:, None]
-            bucket = (w % s.buckets).astype(np.int64)
-            at = np.flatnonzero(idf[bucket] > 0)
-            at = at[np.argsort(bucket[at], kind="stable")]
-            if len(at):
-                b = bucket[at]
-                new = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-                seg = np.searchsorted(starts, at, side="right") - 1
-                total[b[new]] += np.add.reduceat(y.take(seg, axis=0), new, axis=0)
+            bucket = cells(w, starts, s.passage, s.buckets)
+            value = (weight.take(bucket) * scales(bucket, idf)[:, None]).ravel()
+            # signs and combinations follow from a row's words, so that a task run again gives the same
+            draw = mix((bucket * np.arange(1, s.passage + 1)).sum(axis=1).astype(np.uint64) + np.uint64(s.seed))
+            for k in range(s.signs):
+                draw = mix(draw + np.uint64(k + 1))
+                sign, row = 1.0 - 2.0 * (draw & np.uint64(1)).astype(np.float64), ((draw >> np.uint64(8)) % np.uint64(width)).astype(np.int64)
+                at = (row[:, None] * (s.buckets + 1) + bucket).ravel()
+                total += np.bincount(at, value * np.repeat(sign, s.passage), total.size).reshape(total.shape)
         if total.any():
-            for i, x in enumerate(np.array_split(total, parts)):
+            for i, x in enumerate(np.array_split(np.ascontiguousarray(total[:, :-1].T, np.float32), parts)):
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x.tobytes()], pa.binary())], names=["part", "body"])
 
     total = _sum_binary(words.mapInArrow(first, "part long, body binary"), parts)
     if not len(total):
         return np.zeros((s.buckets, 1), np.float32)
-    q, _ = np.linalg.qr(total.reshape(s.buckets, width) * idf[:, None])
-    table = (q * idf[:, None]).astype(np.float32)
+    q, _ = np.linalg.qr(total.reshape(s.buckets, width))
+    table = filled((q * idf[:, None]).astype(np.float32))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = np.zeros((width, width), np.float64)
         for _, w, offsets in _batches(batches, 1 << 17):
-            starts = segments(offsets, s.passage)
-            c = row_sums(w, starts, table) / np.maximum(norms(w, starts, idf), 1e-9).astype(np.float32)[:, None]
+            bucket = cells(w, segments(offsets, s.passage), s.passage, s.buckets)
+            c = row_sums(bucket, table) * scales(bucket, idf).astype(np.float32)[:, None]
             gram += c.T @ c
         yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([gram.astype(np.float32).tobytes()], pa.binary())], names=["part", "body"])
 
@@ -247,10 +258,11 @@ def leaks(n: int, answer: int, m: int, s: Settings) -> bool:
 
 
 def _search(items: list[tuple[object, list[int]]], basis: np.ndarray, idf: np.ndarray, s: Settings, item_type: pa.DataType):
-    table = basis * idf[:, None]
-    flat = np.array([w for _, x in items for w in x], np.uint32)
-    begins = np.cumsum([0] + [len(x) for _, x in items])[:-1]
-    target = unit(row_sums(flat, begins, table)).T.copy()
+    table = filled((basis * idf[:, None]).astype(np.float32))
+    target = np.zeros((table.shape[1], len(items)), np.float32)
+    for i, (_, x) in enumerate(items):
+        target[:, i] = table[np.array(x) % s.buckets].sum(axis=0)
+    target /= np.maximum(np.linalg.norm(target, axis=0), 1e-12)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, w, offsets in _batches(batches, 1 << 17):
@@ -258,7 +270,7 @@ def _search(items: list[tuple[object, list[int]]], basis: np.ndarray, idf: np.nd
             if not len(starts):
                 continue
             doc = np.searchsorted(offsets, starts, side="right") - 1
-            sums = row_sums(w, starts, table)
+            sums = row_sums(cells(w, starts, s.step, s.buckets), table)
             found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
             for k in s.widths:
                 x = sums.copy()

