@@ -12,9 +12,11 @@
    agreement the likelihood accounts for).
 4. Survivors are checked exactly on their full shingle sets.
 5. Connected components of the links are found.  In buckets that then still hold
-   several components, the pairs across components are compared too (steps 3 and
-   4), where the signatures' parity bits allow the similarity; components are
-   joined again.  Pairs within a component can't change the result.
+   several components, pairs across components are compared too.  That happens
+   inside tasks, on blocks of a bucket of bounded size, and only links leave a task;
+   a pair is compared in its first common band, and not once links found in the
+   task have joined its components.  Pairs within a component can't change the
+   result.
 
 A pair at the threshold shares no band with a probability of
 ``(1 - 0.8**4)**32 < 1e-7``.
@@ -27,7 +29,6 @@ Further columns are ignored.  An empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm.graph import components
-from orrery.llm.store import Table, written
+from orrery.llm.store import Table, only, release, written
 from orrery.llm.textops import LOWER, NOT_SPACE, U64, blocks, hash_spans, mix, runs, text_bytes
 
 
@@ -50,6 +51,7 @@ class Settings:
     rows: int = 4
     step: int = 16  # hashes of a batch of the sequential test
     miss: float = 1e-6
+    block: int = 2_000_000  # shingles of a block of a bucket
 
     @property
     def hashes(self) -> int:
@@ -125,11 +127,10 @@ def _sketch(s: Settings, names: list[str]):
                 rows = np.where(has, np.cumsum(has) - 1, 0)
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * s.bands)]), pa.int32()), pa.array(band_keys(sig, s).ravel()))
                 low = np.ascontiguousarray(sig.astype(np.uint8))
-                bits = np.packbits((sig >> 8 & 1).astype(np.uint8), axis=1).view(np.int64) if len(sig) else np.zeros((1, 2), np.int64)
                 pool = low if len(low) else np.zeros((1, s.hashes), np.uint8)
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(s.hashes), len(pool), [None, pa.py_buffer(pool)]).take(pa.array(np.where(has, rows, 0), mask=~has))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), packed.cast(pa.binary()), pa.array(bits[rows, 0]), pa.array(bits[rows, 1]), keys],
+                    [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), packed.cast(pa.binary()), keys],
                     names=names,
                 )
 
@@ -137,11 +138,9 @@ def _sketch(s: Settings, names: list[str]):
 
 
 def sketches(docs: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
-    """Per row: doc, n, two sums that name the set, signature bytes, parity bits, band keys."""
-    if s.hashes != 128:
-        raise ValueError("bands times rows must be 128: parity bits are kept in two longs")
+    """Per row: doc, n, two sums that name the set, signature bytes, band keys."""
     long = T.LongType()
-    schema = T.StructType([T.StructField(c, k) for c, k in (("doc", long), ("n", long), ("set_a", long), ("set_b", long), ("sig", T.BinaryType()), ("bits_a", long), ("bits_b", long), ("bands", T.ArrayType(long)))])
+    schema = T.StructType([T.StructField(c, k) for c, k in (("doc", long), ("n", long), ("set_a", long), ("set_b", long), ("sig", T.BinaryType()), ("bands", T.ArrayType(long)))])
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(_sketch(s, schema.names), schema)
 
 
@@ -166,16 +165,6 @@ def least_matches(s: Settings) -> list[tuple[int, int]]:
     return out
 
 
-def most_parity_misses(s: Settings) -> int:
-    """Parity bits that a pair at the threshold has different, but for a probability of ``miss``."""
-    p, n, tail = (1 - s.percent / 100) / 2, s.hashes, 0.0
-    for k in range(n, -1, -1):
-        tail += math.comb(n, k) * p**k * (1 - p) ** (n - k)
-        if tail > s.miss:
-            return k
-    return n
-
-
 def sequential_test(a: np.ndarray, b: np.ndarray, s: Settings, bounds: list[tuple[int, int]] | None = None) -> np.ndarray:
     """Which pairs of signature bytes (pairs, hashes) survive all batches."""
     live, seen, done = np.arange(len(a)), np.zeros(len(a), np.int64), 0
@@ -231,6 +220,101 @@ def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(half("a"), "a").join(half("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _short_sets(s: Settings):
+    """Each text's shingles as ascending 32-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = text_bytes(b.column(1))
+            for i, j in blocks(offsets):
+                cut = offsets[i : j + 1]
+                h, to = shingle_sets(data[cut[0] : cut[-1]], cut - cut[0], s.width)
+                short = np.ascontiguousarray((h >> U64(32)).astype(np.uint32))
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(4 * to), pa.py_buffer(short)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), column], names=["doc", "set"])
+
+    return run, "doc long, set binary"
+
+
+#: Shingles by which 32-bit hashes may misjudge an intersection; links are checked on full hashes later.
+SLACK = 3
+
+
+def links_across(part: np.ndarray, slot: int, crossed: bool, doc: np.ndarray, component: np.ndarray, sig: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], s: Settings, bounds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links of a bucket's block between rows of different components (``crossed``: and different parts)."""
+    names, label = np.unique(component, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    n, size, out = len(doc), np.array([len(x) for x in sets]), []
+    rows = max(1, (1 << 22) // (n * s.step + 1))
+    for a in range(0, n - 1, rows):
+        b = min(n, a + rows)
+        same = (sig[a:b, None, : s.step] == sig[None, a:, : s.step]).sum(axis=2) >= bounds[0][1]
+        same &= (label[a:b, None] != label[None, a:]) & (np.arange(a, n)[None, :] > np.arange(a, b)[:, None])
+        same &= np.minimum(size[a:b, None], size[None, a:]) * 100 >= np.maximum(size[a:b, None], size[None, a:]) * s.percent
+        if crossed:
+            same &= part[a:b, None] != part[None, a:]
+        i, j = np.nonzero(same)
+        i, j = i + a, j + a
+        keep = sequential_test(sig[i], sig[j], s, bounds) if len(i) else np.zeros(0, bool)
+        i, j = i[keep], j[keep]
+        if len(i):
+            first = (bands[i] == bands[j]).argmax(axis=1) == slot
+            i, j = i[first], j[first]
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            p, q = root(label[x]), root(label[y])
+            if p == q:
+                continue
+            common = np.concatenate([sets[x], sets[y]])
+            common.sort(kind="stable")
+            shared = int((common[1:] == common[:-1]).sum())
+            if 100 * (shared + SLACK) >= s.percent * (len(common) - shared - SLACK):
+                out.append((int(doc[x]), int(doc[y])))
+                if 100 * (shared - SLACK) >= s.percent * (len(common) - shared + SLACK):
+                    parent[max(p, q)] = min(p, q)
+    return out
+
+
+def _across(s: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, held = least_matches(s), []
+
+        def handle(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.combine_chunks()
+            band, p, q, part, slot, doc, component = (rows.column(c).to_numpy() for c in range(7))
+            sig = text_bytes(rows.column(7))[0].reshape(-1, s.hashes)
+            bands = rows.column(8).combine_chunks().flatten().to_numpy().reshape(-1, s.bands)
+            data, offsets = text_bytes(rows.column(9))
+            edge = np.flatnonzero((band[1:] != band[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+            out: list[tuple[int, int]] = []
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(band)], strict=True):
+                if b - a > 1:
+                    sets = [np.frombuffer(data[offsets[k] : offsets[k + 1]].tobytes(), np.uint32) for k in range(a, b)]
+                    out += links_across(part[a:b], int(slot[a]), bool(p[a] != q[a]), doc[a:b], component[a:b], sig[a:b], bands[a:b], sets, s, bounds)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                held.append(b.slice(at, 2000))
+                rows = pa.Table.from_batches(held)
+                names = [rows.column(c).to_numpy() for c in range(3)]
+                edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in names], axis=0))
+                if len(edge):
+                    cut = int(edge[-1]) + 1
+                    yield handle(rows.slice(0, cut))
+                    held = rows.slice(cut).to_batches()
+        if held:
+            yield handle(pa.Table.from_batches(held))
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Per row: doc (the key), n_shingles, component_id, kept."""
     s = settings
@@ -250,24 +334,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
         """Confirmed pairs; texts that no pair needs are left out before they are joined twice."""
         left = Table(surviving(pairs, reps, s), name)
         needed = left.frame().select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        chosen = Table(texts.join(needed, "doc", "left_semi"), name)
+        chosen = Table(only(texts, "doc", needed), name)
+        release(docs.sparkSession)
         out = written(confirmed(left.frame(), chosen.frame(), s), name)
         chosen.drop()
         left.drop()
         return out
 
     found = links(stars, "stars")
+    release(docs.sparkSession)
     first = Table(components(found), "components")
-    labelled = reps.join(first.frame().withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component"), "bits_a", "bits_b", "bands")
-    spread = labelled.select(F.explode("bands").alias("band"), "doc", "component", "bits_a", "bits_b")
-    mixed = spread.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.min("doc").alias("centre")).filter("low != high and size > 2").select("band", "centre")
-    open_ = written(spread.join(mixed, "band").filter("doc != centre").drop("centre"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = F.bit_count(F.col("x.bits_a").bitwiseXOR(F.col("y.bits_a"))) + F.bit_count(F.col("x.bits_b").bitwiseXOR(F.col("y.bits_b")))
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & (apart <= most_parity_misses(s)))
-    more = links(across.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct(), "across")
+    labelled = Table(reps.join(first.frame().withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "labelled").frame()
+    spread = labelled.select(F.posexplode("bands").alias("slot", "band"), "doc", "component", "n")
+    mixed = spread.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.sum("n").alias("total")).filter("low != high and size > 2")
+    mixed = mixed.select("band", F.ceil(F.col("total") / s.block).cast("int").alias("parts"))
+    open_ = Table(spread.join(mixed, "band").select("doc", "slot", "band", "parts", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part")), "open")
+    members = open_.frame().select("doc").distinct()
+    sets = Table(only(texts, "doc", members).mapInArrow(*_short_sets(s)), "sets").frame()
+    release(docs.sparkSession)
+    full = labelled.select("doc", "component", "sig", "bands").join(sets, "doc")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = open_.frame().select("doc", "slot", "band", "part", other.alias("other"))
+    dealt = dealt.select("doc", "slot", "band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part").join(full, "doc")
+    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links_in = dealt.repartition(count, "band", "p", "q").sortWithinPartitions("band", "p", "q", "doc").select("band", "p", "q", "part", "slot", "doc", "component", "sig", "bands", "set").mapInArrow(_across(s), "a long, b long")
+    candidates = Table(links_in.distinct(), "across")
+    chosen = Table(only(texts, "doc", candidates.frame().select(F.explode(F.array("a", "b")).alias("doc")).distinct()), "across")
+    more = written(confirmed(candidates.frame(), chosen.frame(), s), "across")
     label = lambda side: first.frame().select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
     joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("of_a", "a").alias("u"), F.coalesce("of_b", "b").alias("v"))
+    release(docs.sparkSession)
     second = components(joined)
     final = same.join(first.frame().select(F.col("node").alias("least"), "component"), "least", "left").select("doc", F.coalesce("component", "least").alias("component"))
     final = final.join(second.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").select("doc", F.coalesce("joined", "component").alias("component"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def on_workers(spark: SparkSession) -> None:
@@ -59,3 +60,28 @@ class Table:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: lineage ends there."""
     return Table(df, name).frame()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are no longer referenced, rather than at some later collection."""
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Bits of the filter below: its table has at most a 64th of that many rows of 16 bytes, whatever the input.
+FILTER_BITS = 1 << 22
+
+
+def only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is in ``wanted``'s only column; the columns of ``rows``.
+
+    A bit table of bounded size, one bit per hash, is broadcast first and drops most
+    other rows where they are read; the exact join gets what is left.
+    """
+    name = wanted.columns[0]
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
+    hashed = wanted.filter(F.col(name).isNotNull()).select(place(name).alias("at_"))
+    bits = hashed.groupBy(F.shiftright("at_", 6).alias("word_")).agg(F.expr("bit_or(shiftleft(1L, cast(at_ & 63 as int)))").alias("bits_"))
+    near = rows.withColumn("at_", place(key)).join(F.broadcast(bits), F.shiftright("at_", 6) == F.col("word_")).filter("shiftright(bits_, cast(at_ & 63 as int)) & 1L = 1L")
+    exact = wanted.select(F.col(name).cast("long").alias("wanted_")).distinct()
+    # no semi-join: the optimizer would move it before the filter
+    return near.join(exact, F.col(key).cast("long") == F.col("wanted_")).select(*rows.columns)

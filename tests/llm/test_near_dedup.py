@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from orrery.llm.graph import components
-from orrery.llm.near_dedup import Settings, dedup_stage, least_matches, most_parity_misses, near_duplicates, op1_minhash_dedup, sequential_test
+from orrery.llm.near_dedup import Settings, dedup_stage, least_matches, near_duplicates, op1_minhash_dedup, sequential_test
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -66,8 +66,8 @@ def test_edits_and_chains(spark):
     texts = dict(enumerate(variants() + [None, "", " \n\t ", "one", "One", "two words", "a b c", "a b c d", "A b\tc d", "x" * 40000, "x y " * 9000, "x y " * 8000]))
     rows = [(d, t, d, "s", 1) for d, t in texts.items()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n long, sig string, component_id int")
-    for width in (4, 5):
-        got = {r.doc: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, settings=Settings(width=width)).collect()}
+    for width, block in ((4, 2_000_000), (5, 1500)):
+        got = {r.doc: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, settings=Settings(width=width, block=block)).collect()}
         assert got == brute(texts, width)
     left = dedup_stage(docs)
     assert left.columns == docs.columns
@@ -89,7 +89,7 @@ def test_sequential_test_keeps_similar_pairs():
         a = rng.integers(0, 256, (4000, 128)).astype(np.uint8)
         b = np.where(rng.random(a.shape) < j, a, rng.integers(0, 256, a.shape)).astype(np.uint8)
         assert least <= sequential_test(a, b, s).mean() <= most
-    assert all(m < 0.8 * n for n, m in least_matches(s)) and 13 < most_parity_misses(s) < 45
+    assert all(m < 0.8 * n for n, m in least_matches(s))
 
 
 @pytest.mark.parametrize("edges", [[], [(5, 5)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51), (51, 49), (None, 3)]])
