@@ -317,58 +317,58 @@ def _across(s: Settings):
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Per row: doc (the key), n_shingles, component_id, kept."""
-    s = settings
-    sketch = Table(sketches(docs, key, text, s), "sketch")
-    rows = sketch.frame()
-    sets = rows.filter("n > 0 and doc is not null").groupBy("set_a", "set_b").agg(F.min("doc").alias("least"))
+    s, spark, passing = settings, docs.sparkSession, []
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        """A table that goes once the components are known."""
+        passing.append(Table(df, name))
+        return passing[-1].frame()
+
+    rows = written(sketches(docs, key, text, s), "sketch")
+    # written, so that the joins have an exchange on either side, whose hot partitions can be split
+    sets = held(rows.filter("n > 0 and doc is not null").groupBy("set_a", "set_b").agg(F.min("doc").alias("least")), "sets")
     same = written(rows.filter("n > 0 and doc is not null").select("doc", "set_a", "set_b").join(sets, ["set_a", "set_b"]).select("doc", "least"), "classes")
     least = same.filter("doc = least").select("doc").distinct()
-    classes = Table(rows.filter("n > 0").join(least, "doc", "left_semi").dropDuplicates(["doc", "set_a", "set_b"]), "representatives")
-    reps = classes.frame()
+    reps = held(rows.filter("n > 0").join(least, "doc", "left_semi").dropDuplicates(["doc", "set_a", "set_b"]), "representatives")
     buckets = reps.select(F.explode("bands").alias("band"), "doc")
-    centres = buckets.groupBy("band").agg(F.min("doc").alias("b"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    centres = held(buckets.groupBy("band").agg(F.min("doc").alias("b"), F.count("*").alias("size")).filter("size > 1").drop("size"), "centres")
     stars = buckets.join(centres, "band").filter("doc != b").select(F.col("doc").alias("a"), "b").distinct()
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
 
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        """Confirmed pairs; texts that no pair needs are left out before they are joined twice."""
-        left = Table(surviving(pairs, reps, s), name)
-        needed = left.frame().select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        chosen = Table(only(texts, "doc", needed), name)
-        release(docs.sparkSession)
-        out = written(confirmed(left.frame(), chosen.frame(), s), name)
-        chosen.drop()
-        left.drop()
-        return out
-
-    found = links(stars, "stars")
-    release(docs.sparkSession)
-    first = Table(components(found), "components")
-    labelled = Table(reps.join(first.frame().withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "labelled").frame()
+    def links(pairs: DataFrame) -> DataFrame:
+        """Confirmed pairs; only texts that a pair needs are joined."""
+        left = held(pairs, "candidates")
+        chosen = held(only(texts, "doc", left.select(F.explode(F.array("a", "b")).alias("doc")).distinct()), "texts")
+        release(spark)
+        return held(confirmed(left, chosen, s), "links")
+
+    found = links(surviving(stars, reps, s))
+    release(spark)
+    first = held(components(found), "components")
+    labelled = held(reps.join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "labelled")
     spread = labelled.select(F.posexplode("bands").alias("slot", "band"), "doc", "component", "n")
     mixed = spread.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.sum("n").alias("total")).filter("low != high and size > 2")
-    mixed = mixed.select("band", F.ceil(F.col("total") / s.block).cast("int").alias("parts"))
-    open_ = Table(spread.join(mixed, "band").select("doc", "slot", "band", "parts", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part")), "open")
-    members = open_.frame().select("doc").distinct()
-    sets = Table(only(texts, "doc", members).mapInArrow(*_short_sets(s)), "sets").frame()
-    release(docs.sparkSession)
-    full = labelled.select("doc", "component", "sig", "bands").join(sets, "doc")
+    mixed = held(mixed.select("band", F.ceil(F.col("total") / s.block).cast("int").alias("parts")), "mixed")
+    open_ = held(spread.join(mixed, "band").select("doc", "slot", "band", "parts", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part")), "open")
+    short = held(only(texts, "doc", open_.select("doc").distinct()).mapInArrow(*_short_sets(s)), "short")
+    release(spark)
+    full = labelled.select("doc", "component", "sig", "bands").join(short, "doc")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = open_.frame().select("doc", "slot", "band", "part", other.alias("other"))
+    dealt = open_.select("doc", "slot", "band", "part", other.alias("other"))
     dealt = dealt.select("doc", "slot", "band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part").join(full, "doc")
-    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links_in = dealt.repartition(count, "band", "p", "q").sortWithinPartitions("band", "p", "q", "doc").select("band", "p", "q", "part", "slot", "doc", "component", "sig", "bands", "set").mapInArrow(_across(s), "a long, b long")
-    candidates = Table(links_in.distinct(), "across")
-    chosen = Table(only(texts, "doc", candidates.frame().select(F.explode(F.array("a", "b")).alias("doc")).distinct()), "across")
-    more = written(confirmed(candidates.frame(), chosen.frame(), s), "across")
-    label = lambda side: first.frame().select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(count, "band", "p", "q").sortWithinPartitions("band", "p", "q", "doc").select("band", "p", "q", "part", "slot", "doc", "component", "sig", "bands", "set")
+    more = links(dealt.mapInArrow(_across(s), "a long, b long").distinct())
+    label = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
     joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("of_a", "a").alias("u"), F.coalesce("of_b", "b").alias("v"))
-    release(docs.sparkSession)
+    release(spark)
     second = components(joined)
-    final = same.join(first.frame().select(F.col("node").alias("least"), "component"), "least", "left").select("doc", F.coalesce("component", "least").alias("component"))
+    final = same.join(first.select(F.col("node").alias("least"), "component"), "least", "left").select("doc", F.coalesce("component", "least").alias("component"))
     final = final.join(second.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").select("doc", F.coalesce("joined", "component").alias("component"))
     # a key with several rows: their least component
-    final = final.groupBy("doc").agg(F.min("component").alias("component"))
+    final = written(final.groupBy("doc").agg(F.min("component").alias("component")), "components")
+    for t in passing:
+        t.drop()
     component = F.coalesce("component", "doc")
     return rows.select("doc", "n").join(final, "doc", "left").select("doc", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 
