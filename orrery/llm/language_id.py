@@ -249,7 +249,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def language_stage(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
+def language_stage(docs: DataFrame, least_score: float = 0.25) -> DataFrame:
     """Documents with a known language; those without letters or with a score below ``least_score`` go."""
     names = docs.columns
     label, score = (c + "_" * (1 + max(map(len, names))) for c in ("label", "score"))  # no name of the input
