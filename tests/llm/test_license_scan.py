@@ -1,6 +1,9 @@
+import random
 import re
 
-from orrery.llm.license_scan import BASE, op9_license_scan, scan
+import numpy as np
+
+from orrery.llm.license_scan import BASE, NOTICES, notices, op9_license_scan, pigeonhole, scan, scan_block
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -48,3 +51,27 @@ def test_corpus(spark):
 
 def test_empty_table(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_notice_is_found_within_its_edits():
+    rng, search = random.Random(4), notices()
+    for label, (phrase, edits) in NOTICES.items():
+        assert b"".join(p for _, p in pigeonhole(phrase.encode(), edits)) == phrase.encode()
+        for _ in range(12):
+            t = list(phrase)
+            for _ in range(rng.randrange(edits + 1)):
+                i, kind = rng.randrange(1, len(t) - 1), rng.randrange(3)
+                if t[i] == " ":
+                    continue
+                if kind == 0:
+                    t[i] = "z"
+                elif kind == 1:
+                    t.insert(i, "q")
+                else:
+                    del t[i]
+            texts = ["before it", "words " * rng.randrange(9) + "".join(t).title() + ", " + "more " * rng.randrange(9), ""]
+            raw = [x.encode() for x in texts]
+            _, spans = scan_block(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), search)
+            mine = [s for s in spans[1] if s[0] == label]
+            assert mine and mine[0][4] <= edits and not spans[0] and not spans[2], (label, texts[1])
+            assert texts[1].encode()[mine[0][1] : mine[0][2]].strip()
