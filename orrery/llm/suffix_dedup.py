@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm.deep_shallow import neighbour_lcp, sort_strings, words_of
-from orrery.llm.store import Table
+from orrery.llm.store import Table, release, written
 from orrery.llm.textops import U64, blocks, hash_spans, mix, text_bytes, words64
 
 STRETCH, MARK, BEACON = 0, 1, 2
@@ -361,12 +361,15 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", set
     settled = Table(dealt.mapInArrow(_settle(s), COLUMNS), "stretches")
     marks = settled.frame().filter(F.col("kind") == MARK).select("doc", "lo", "hi")
     open_ = settled.frame().filter(F.col("kind") == STRETCH)
-    counts = open_.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
+    release(docs.sparkSession)
+    # written, so that the join has an exchange on either side, whose hot partitions can be split
+    counts = written(open_.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
     parts = F.ceil(F.col("n") / F.lit(s.part)).cast("long")
     numbered = open_.join(counts, "gram").select("doc", "gram", "lo", "hi", "at", F.pmod(F.col("content"), parts).alias("part"), parts.alias("parts"))
     wanted = numbered.groupBy("doc").agg(F.collect_list(F.struct("gram", "part", "parts", "lo", "hi", "at")).alias("wanted"))
     fetched = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(*_contents(s))
     compared = Table(fetched.repartition(n, "gram", "part").sortWithinPartitions("gram", "part").mapInArrow(*_compare(s)), "windows")
+    release(docs.sparkSession)
     windows = compared.frame().filter(F.col("kind") == STRETCH).select("gram", "window", "doc", "lo", "hi")
     late = windows.repartition(n, "gram", "window").sortWithinPartitions("gram", "window", "doc", "lo").mapInArrow(_windows_settle, "doc long, lo long, hi long")
     return marks.union(compared.frame().filter(F.col("kind") == MARK).select("doc", "lo", "hi")).union(late)
