@@ -174,7 +174,7 @@ def singular_basis(words: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray
     combinations (a sparse random test matrix): their orthonormal basis Q spans the
     leading row space.  The second sums (A Q)'(A Q), which gives the directions in it.
     """
-    width, parts = s.rank + s.extra, 8
+    width, parts = s.rank + s.extra, 64
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = np.zeros((width, s.buckets + 1)), filled(idf.astype(np.float64))
