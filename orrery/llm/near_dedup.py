@@ -241,8 +241,14 @@ SLACK = 3
 
 
 def links_across(part: np.ndarray, slot: int, crossed: bool, doc: np.ndarray, component: np.ndarray, sig: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], s: Settings, bounds: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Links of a bucket's block between rows of different components (``crossed``: and different parts)."""
+    """Links of a bucket's block between rows of different components (``crossed``: and different parts).
+
+    One row of such a pair is outside the block's largest component: only those rows are compared with all.
+    """
     names, label = np.unique(component, return_inverse=True)
+    largest = label == np.bincount(label).argmax()
+    order = np.argsort(largest, kind="stable")
+    part, doc, label, sig, bands, sets = part[order], doc[order], label[order], sig[order], bands[order], [sets[i] for i in order]
     parent = list(range(len(names)))
 
     def root(x: int) -> int:
@@ -253,8 +259,9 @@ def links_across(part: np.ndarray, slot: int, crossed: bool, doc: np.ndarray, co
 
     n, size, out = len(doc), np.array([len(x) for x in sets]), []
     rows = max(1, (1 << 22) // (n * s.step + 1))
-    for a in range(0, n - 1, rows):
-        b = min(n, a + rows)
+    outside = n - int(largest.sum())
+    for a in range(0, outside, rows):
+        b = min(outside, a + rows)
         same = (sig[a:b, None, : s.step] == sig[None, a:, : s.step]).sum(axis=2) >= bounds[0][1]
         same &= (label[a:b, None] != label[None, a:]) & (np.arange(a, n)[None, :] > np.arange(a, b)[:, None])
         same &= np.minimum(size[a:b, None], size[None, a:]) * 100 >= np.maximum(size[a:b, None], size[None, a:]) * s.percent
