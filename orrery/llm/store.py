@@ -71,17 +71,32 @@ def release(spark: SparkSession) -> None:
 FILTER_BITS = 1 << 22
 
 
-def only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose key is in ``wanted``'s only column; the columns of ``rows``.
-
-    A bit table of bounded size, one bit per hash, is broadcast first and drops most
-    other rows where they are read; the exact join gets what is left.
-    """
+def _marked(rows: DataFrame, key: str, wanted: DataFrame, how: str) -> DataFrame:
+    """Rows joined with a broadcast bit table of bounded size, a bit per hash of ``wanted``'s first column: ``hit_``."""
     name = wanted.columns[0]
     place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
     hashed = wanted.filter(F.col(name).isNotNull()).select(place(name).alias("at_"))
     bits = hashed.groupBy(F.shiftright("at_", 6).alias("word_")).agg(F.expr("bit_or(shiftleft(1L, cast(at_ & 63 as int)))").alias("bits_"))
-    near = rows.withColumn("at_", place(key)).join(F.broadcast(bits), F.shiftright("at_", 6) == F.col("word_")).filter("shiftright(bits_, cast(at_ & 63 as int)) & 1L = 1L")
-    exact = wanted.select(F.col(name).cast("long").alias("wanted_")).distinct()
+    joined = rows.withColumn("at_", place(key)).join(F.broadcast(bits), F.shiftright("at_", 6) == F.col("word_"), how)
+    return joined.withColumn("hit_", F.col(key).isNotNull() & (F.expr("coalesce(shiftright(bits_, cast(at_ & 63 as int)) & 1L, 0L)") == 1))
+
+
+def near(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is among the wanted ones, and few others; the columns of ``rows``."""
+    return _marked(rows, key, wanted, "inner").filter("hit_").select(*rows.columns)
+
+
+def split(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`near` and the rest of the rows, whose keys aren't wanted."""
+    marked = _marked(rows, key, wanted, "left")
+    return marked.filter("hit_").select(*rows.columns), marked.filter("not hit_").select(*rows.columns)
+
+
+def only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is in ``wanted``'s only column; the columns of ``rows``.
+
+    Most other rows are dropped where they are read; the exact join gets what is left.
+    """
+    exact = wanted.select(F.col(wanted.columns[0]).cast("long").alias("wanted_")).distinct()
     # no semi-join: the optimizer would move it before the filter
-    return near.join(exact, F.col(key).cast("long") == F.col("wanted_")).select(*rows.columns)
+    return near(rows, key, wanted).join(exact, F.col(key).cast("long") == F.col("wanted_")).select(*rows.columns)

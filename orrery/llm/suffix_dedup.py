@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm.deep_shallow import neighbour_lcp, sort_strings, words_of
-from orrery.llm.store import Table, release, written
+from orrery.llm.store import Table, near, release, split, written
 from orrery.llm.textops import U64, blocks, hash_spans, mix, text_bytes, words64
 
 STRETCH, MARK, BEACON = 0, 1, 2
@@ -366,8 +366,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", set
     counts = written(open_.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
     parts = F.ceil(F.col("n") / F.lit(s.part)).cast("long")
     numbered = open_.join(counts, "gram").select("doc", "gram", "lo", "hi", "at", F.pmod(F.col("content"), parts).alias("part"), parts.alias("parts"))
-    wanted = numbered.groupBy("doc").agg(F.collect_list(F.struct("gram", "part", "parts", "lo", "hi", "at")).alias("wanted"))
-    fetched = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(*_contents(s))
+    wanted = Table(numbered.groupBy("doc").agg(F.collect_list(F.struct("gram", "part", "parts", "lo", "hi", "at")).alias("wanted")), "wanted")
+    release(docs.sparkSession)
+    fetched = near(texts, "doc", wanted.frame().select("doc")).join(wanted.frame(), "doc").select("doc", "text", "wanted").mapInArrow(*_contents(s))
     compared = Table(fetched.repartition(n, "gram", "part").sortWithinPartitions("gram", "part").mapInArrow(*_compare(s)), "windows")
     release(docs.sparkSession)
     windows = compared.frame().filter(F.col("kind") == STRETCH).select("gram", "window", "doc", "lo", "hi")
@@ -419,10 +420,14 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", settin
 
     ``whole_characters``: a span gives up bytes at its ends rather than cut a character.
     """
-    spans = repeated_spans(docs, key, text, settings).groupBy(F.col("doc").alias("span_doc_")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans_"))
+    table = Table(repeated_spans(docs, key, text, settings).groupBy(F.col("doc").alias("span_doc_")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans_")), "spans")
+    spans = table.frame()
+    release(docs.sparkSession)
     names = [key, *keep]
-    rows = docs.select(*names, F.col(text).cast("binary").alias("_text"))
+    # documents without spans, most of them, aren't shuffled
+    rows, rest = split(docs.select(*names, F.col(text).cast("binary").alias("_text")), key, table.frame().select("span_doc_"))
     joined = rows.join(spans, rows[key].cast("long") == spans["span_doc_"], "left").select(*(rows[c] for c in names), rows["_text"], spans["spans_"])
+    joined = joined.union(rest.withColumn("spans_", F.lit(None).cast(joined.schema["spans_"].dataType)))
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in out[:3]] + [T.StructField(out[3], T.BinaryType())])
     return joined.mapInArrow(_cut(names, whole_characters, out), schema)
 
