@@ -101,7 +101,7 @@ def sequences(placements: list[tuple[int, int, int, int, int]]) -> int:
     return max((first + count for _, _, count, first, _ in placements), default=0)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, n_groups: tuple[int, ...] = (100, 400, 2000), small: float = 1 / 16) -> list[tuple[int, int, int, int, int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, n_groups: tuple[int, ...] = (100, 400, 2000, 8000), small: float = 1 / 8) -> list[tuple[int, int, int, int, int]]:
     """Placements (length, first rank, count, first sequence, offset) of all pieces.
 
     Ranks from ``first rank`` on go to consecutive sequences, at ``offset`` each.
@@ -229,7 +229,7 @@ def _place(placements: list[tuple[int, int, int, int, int]], names: list[str]):
     return run
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, tokenizer: str | None = None, n_groups: tuple[int, ...] = (100, 400, 2000)) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, tokenizer: str | None = None, n_groups: tuple[int, ...] = (100, 400, 2000, 8000)) -> DataFrame:
     """Per piece: the key, piece, start, length, ids_crc32, sequence_id, offset."""
     fields = [T.StructField("key", docs.schema[key].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")), T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())]
     pieces = written(docs.select(key, text).mapInArrow(_pieces(tokenizer, capacity, end), T.StructType(fields)), "pieces")
