@@ -8,7 +8,11 @@
 3. Windows of two widths over whole documents, a step of words apart, are
    projected (divided by the singular values, so that no direction dominates) and
    compared with the benchmark's items by cosine.
-4. Around each candidate, the longest common subsequence of words with the item is
+4. Cosines fall with the share of a window that an item fills, so they alone lose items
+   much shorter or longer than the windows.  Each place where as many of an item's rarest
+   words stand within a window of its length as any leak must have is a candidate too:
+   these are a superset of all leaks, whatever the item's length and words.
+5. Around each candidate, the longest common subsequence of words with the item is
    computed in windows of about the item's length.  A document leaks the item if it
    has ``sure`` of its words in order, or ``least`` of them together with the
    item's answer: its last words, of which ``answer`` must be there in order.
@@ -51,6 +55,7 @@ class Settings:
     answer: float = 0.8
     answer_words: int = 8
     least_words: int = 8
+    hits: float = 0.01  # words of a text that may be rare words of one item, if the rule leaves the choice
     block: int = 10_000
     seed: int = 11
 
@@ -236,10 +241,71 @@ def lcs(pattern: list[int], text: list[int]) -> int:
     return len(pattern) - v.bit_count()
 
 
+def window(m: int) -> int:
+    """Words of the windows in which an item of ``m`` words is compared."""
+    return m + m // 4 + 2
+
+
+class Seeds:
+    """Candidates that no leak can avoid.
+
+    A leak has at least c = ``least`` (or ``sure``) of an item's m words in order within
+    a window, so of any k of the item's words at least k - (m - c) are there.  The k
+    rarest are taken, as many as occur in ``hits`` of all words, and m - c + 1 at least.
+    Which words count as rare changes only the time.
+    """
+
+    def __init__(self, items: list[tuple[object, list[int]]], df: np.ndarray, n: int, s: Settings):
+        self.need, self.width, pairs = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64), []
+        share = df / max(n, 1) / s.passage
+        for i, (_, x) in enumerate(items):
+            m = len(x)
+            least = next(c for c in range(m + 1) if c >= min(s.least, s.sure) * m)
+            by = np.array(x, np.uint32)
+            by = by[np.lexsort((by, share[by % s.buckets]))]
+            new = np.append(True, by[1:] != by[:-1])
+            k = max(m - least + 1, int(np.searchsorted(np.cumsum(share[by % s.buckets] * new), s.hits, side="right")))
+            self.need[i], self.width[i] = k - (m - least), window(m)
+            pairs.append(np.unique(by[:k]))
+        words, item = np.concatenate(pairs), np.repeat(np.arange(len(items)), [len(x) for x in pairs])
+        order = np.argsort(words, kind="stable")
+        self.words, first, self.count = np.unique(words[order], return_index=True, return_counts=True)
+        self.first, self.item = first, item[order].astype(np.min_scalar_type(len(items)))
+        self.bits = (1 << 20) - 1
+        self.known = np.zeros(self.bits + 1, bool)
+        self.known[self.words & self.bits] = True
+
+    def places(self, w: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 17, pairs: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(documents, items, first words, ends) of all candidates, a bounded number of words and (word, item) pairs at a time."""
+        at = np.flatnonzero(self.known[w & self.bits])
+        code = np.minimum(np.searchsorted(self.words, w[at]), len(self.words) - 1)
+        same = self.words[code] == w[at]
+        at, code, widest = at[same], code[same], int(self.width.max())
+        to = np.concatenate([[0], np.cumsum(self.count[code])])
+        i = 0
+        while i < len(at):
+            # all that starts with words i to j, which may end up to a window later
+            j = min(int(np.searchsorted(to, to[i] + pairs, side="right")) - 1, int(np.searchsorted(at, at[i] + chunk)))
+            j = max(j, i + 1)
+            end = int(np.searchsorted(at, at[j - 1] + widest))
+            c, n = code[i:end], self.count[code[i:end]]
+            item = self.item[np.repeat(self.first[c] - (to[i:end] - to[i]), n) + np.arange(to[end] - to[i])]
+            order = np.argsort(item, kind="stable")
+            item, place = item[order].astype(np.int64), np.repeat(at[i:end], n)[order]
+            last = np.arange(len(item)) + self.need[item] - 1
+            begin = np.flatnonzero(last < len(item))
+            last = last[begin]
+            begin, last = (x[(item[last] == item[begin]) & (place[last] - place[begin] < self.width[item[begin]])] for x in (begin, last))
+            doc = np.searchsorted(offsets, place[begin], side="right") - 1
+            whole = place[last] < offsets[doc + 1]
+            yield doc[whole], item[begin[whole]], place[begin[whole]], place[last[whole]] + 1
+            i = j
+
+
 def best_match(item: list[int], words: np.ndarray, lo: int, hi: int, s: Settings) -> tuple[int, int]:
     """(common words, common words of the answer) of the best window within words[lo:hi]."""
     m = len(item)
-    width, stride = m + m // 4 + 2, max(1, m // 8)
+    width, stride = window(m), max(1, m // 8)
     inside = np.isin(words[lo:hi], np.array(item, np.uint32))
     to = np.concatenate([[0], np.cumsum(inside)])
     begins = np.arange(0, max(1, hi - lo - width + stride), stride)
@@ -257,7 +323,7 @@ def leaks(n: int, answer: int, m: int, s: Settings) -> bool:
     return n >= s.sure * m or (n >= s.least * m and answer >= s.answer * min(s.answer_words, m))
 
 
-def _search(items: list[tuple[object, list[int]]], basis: np.ndarray, idf: np.ndarray, s: Settings, item_type: pa.DataType):
+def _search(items: list[tuple[object, list[int]]], basis: np.ndarray, idf: np.ndarray, seeds: Seeds | None, s: Settings, item_type: pa.DataType):
     table = filled((basis * idf[:, None]).astype(np.float32))
     target = np.zeros((table.shape[1], len(items)), np.float32)
     for i, (_, x) in enumerate(items):
@@ -281,13 +347,16 @@ def _search(items: list[tuple[object, list[int]]], basis: np.ndarray, idf: np.nd
                     for i, j in zip(*np.nonzero(cosine >= s.cosine), strict=True):
                         r = a + int(i)
                         found.setdefault((int(doc[r]), int(j)), []).append((float(cosine[i, j]), int(starts[r]), int(starts[r]) + k * s.step))
+            for places in seeds.places(w, offsets) if seeds else ():
+                for d, j, a, b in zip(*(x.tolist() for x in places), strict=True):
+                    found.setdefault((d, j), []).append((-1.0, a, b))
             out: list[list] = [[], [], [], [], [], []]
             for (d, j), places in found.items():
                 name, words = items[j]
-                m, best = len(words), (0, 0)
+                m, best, width = len(words), (0, 0), window(len(words))
                 regions: list[list[int]] = []
                 for _, a, b in sorted(places, key=lambda p: p[1]):
-                    a, b = max(int(offsets[d]), a - m), min(int(offsets[d + 1]), b + m)
+                    a, b = max(int(offsets[d]), a - width), min(int(offsets[d + 1]), b + width)
                     if regions and a <= regions[-1][1]:
                         regions[-1][1] = max(b, regions[-1][1])
                     else:
@@ -295,7 +364,14 @@ def _search(items: list[tuple[object, list[int]]], basis: np.ndarray, idf: np.nd
                 for a, b in regions:
                     best = max(best, best_match(words, w, a, b, s))
                 if leaks(*best, m, s):
-                    for c, v in zip(out, (d, name, max(p[0] for p in places), best[0], m, best[1]), strict=True):
+                    near = max(p[0] for p in places)
+                    if near < 0:  # no window is near enough: the nearest around the candidates
+                        lo, hi = np.searchsorted(starts, (min(p[1] for p in places) - s.step, max(p[2] for p in places)))
+                        lo = max(int(lo), int(np.searchsorted(doc, d)))
+                        to = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums[lo : np.searchsorted(doc, d, side="right")], axis=0, dtype=np.float64)])
+                        begin = np.arange(max(int(hi) - lo, 1))
+                        near = max(float((unit(to[np.minimum(begin + k, len(to) - 1)] - to[begin]) @ target[:, j]).max()) for k in s.widths)
+                    for c, v in zip(out, (d, name, near, best[0], m, best[1]), strict=True):
                         c.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(out[0])), pa.array(out[1], item_type), pa.array(out[2], pa.float64()), *(pa.array(c, pa.int32()) for c in out[3:])], names=["doc", "item", "cosine", "common", "item_words", "answer_common"])
@@ -318,7 +394,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     found, block = None, []
 
     def search() -> DataFrame:
-        return words.mapInArrow(_search(list(block), basis, idf, s, to_arrow_type(kind)), schema)
+        return words.mapInArrow(_search(list(block), basis, idf, Seeds(block, df, n, s) if block else None, s, to_arrow_type(kind)), schema)
 
     for r in benchmark.select(item, item_text).distinct().toLocalIterator():
         raw = (r[1] or "").encode()

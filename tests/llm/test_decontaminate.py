@@ -120,3 +120,42 @@ def test_query_and_no_rows(spark):
     assert whole and whole <= got and len(got) <= len(whole) + 2
     docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
     assert contamination(docs.limit(0), bench).count() == 0 and contamination(docs, bench.limit(0)).count() == 0
+
+
+def all_windows(texts, items, s=Settings()):
+    """As ``brute``, with the rule applied to every window; windows that hold too few of the item's words are left out."""
+    out = set()
+    for i, p in items.items():
+        m, inside = len(p), set(p)
+        width = m + m // 4 + 2
+        for d, w in texts.items():
+            to = np.concatenate([[0], np.cumsum([x in inside for x in w])])
+            for b in range(max(1, len(w) - width + 1)):
+                if to[min(b + width, len(w))] - to[b] >= s.least * m and leaks(lcs(p, w[b : b + width]), lcs(p[-s.answer_words :], w[b : b + width]), m, s):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def edited(rng, words, share):
+    return [rng.choice(words) if rng.random() < share else x for x in words]
+
+
+def test_items_of_any_length_are_found(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(3000)]
+    common = ["the", "of", "and", "to", "in"]
+    prose = lambda n: [rng.choice(common) if rng.random() < 0.4 else rng.choice(vocabulary) for _ in range(n)]
+    lengths = [8] * 24 + [15] * 12 + [600] * 3 + [1400] * 3
+    items = {i: prose(m) for i, m in enumerate(lengths)}
+    texts = {}
+    for share in (0.0, 0.2):
+        for i, x in items.items():
+            w = prose(300)
+            w[140:140] = edited(rng, x, share)
+            texts[len(texts)] = w
+    want = all_windows(texts, items)
+    assert {(d, i) for d, i in enumerate(items)} <= want and len(want) > 1.8 * len(items)
+    docs, bench = (spark.createDataFrame([(i, " ".join(x)) for i, x in rows.items()], f"{key} long, text string") for rows, key in ((texts, "doc_id"), (items, "item_id")))
+    rows = contamination(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and all(-1 <= r.cosine <= 1.001 for r in rows)
