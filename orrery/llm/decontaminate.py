@@ -302,27 +302,35 @@ class Seeds:
             i = j
 
 
+def leaks(n: int, answer: int, m: int, s: Settings) -> bool:
+    return n >= s.sure * m or (n >= s.least * m and answer >= s.answer * min(s.answer_words, m))
+
+
 def best_match(item: list[int], words: np.ndarray, lo: int, hi: int, s: Settings) -> tuple[int, int]:
-    """(common words, common words of the answer) of the best window within words[lo:hi]."""
+    """(common words, common words of the answer) of the best window within words[lo:hi] of those that leak the item; zeros without one.
+
+    Windows an eighth of the item apart come first; all windows if none of those leaks.
+    """
     m = len(item)
-    width, stride = window(m), max(1, m // 8)
+    width = window(m)
     inside = np.isin(words[lo:hi], np.array(item, np.uint32))
     to = np.concatenate([[0], np.cumsum(inside)])
-    begins = np.arange(0, max(1, hi - lo - width + stride), stride)
-    bound = to[np.minimum(begins + width, hi - lo)] - to[begins]
     best = (0, 0)
-    for b in begins[bound >= s.least * m].tolist():
-        text = words[lo + b : min(hi, lo + b + width)].tolist()
-        n = lcs(item, text)
-        if n >= best[0]:
-            best = max(best, (n, lcs(item[-s.answer_words :], text)))
+    for stride in dict.fromkeys((max(1, m // 8), 1)):
+        begins = np.arange(0, max(1, hi - lo - width + stride), stride)
+        bound = to[np.minimum(begins + width, hi - lo)] - to[begins]
+        for b in begins[bound >= min(s.least, s.sure) * m].tolist():
+            text = words[lo + b : min(hi, lo + b + width)].tolist()
+            n = lcs(item, text)
+            if n >= max(best[0], min(s.least, s.sure) * m):
+                answer = lcs(item[-s.answer_words :], text)
+                if leaks(n, answer, m, s):
+                    best = max(best, (n, answer))
+        if best[0]:
+            break
     return best
 
 
-def leaks(n: int, answer: int, m: int, s: Settings) -> bool:
-    return n >= s.sure * m or (n >= s.least * m and answer >= s.answer * min(s.answer_words, m))
-
-
 def _search(items: list[tuple[object, list[int]]], basis: np.ndarray, idf: np.ndarray, seeds: Seeds | None, s: Settings, item_type: pa.DataType):
     table = filled((basis * idf[:, None]).astype(np.float32))
     target = np.zeros((table.shape[1], len(items)), np.float32)

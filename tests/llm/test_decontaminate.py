@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from orrery.llm.decontaminate import Settings, cells, contamination, decontamination_stage, filled, frequencies, lcs, leaks, op4_decontaminate, row_sums, segments, singular_basis, weights, word_hashes
+from orrery.llm.decontaminate import Settings, best_match, cells, contamination, decontamination_stage, filled, frequencies, lcs, leaks, op4_decontaminate, row_sums, segments, singular_basis, weights, word_hashes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -159,3 +159,17 @@ def test_items_of_any_length_are_found(spark):
     docs, bench = (spark.createDataFrame([(i, " ".join(x)) for i, x in rows.items()], f"{key} long, text string") for rows, key in ((texts, "doc_id"), (items, "item_id")))
     rows = contamination(docs, bench).collect()
     assert {(r.doc_id, r.item_id) for r in rows} == want and all(-1 <= r.cosine <= 1.001 for r in rows)
+
+
+def test_every_window_is_judged(spark):
+    rng = random.Random(9)
+    item, other = [f"w{i}" for i in range(40)], lambda n: ["x" + "".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+    most = item[:26] + other(14)  # 65 % without the answer
+    answered = [x for i, x in enumerate(item) if i % 7 in (0, 2, 4) or i >= 32]  # fewer words, with the answer
+    texts = {0: most + other(200) + answered, 1: answered + other(90) + most, 2: most + other(200), 3: other(300)}
+    s = Settings()
+    assert 0.5 * 40 <= len(answered) < 26 and all_windows(texts, {7: item}) == {(0, 7), (1, 7)}
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    rows = contamination(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id for r in rows} == {0, 1} and all((r.common, r.answer_common) == (len(answered), 8) for r in rows)
+    assert best_match(list(range(40)), np.arange(100, 300).astype(np.uint32), 0, 200, s) == (0, 0)
