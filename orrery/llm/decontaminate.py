@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, letters of ASCII and Latin-1 lower-cased) of every document are hashed;
-   document frequencies of their buckets are counted over all documents.
-2. Passages of a fixed number of words become TF-IDF rows, each divided by the root
+   the passages of a fixed number of words that their buckets occur in are counted over
+   all documents.
+2. These passages become TF-IDF rows, each divided by the root
    of its words' squared weights.  A randomised SVD of all passages is computed in
    two distributed passes: tasks send sums of the size of the basis, never rows.
 3. Windows of two widths over whole documents, a step of words apart, are
@@ -11,7 +12,8 @@
 4. Cosines fall with the share of a window that an item fills, so they alone lose items
    much shorter or longer than the windows.  Each place where as many of an item's rarest
    words stand within a window of its length as any leak must have is a candidate too:
-   these are a superset of all leaks, whatever the item's length and words.
+   these are a superset of all leaks, whatever the item's length and words, and pairs
+   without such a place are not compared.
 5. Around each candidate, the longest common subsequence of words with the item is
    computed in windows of about the item's length.  A document leaks the item if it
    has ``sure`` of its words in order, or ``least`` of them together with the
@@ -48,14 +50,14 @@ class Settings:
     passage: int = 48  # words of a row of the matrix
     step: int = 16  # words between windows
     widths: tuple[int, ...] = (2, 4)  # of windows, in steps
-    common: float = 0.25  # buckets in a larger share of documents carry no weight
+    common: float = 0.25  # buckets in a larger share of passages carry no weight; items of such words are found by their seeds
     cosine: float = 0.45
     sure: float = 0.7
     least: float = 0.5
     answer: float = 0.8
     answer_words: int = 8
     least_words: int = 8
-    hits: float = 0.01  # words of a text that may be rare words of one item, if the rule leaves the choice
+    hits: float = 0.02  # words of a text that may be rare words of one item, if the rule leaves the choice
     block: int = 10_000
     seed: int = 11
 
@@ -90,18 +92,16 @@ def _batches(batches: Iterator[pa.RecordBatch], limit: int = 1 << 19) -> Iterato
 
 
 def frequencies(words: DataFrame, s: Settings) -> tuple[np.ndarray, int]:
-    """Documents in which each bucket occurs, and documents with words."""
+    """Passages in which each bucket occurs, and passages: their size doesn't grow with the documents'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(s.buckets + 1, np.int64)
         for _, w, offsets in _batches(batches, 1 << 17):
-            n = np.diff(offsets)
-            counts[-1] += int((n > 0).sum())
-            for i in range(0, len(n), 256):
-                some = n[i : i + 256]
-                seen = np.zeros((len(some), s.buckets), bool)
-                seen.ravel()[np.repeat(np.arange(len(some)), some) * s.buckets + w[offsets[i] : offsets[i + len(some)]] % s.buckets] = True
-                counts[:-1] += seen.sum(axis=0)
+            bucket = np.sort(cells(w, segments(offsets, s.passage), s.passage, s.buckets).astype(np.min_scalar_type(s.buckets)), axis=1)
+            new = np.ones(bucket.shape, bool)
+            new[:, 1:] = bucket[:, 1:] != bucket[:, :-1]
+            counts[:-1] += np.bincount(bucket[new], minlength=s.buckets + 1)[:-1]
+            counts[-1] += len(bucket)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bucket", "n"])
 
@@ -246,6 +246,9 @@ def window(m: int) -> int:
     return m + m // 4 + 2
 
 
+SEED = -2.0  # in place of a cosine
+
+
 class Seeds:
     """Candidates that no leak can avoid.
 
@@ -256,7 +259,7 @@ class Seeds:
     """
 
     def __init__(self, items: list[tuple[object, list[int]]], df: np.ndarray, n: int, s: Settings):
-        self.need, self.width, pairs = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64), []
+        self.need, self.width, pairs, times = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64), [], []
         share = df / max(n, 1) / s.passage
         for i, (_, x) in enumerate(items):
             m = len(x)
@@ -266,11 +269,12 @@ class Seeds:
             new = np.append(True, by[1:] != by[:-1])
             k = max(m - least + 1, int(np.searchsorted(np.cumsum(share[by % s.buckets] * new), s.hits, side="right")))
             self.need[i], self.width[i] = k - (m - least), window(m)
-            pairs.append(np.unique(by[:k]))
+            for column, x in zip((pairs, times), np.unique(by[:k], return_counts=True), strict=True):
+                column.append(x)
         words, item = np.concatenate(pairs), np.repeat(np.arange(len(items)), [len(x) for x in pairs])
         order = np.argsort(words, kind="stable")
         self.words, first, self.count = np.unique(words[order], return_index=True, return_counts=True)
-        self.first, self.item = first, item[order].astype(np.min_scalar_type(len(items)))
+        self.first, self.item, self.times = first, item[order].astype(np.min_scalar_type(len(items))), np.concatenate(times)[order]
         self.bits = (1 << 20) - 1
         self.known = np.zeros(self.bits + 1, bool)
         self.known[self.words & self.bits] = True
@@ -289,16 +293,31 @@ class Seeds:
             j = max(j, i + 1)
             end = int(np.searchsorted(at, at[j - 1] + widest))
             c, n = code[i:end], self.count[code[i:end]]
-            item = self.item[np.repeat(self.first[c] - (to[i:end] - to[i]), n) + np.arange(to[end] - to[i])]
-            order = np.argsort(item, kind="stable")
-            item, place = item[order].astype(np.int64), np.repeat(at[i:end], n)[order]
+            row = np.repeat(self.first[c] - (to[i:end] - to[i]), n) + np.arange(to[end] - to[i])
+            order = np.argsort(self.item[row], kind="stable")
+            row, place = row[order], np.repeat(at[i:end], n)[order]
+            item = self.item[row].astype(np.int64)
             last = np.arange(len(item)) + self.need[item] - 1
             begin = np.flatnonzero(last < len(item))
             last = last[begin]
             begin, last = (x[(item[last] == item[begin]) & (place[last] - place[begin] < self.width[item[begin]])] for x in (begin, last))
             doc = np.searchsorted(offsets, place[begin], side="right") - 1
-            whole = place[last] < offsets[doc + 1]
-            yield doc[whole], item[begin[whole]], place[begin[whole]], place[last[whole]] + 1
+            inside = place[last] < offsets[doc + 1]
+            begin, last, doc = begin[inside], last[inside], doc[inside]
+            # a word counts as often as the item has it
+            key = (item << 40) + place
+            size = np.searchsorted(key, (item[begin] << 40) + np.minimum(place[begin] + self.width[item[begin]], offsets[doc + 1])) - begin
+            ends = np.concatenate([[0], np.cumsum(size)])
+            x = 0
+            while x < len(begin):
+                y = max(x + 1, int(np.searchsorted(ends, ends[x] + pairs, side="right")) - 1)
+                some = np.repeat(np.arange(y - x), size[x:y])
+                words = row[np.repeat(begin[x:y] - (ends[x:y] - ends[x]), size[x:y]) + np.arange(ends[y] - ends[x])]
+                met, count = np.unique(some * len(self.item) + words, return_counts=True)
+                enough = np.bincount(met // len(self.item), np.minimum(count, self.times[met % len(self.item)]), y - x) >= self.need[item[begin[x:y]]]
+                b = begin[x:y][enough]
+                yield doc[x:y][enough], item[b], place[b], place[last[x:y][enough]] + 1
+                x = y
             i = j
 
 
@@ -357,13 +376,13 @@ def _search(items: list[tuple[object, list[int]]], basis: np.ndarray, idf: np.nd
                         found.setdefault((int(doc[r]), int(j)), []).append((float(cosine[i, j]), int(starts[r]), int(starts[r]) + k * s.step))
             for places in seeds.places(w, offsets) if seeds else ():
                 for d, j, a, b in zip(*(x.tolist() for x in places), strict=True):
-                    found.setdefault((d, j), []).append((-1.0, a, b))
+                    found.setdefault((d, j), []).append((SEED, a, b))
             out: list[list] = [[], [], [], [], [], []]
             for (d, j), places in found.items():
                 name, words = items[j]
                 m, best, width = len(words), (0, 0), window(len(words))
                 regions: list[list[int]] = []
-                for _, a, b in sorted(places, key=lambda p: p[1]):
+                for _, a, b in sorted((p for p in places if p[0] == SEED), key=lambda p: p[1]):  # without one the rule can't hold
                     a, b = max(int(offsets[d]), a - width), min(int(offsets[d + 1]), b + width)
                     if regions and a <= regions[-1][1]:
                         regions[-1][1] = max(b, regions[-1][1])
@@ -373,7 +392,7 @@ def _search(items: list[tuple[object, list[int]]], basis: np.ndarray, idf: np.nd
                     best = max(best, best_match(words, w, a, b, s))
                 if leaks(*best, m, s):
                     near = max(p[0] for p in places)
-                    if near < 0:  # no window is near enough: the nearest around the candidates
+                    if near == SEED:  # no window is near enough: the nearest around the candidates
                         lo, hi = np.searchsorted(starts, (min(p[1] for p in places) - s.step, max(p[2] for p in places)))
                         lo = max(int(lo), int(np.searchsorted(doc, d)))
                         to = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums[lo : np.searchsorted(doc, d, side="right")], axis=0, dtype=np.float64)])

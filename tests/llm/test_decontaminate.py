@@ -173,3 +173,21 @@ def test_every_window_is_judged(spark):
     rows = contamination(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
     assert {r.doc_id for r in rows} == {0, 1} and all((r.common, r.answer_common) == (len(answered), 8) for r in rows)
     assert best_match(list(range(40)), np.arange(100, 300).astype(np.uint32), 0, 200, s) == (0, 0)
+
+
+def test_long_documents_and_common_words(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(20000)]
+    common = ["the", "of", "and", "to", "in"]
+    items = {i: [rng.choice(vocabulary) for _ in range(24)] for i in range(8)} | {8: [rng.choice(common) for _ in range(24)]}
+    texts = {d: [rng.choice(common) if rng.random() < 0.2 else rng.choice(vocabulary) for _ in range(16000)] for d in range(9)}
+    for d, w in texts.items():
+        w[9000:9000] = items[d]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    rows = contamination(docs, spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")).collect()
+    assert {(d, d) for d in texts} <= {(r.doc_id, r.item_id) for r in rows} and {(r.doc_id, r.item_id) for r in rows} == all_windows(texts, items)
+    s = Settings()
+    hashed = spark.createDataFrame([(d, word_hashes(np.frombuffer(raw := " ".join(w).encode(), np.uint8), np.array([0, len(raw)]))[0].tobytes()) for d, w in texts.items()], "doc long, words binary")
+    df, n = frequencies(hashed, s)
+    used = df > 0
+    assert n == sum(-(-len(w) // s.passage) for w in texts.values()) and (weights(df, n, s)[used] > 0).mean() > 0.99
