@@ -249,9 +249,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def language_stage(docs: DataFrame, least_score: float = 0.25) -> DataFrame:
-    """Documents with a known language; those without letters or with a score below ``least_score`` go."""
+def language_stage(docs: DataFrame, clear: float = 0.4, size: int = 400, text: str = "text") -> DataFrame:
+    """Documents with a known language; those without letters or without a clear language go.
+
+    The score of L labels is never under 1/L.  It has to be ``clear`` of the way from
+    there to 1 for texts of ``size`` bytes and more, in proportion less for shorter ones.
+    """
     names = docs.columns
     label, score = (c + "_" * (1 + max(map(len, names))) for c in ("label", "score"))  # no name of the input
-    kept = predict(docs, train(docs), keep=tuple(c for c in names if c != "doc_id"), out=(label, score))
-    return kept.filter((F.col(label) != UNKNOWN) & (F.col(score) >= least_score)).select(*names)
+    net = train(docs)
+    chance = 1 / len(net.labels) if net else 1.0
+    least = F.lit(chance - 1e-6) + F.lit((1 - chance) * clear) * F.least(F.lit(1.0), F.octet_length(text) / F.lit(size))
+    kept = predict(docs, net, keep=tuple(c for c in names if c != "doc_id"), out=(label, score))
+    return kept.filter((F.col(label) != UNKNOWN) & (F.col(score) >= least)).select(*names)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -80,3 +81,18 @@ def test_edges(spark):
     blank = spark.createDataFrame([(1, "text", None, None, None)], SCHEMA)
     assert predict(blank, train(blank)).collect()[0].lang_pred == "und"
     assert predict(docs.limit(0), train(docs.limit(0))).count() == 0
+
+
+def test_unclear_texts_go_and_clean_ones_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = {}
+    for i in range(40):
+        rng = random.Random(i)
+        odd[-1 - 3 * i] = "".join(rng.choices("人人生而自由在尊严和权利上一律平等他们赋有理性和良心", k=600))
+        odd[-2 - 3 * i] = " ".join(rng.choices("wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw".split(), k=300))
+        odd[-3 - 3 * i] = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz   ", k=2000))
+    left = {r.doc_id for r in language_stage(docs.union(spark.createDataFrame([(i, x, None) for i, x in odd.items()], "doc_id long, text string, lang string"))).select("doc_id").collect()}
+    clean = {r.doc_id for r in docs.filter("text rlike '[a-z]'").collect()}
+    assert len(clean - left) <= 0.005 * len(clean) and len(set(odd) & left) <= 0.75 * len(odd), (len(clean), len(clean - left), len(odd), len(set(odd) & left))
+    short = {r.doc_id for r in docs.filter("text rlike '[a-z]' and length(text) < 100").collect()}
+    assert short and short <= left
