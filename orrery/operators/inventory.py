@@ -13,11 +13,11 @@ SQL = {
     "proj": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem",
     "proj_star": "SELECT * FROM nation",
     "proj_table_star": "SELECT n.*, r_name FROM nation n JOIN region ON n_regionkey = r_regionkey",
-    "alias": "SELECT c_custkey AS id, c_name AS title FROM customer AS c WHERE c.c_custkey <= 100",
+    "alias": "SELECT c_custkey AS id, c_name AS title FROM customer AS c",
     "arith": f"SELECT l_returnflag, CAST(SUM({PRICE} * CAST(l_linenumber AS DECIMAL(3,0)) - CAST(l_quantity AS DECIMAL(4,0))) AS DOUBLE) AS v FROM lineitem GROUP BY l_returnflag",
     "filter_eq": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey = 7",
     "filter_lt": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 3 AND l_orderkey > 500",
-    "filter_ge": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 48 AND l_orderkey <= 900",
+    "filter_ge": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 48",
     "filter_between_num": "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 12",
     "filter_between_str": "SELECT p_partkey, p_brand FROM part WHERE p_brand BETWEEN 'Brand#12' AND 'Brand#2'",
     "filter_between_date": "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-02-01'",
@@ -37,7 +37,7 @@ SQL = {
     "join_nested": "SELECT c_name, n_name FROM customer JOIN (nation JOIN region ON n_regionkey = r_regionkey) ON c_nationkey = n_nationkey WHERE r_name = 'EUROPE'",
     "join_fact_fact": "SELECT a.l_returnflag, COUNT(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY a.l_returnflag",
     "join_left": "SELECT c_custkey, COUNT(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'O' GROUP BY c_custkey",
-    "join_right": "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey AND o_orderkey < 100",
+    "join_right": "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey AND o_orderstatus = 'F'",
     "join_full": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a FULL OUTER JOIN nation b ON a.n_nationkey = b.n_nationkey + 3",
     "join_semi": "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49)",
     "join_anti": "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48)",
@@ -46,19 +46,19 @@ SQL = {
     "join_theta": "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     # aggregates
     "agg_sum": f"SELECT l_linestatus, CAST(SUM({PRICE}) AS DOUBLE) AS s FROM lineitem GROUP BY l_linestatus",
-    "agg_count": "SELECT COUNT(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderkey < 50",
+    "agg_count": "SELECT COUNT(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'",
     "agg_count_star": "SELECT COUNT(*) AS n FROM lineitem",
     "agg_min": "SELECT MIN(l_quantity) AS a, MIN(l_returnflag) AS b, MIN(CAST(l_shipdate AS DATE)) AS c FROM lineitem",
     "agg_max": "SELECT MAX(l_quantity) AS a, MAX(l_returnflag) AS b, MAX(CAST(l_shipdate AS DATE)) AS c FROM lineitem",
     "agg_avg": "SELECT l_returnflag, AVG(CAST(l_linenumber AS DOUBLE)) AS a FROM lineitem GROUP BY l_returnflag",
-    "agg_avg_nulls": "SELECT CAST(SUM(o_orderkey) AS DOUBLE) / COUNT(o_orderkey) AS mean FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderkey < 50",
+    "agg_avg_nulls": "SELECT CAST(SUM(o_orderkey) AS DOUBLE) / COUNT(o_orderkey) AS mean FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'",
     "agg_count_distinct": "SELECT l_returnflag, COUNT(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_returnflag",
     "agg_sum_distinct": "SELECT CAST(SUM(DISTINCT p_size) AS BIGINT) AS s FROM part",
     "agg_expr": f"SELECT l_returnflag, CAST(SUM({PRICE}) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS mean, COUNT(*) + 1 AS more FROM lineitem GROUP BY l_returnflag",
     "group_one": "SELECT o_orderpriority, COUNT(*) AS n FROM orders GROUP BY o_orderpriority",
     "group_multi": "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority",
     "group_varchar": "SELECT c_mktsegment, MIN(c_custkey) AS a FROM customer GROUP BY c_mktsegment",
-    "group_null": "SELECT o_orderstatus, COUNT(*) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderkey < 50 GROUP BY o_orderstatus",
+    "group_null": "SELECT o_orderstatus, COUNT(*) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority = '1-URGENT' GROUP BY o_orderstatus",
     "group_hidden": "SELECT COUNT(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "group_no_agg": "SELECT l_linenumber FROM lineitem GROUP BY l_linenumber",
     "group_null_value": "SELECT c_mktsegment, MAX(o_orderkey) AS top FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderkey < 0 GROUP BY c_mktsegment",
@@ -69,9 +69,9 @@ SQL = {
     "median": "SELECT l_returnflag, median(l_quantity) AS m FROM lineitem GROUP BY l_returnflag",
     # sort, limit
     "sort_multi": "SELECT o_orderstatus, o_orderkey FROM orders ORDER BY o_orderstatus, o_orderkey DESC",
-    "sort_nulls": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderkey < 50 ORDER BY o_orderkey ASC NULLS LAST, c_custkey LIMIT 60",
-    "sort_expr": "SELECT p_partkey FROM part ORDER BY p_size * -1, 1 LIMIT 20",
-    "sort_hidden": "SELECT c_name FROM customer ORDER BY c_custkey DESC LIMIT 7",
+    "sort_nulls": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' ORDER BY o_orderkey ASC NULLS LAST, c_custkey",
+    "sort_expr": "SELECT p_partkey FROM part ORDER BY p_size * -1, 1",
+    "sort_hidden": "SELECT c_name FROM customer ORDER BY c_custkey DESC",
     "limit_offset": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 5",
     "limit_beyond": "SELECT r_name FROM region ORDER BY r_name LIMIT 100 OFFSET 2",
     "offset_only": "SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 20",
@@ -80,7 +80,7 @@ SQL = {
     "union_all": "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region",
     "union": "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region",
     "intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 10",
+    "except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'",
     # functions
     "substring": "SELECT substring(c_name, 1, 12) AS p, COUNT(*) AS n FROM customer GROUP BY substring(c_name, 1, 12)",
     "math": "SELECT p_partkey, p_size * 2 - 1 AS a, p_size % 7 AS b, CAST(floor(p_size / 3.0) AS INT) AS c FROM part",
