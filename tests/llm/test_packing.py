@@ -105,9 +105,36 @@ def test_encoder_equals_the_library():
     rng = random.Random(5)
     alphabet = list("aeS 'tn\n\t.,1’é…-_ ß") + ["'ll", "  ", "\n\n", "the"]
     texts = ["".join(rng.choices(alphabet, k=rng.randrange(80))) for _ in range(400)]
-    assert e.fast is not None
+    assert e.words is not None
     for t, ids in zip(texts, e.encode(texts), strict=True):
         assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
         assert e.token_bytes()[ids].sum() == len(t.encode())
     other = TextEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    assert other.fast is None and other.one("Hello there").tolist() == other.tokenizer.encode("Hello there", add_special_tokens=False).ids
+    assert other.words is None and other.one("Hello there").tolist() == other.tokenizer.encode("Hello there", add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=60) | st.text(alphabet="aeS 'tsln\n\t.,1’é…-_ß<|¼ªº²\x0b\xa0", max_size=120))
+def test_any_text_has_the_ids_of_the_library(text):
+    e = encoder()
+    assert e.one(text).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("unit", [" ", "\t", "\n", "a", "!", "\u2003"])
+def test_long_runs(unit):
+    e = encoder()
+    text = unit * 2_000_000 + "b"
+    ids = e.one(text)
+    assert np.array_equal(ids, e.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_packs_a_text_with_a_long_run(spark):
+    docs = spark.createDataFrame([(0, " " * 1_500_000 + "x"), (1, "words " * 60_000)], "doc_id long, text string")
+    check({r.doc_id: r.text for r in docs.collect()}, pack(docs).collect())
+
+
+def test_words_that_are_not_remembered(monkeypatch):
+    monkeypatch.setattr("orrery.llm.tokens.REMEMBERED", 3)
+    e = TextEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "one two three four five one two " * 3
+    assert e.one(text).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids and len(e.known) == 3
