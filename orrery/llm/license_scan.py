@@ -2,19 +2,25 @@
 
 A notice that may differ in at most k edits is cut into k + 1 pieces: by the
 pigeonhole principle every occurrence holds at least one piece unchanged.  Exact
-search for the pieces gives candidate places, and the ``regex`` library's
-bounded-error matching verifies a window around each and reports the span.
+search for the pieces gives candidates, each of which the ``regex`` library's
+bounded-error matching verifies on its own.
 
 Texts are compared as their lower-cased words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``)
 joined by single spaces, so line breaks and punctuation between words don't count.
-
-Defined results: a null or empty text has no words and no spans.  Overlapping
-matches of one notice are reported once, of different notices each.  Equal rows
-get equal results.  Further columns of the input are ignored.
+A match is a run of whole words whose joined form is at most k edits (insertions,
+deletions, substitutions of bytes) from the notice: ``submit license`` is no
+``mit license``.
+
+Defined results: a null or empty text has no words and no spans.  Of matches of one
+notice that overlap, the one with the fewest edits is reported, then the earliest,
+then the shortest; matches of different notices are each reported.  The result of a
+text depends on nothing but the text; equal rows, null keys included, get equal
+results.  Further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -56,12 +62,21 @@ class Notice:
     edits: int
     base: bool = False
     pieces: list[tuple[int, bytes]] = field(default_factory=list)
-    pattern: object = None
+    patterns: list = field(default_factory=list)  # by the edits allowed
 
     def __post_init__(self):
-        self.pieces = pigeonhole(self.phrase.encode(), self.edits)
+        raw = self.phrase.encode()
+        self.pieces = pigeonhole(raw, self.edits)
         if not self.base:
-            self.pattern = regex.compile(b"(?b)(?:" + regex.escape(self.phrase.encode()) + b"){e<=%d}" % self.edits)
+            self.patterns = [regex.compile(b"(?:" + regex.escape(raw) + b"){e<=%d}" % e) for e in range(self.edits + 1)]
+
+    def distance(self, body: bytes, a: int, b: int) -> int | None:
+        """The least edits that make body[a:b] the phrase, if those are allowed."""
+        found = self.patterns[-1].fullmatch(body, a, b)
+        least = sum(found.fuzzy_counts) if found else None
+        while least and (found := self.patterns[least - 1].fullmatch(body, a, b)):
+            least = sum(found.fuzzy_counts)
+        return least
 
 
 def pigeonhole(phrase: bytes, edits: int) -> list[tuple[int, bytes]]:
@@ -85,19 +100,42 @@ def _places(body: bytes, seed: bytes) -> list[int]:
     return found
 
 
-def _fuzzy(body: bytes, lo: int, hi: int, n: Notice, at: list[int]) -> list[tuple[int, int, int]]:
-    """Verified matches in body[lo:hi] around the candidate starts ``at`` (ascending)."""
-    reach, found, windows = len(n.phrase) + n.edits, [], []
-    for p in at:
-        a, b = max(lo, p - n.edits - 1), min(hi, p + reach + n.edits + 1)
-        if windows and a <= windows[-1][1]:
-            windows[-1][1] = max(b, windows[-1][1])
-        else:
-            windows.append([a, b])
-    for a, b in windows:
-        for m in n.pattern.finditer(body, a, b):
-            found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-    return found
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every integer of each range [low, high) and the range it is from."""
+    n = np.maximum(high - low, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + low[owner], owner
+
+
+def word_runs(n: Notice, places: dict[bytes, np.ndarray], begin: np.ndarray, end: np.ndarray, words: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Candidates (first word, last word): runs that a piece stands in, near its place in the phrase, and of a length that the edits allow.
+
+    ``begin`` and ``end`` are the words' places, ``words`` the first word of each document and the end, ``head`` the documents' places.
+    """
+    size, k, out = len(n.phrase.encode()), n.edits, [np.zeros((0, 2), np.int64)]
+    for offset, seed in n.pieces:
+        at = places[seed]
+        if not len(at):
+            continue
+        doc = np.searchsorted(head, at, side="right") - 1  # a piece never crosses documents
+        low = np.maximum(np.searchsorted(begin, at - offset - k), words[doc])
+        high = np.minimum(np.searchsorted(begin, at - offset + k, side="right"), words[doc + 1])
+        first, owner = _spread(low, high)
+        low = np.maximum(np.searchsorted(end, begin[first] + size - k), first)
+        high = np.minimum(np.searchsorted(end, begin[first] + size + k, side="right"), words[doc[owner] + 1])
+        last, owner = _spread(low, high)
+        out.append(np.stack([first[owner], last], axis=1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (edits, first word, last word), those that no better one overlaps, by place."""
+    kept: list[tuple[int, int, int]] = []
+    for x in sorted(found):
+        i = bisect_left(kept, x[1], key=lambda y: y[1])
+        if (i == 0 or kept[i - 1][2] < x[1]) and (i == len(kept) or x[2] < kept[i][1]):
+            kept.insert(i, x)
+    return kept
 
 
 def scan_block(data: np.ndarray, offsets: np.ndarray, search: list[Notice]) -> tuple[np.ndarray, list[list[tuple]]]:
@@ -126,7 +164,6 @@ def scan_block(data: np.ndarray, offsets: np.ndarray, search: list[Notice]) -> t
     head = letters_to[offsets[:-1]] + words_to[offsets[:-1]] + 2 * np.arange(n_docs)  # of each document's line feed
     joined[head] = 0x0A
     body = joined.tobytes()
-    tail = np.append(head[1:], len(body))
     word_place = place[begins] if len(at) else at
     spans: list[list[tuple]] = [[] for _ in range(n_docs)]
 
@@ -138,25 +175,26 @@ def scan_block(data: np.ndarray, offsets: np.ndarray, search: list[Notice]) -> t
         w = int(np.searchsorted(word_place, place[i], side="right")) - 1 - int(words_to[offsets[d]])
         spans[d].append((n.label, int(at[i] - offsets[d]), int(at[j] + 1 - offsets[d]), w, edits, max(0.0, 1.0 - edits / len(n.phrase)), n.base))
 
-    hits: dict[bytes, list[int]] = {}
+    first_word = words_to[offsets]
+    word_end = place[np.append(first[at][1:], True)] + 1 if len(at) else at
+    hits: dict[bytes, np.ndarray] = {}
     for n in search:
         if n.base:
             for p in _places(body, b" " + n.phrase.encode() + b" "):
                 report(n, int(np.searchsorted(head, p, side="right")) - 1, p + 1, p + 1 + len(n.phrase), 0)
             continue
-        found: set[int] = set()
-        for offset, seed in n.pieces:
+        raw = n.phrase.encode()
+        for _, seed in n.pieces:
             if seed not in hits:
-                hits[seed] = _places(body, seed)
-            found.update(p - offset for p in hits[seed])
-        by_doc: dict[int, list[int]] = {}
-        ordered = sorted(found)
-        for p, d in zip(ordered, np.searchsorted(head, np.maximum(ordered, 0), side="right") - 1 if ordered else (), strict=True):
-            for x in {max(int(d), 0), int(np.searchsorted(head, p + len(n.phrase) + n.edits, side="right")) - 1}:
-                by_doc.setdefault(x, []).append(p)
-        for d, places in sorted(by_doc.items()):
-            for a, b, edits in _fuzzy(body, int(head[d]) + 1, int(tail[d]), n, places):
-                report(n, d, a, b, edits)
+                hits[seed] = np.array(_places(body, seed), np.int64)
+        found: list[tuple[int, int, int]] = []
+        for i, j in word_runs(n, hits, word_place, word_end, first_word, head).tolist():
+            a, b = int(word_place[i]), int(word_end[j])
+            edits = 0 if body[a:b] == raw else n.distance(body, a, b)
+            if edits is not None:
+                found.append((edits, i, j))
+        for edits, i, j in apart(found):
+            report(n, int(np.searchsorted(first_word, i, side="right")) - 1, int(word_place[i]), int(word_end[j]), edits)
     return n_words, spans
 
 

@@ -75,3 +75,72 @@ def test_every_notice_is_found_within_its_edits():
             mine = [s for s in spans[1] if s[0] == label]
             assert mine and mine[0][4] <= edits and not spans[0] and not spans[2], (label, texts[1])
             assert texts[1].encode()[mine[0][1] : mine[0][2]].strip()
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def brute_spans(text, phrase, edits):
+    """(edits, start, end) of the reported runs of words, from a table of edit distances over all runs."""
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)]
+    found = []
+    for i in range(len(words)):
+        for j in range(i, len(words)):
+            body = b" ".join(low[a:b] for a, b in words[i : j + 1])
+            if len(body) > len(phrase) + edits:
+                break
+            if len(body) >= len(phrase) - edits and (d := edit_distance(body, phrase.encode())) <= edits:
+                found.append((d, i, j))
+    kept = []
+    for d, i, j in sorted(found):
+        if all(j < a or b < i for _, a, b in kept):
+            kept.append((d, i, j))
+    return sorted((words[i][0], words[j][1], d) for d, i, j in kept)
+
+
+def spans_of_texts(texts):
+    raw = [x.encode() for x in texts]
+    return scan_block(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64), notices())[1]
+
+
+def test_spans_equal_brute_force():
+    rng = random.Random(11)
+    glue = ["", "s", "x", "the", "license", "mit", "general", "public", "all", "ä", "permit", "generals", "is"]
+
+    def mutated(phrase):
+        t = list(phrase)
+        for _ in range(rng.randrange(9)):
+            i = rng.randrange(len(t))
+            t[i : i + rng.randrange(2)] = rng.choice(["", "q", " ", "é", "ee"])
+        return "".join(t)
+
+    texts = []
+    for _ in range(150):
+        parts = [x for _ in range(rng.randrange(5)) for x in (mutated(rng.choice(list(NOTICES.values()))[0]), rng.choice(glue))]
+        texts.append(rng.choice(["\n", " ", ", "]).join(parts))
+    texts += ["mission is hereby granted free of charge to any person obtaining a copy", "", "permission is hereby granted free of charge to any person obtaining a", "mit licence mit license", "mt license mit licens", "apache licens apache license"]
+    for text, spans in zip(texts, spans_of_texts(texts), strict=True):
+        for label, (phrase, edits) in NOTICES.items():
+            assert sorted((s[1], s[2], s[4]) for s in spans if s[0] == label) == brute_spans(text, phrase, edits), (label, text)
+
+
+def test_words_are_whole():
+    for spans in spans_of_texts(["submit license", "permit licenses", "the summit licensed", "emit licence", "mitlicense mitlicense x"]):
+        assert [s for s in spans if s[0] == "near-mit"] == [] or spans[0][4] == 1
+    assert spans_of_texts(["submit license", "permit licenses", "the summit licensed"]) == [[], [], []]
+    assert [s[4] for s in spans_of_texts(["mitlicense"])[0]] == [1]
+
+
+def test_a_text_depends_on_itself_only(spark):
+    texts = [None, "", "mit licence " * 3000, "mit licence " * 3000, "x " * 400_000 + "apache licens"]
+    rows = [(k, t) for k, t in zip([1, None, 2, 2, None], texts, strict=True)]
+    got = scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 5 and sorted(len(r.spans) for r in got) == [0, 0, 1, 3000, 3000]
+    assert [s.edits for r in got if len(r.spans) == 1 for s in r.spans] == [1]
