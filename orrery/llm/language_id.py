@@ -10,9 +10,11 @@ sample: ``Training.documents`` labelled documents (those with the smallest hash
 their key) with ``Training.windows`` windows each.  Prediction covers every row.
 
 Defined results: ``und`` with score 0 if a text is null or has no letter.  Equal
-texts get equal predictions.  Rows with a null language never train.  An empty
-table gives no rows; if no labelled row is left to learn from, every prediction
-is ``und``.
+texts get equal predictions to the last bit, wherever they stand and however long
+they are: windows are computed in batches of one fixed shape, and a text's windows
+are summed in their order.  Of languages with equal probabilities the first by name
+is predicted.  Rows with a null language never train.  An empty table gives no
+rows; if no labelled row is left to learn from, every prediction is ``und``.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.llm.store import fresh
 from orrery.llm.textops import blocks, text_bytes
 
 UNKNOWN = "und"
@@ -34,6 +37,10 @@ LETTER = np.zeros(257, dtype=bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+#: Windows of a batch.  One shape for all, as a matrix product may round differently for another.
+BATCH = 2048
+
+
 @dataclass(frozen=True)
 class Training:
     """Bounds and settings of the fit."""
@@ -150,6 +157,19 @@ class Network:
         scores *= letters / scores.sum(axis=0)
         return scores.sum(axis=1).T.astype(np.float64), letters.sum(axis=0)
 
+    def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """(texts, labels): means over the letters' positions of each text; zeros without letters."""
+        x, owner = windows_of(data, offsets, self.width)
+        sums, letters = np.zeros((len(x), len(self.labels))), np.zeros(len(x))
+        for a in range(0, len(x), BATCH):
+            some = x[a : a + BATCH]
+            full = np.concatenate([some, np.full((BATCH - len(some), self.width), FILL, x.dtype)])
+            s, n = self.pooled(full)
+            sums[a : a + BATCH], letters[a : a + BATCH] = s[: len(some)], n[: len(some)]
+        n_texts = len(offsets) - 1
+        total = np.stack([np.bincount(owner, sums[:, k], n_texts) for k in range(len(self.labels))], axis=1)
+        return total / np.maximum(np.bincount(owner, letters, n_texts), 1)[:, None]
+
 
 def windows_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols (windows, width), filled at the end of each text, and each window's text."""
@@ -211,27 +231,21 @@ def predict(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str
         for b in batches:
             data, offsets = text_bytes(b.column(0))
             lettered = b.column(1).to_numpy(zero_copy_only=False)
-            for i, j in blocks(offsets, 1 << 20):
+            for i, j in blocks(offsets, 2 << 20):
                 cut = offsets[i : j + 1]
                 has = lettered[i:j].astype(bool)
                 best, score = np.zeros(j - i, np.int64), np.zeros(j - i)
                 if net is not None and has.any():
-                    x, owner = windows_of(data[cut[0] : cut[-1]], cut - cut[0], net.width)
-                    sums, letters = np.zeros((j - i, len(net.labels))), np.zeros(j - i)
-                    for a in range(0, len(x), 4096):
-                        s, n = net.pooled(x[a : a + 4096])
-                        for k in range(len(net.labels)):
-                            sums[:, k] += np.bincount(owner[a : a + 4096], s[:, k], j - i)
-                        letters += np.bincount(owner[a : a + 4096], n, j - i)
-                    sums /= np.maximum(letters, 1)[:, None]
-                    best, score = sums.argmax(axis=1), np.clip(sums.max(axis=1), 0, 1)
+                    mean = net.probabilities(data[cut[0] : cut[-1]], cut - cut[0])
+                    best, score = mean.argmax(axis=1), np.clip(mean.max(axis=1), 0, 1)
                 known = has & (net is not None)
                 labels = np.array([UNKNOWN] + (net.labels if net else []), dtype=object)
                 label = pa.array(labels[np.where(known, best + 1, 0)], pa.string())
                 yield pa.RecordBatch.from_arrays([*(b.column(2 + k).slice(i, j - i) for k in range(len(names))), label, pa.array(np.where(known, score, 0.0))], names=[*names, *out])
 
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
-    shown = [F.col(text).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_lettered")]
+    body, lettered = fresh(docs.columns, "text", "lettered")
+    shown = [F.col(text).alias(body), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(lettered)]
     return docs.select(*shown, *names).mapInArrow(run, schema)
 
 
@@ -256,7 +270,7 @@ def language_stage(docs: DataFrame, clear: float = 0.4, size: int = 400, text: s
     there to 1 for texts of ``size`` bytes and more, in proportion less for shorter ones.
     """
     names = docs.columns
-    label, score = (c + "_" * (1 + max(map(len, names))) for c in ("label", "score"))  # no name of the input
+    label, score = fresh(names, "label", "score")
     net = train(docs)
     chance = 1 / len(net.labels) if net else 1.0
     least = F.lit(chance - 1e-6) + F.lit((1 - chance) * clear) * F.least(F.lit(1.0), F.octet_length(text) / F.lit(size))

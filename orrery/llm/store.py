@@ -18,6 +18,17 @@ def on_workers(spark: SparkSession) -> None:
         known["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """Names like those wanted that no column has, whatever its letters' case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset."""
     sc = spark.sparkContext

@@ -96,3 +96,58 @@ def test_unclear_texts_go_and_clean_ones_stay(spark):
     assert len(clean - left) <= 0.005 * len(clean) and len(set(odd) & left) <= 0.75 * len(odd), (len(clean), len(clean - left), len(odd), len(set(odd) & left))
     short = {r.doc_id for r in docs.filter("text rlike '[a-z]' and length(text) < 100").collect()}
     assert short and short <= left
+
+
+def slow_probabilities(net, text):
+    """Means over a text's letters, window by window in double precision."""
+    p, raw, total, letters = {k: v.astype(np.float64) for k, v in net.p.items()}, text.encode(), np.zeros(len(net.labels)), 0
+    logistic = lambda a: 1 / (1 + np.exp(-2 * a))
+    windows = np.full((-(-len(raw) // net.width), net.width), 256)
+    windows.ravel()[: len(raw)] = list(raw)
+    score = np.tile(p["bo"], (*windows.shape, 1))
+    for d in (0, 1):
+        h = np.zeros((len(windows), net.hidden))
+        for t in range(net.width) if d == 0 else reversed(range(net.width)):
+            row = windows[:, t]
+            z, r = (logistic(p[f"e{k}"][d, row] + h @ p[f"u{k}"][d]) for k in "zr")
+            c = np.tanh(p["en"][d, row] + r * (h @ p["un"][d] + p["bn"][d, 0]))
+            h = (1 - z) * c + z * h
+            score[:, t] += h @ p["o"][d]
+    prob = np.exp(score - score.max(axis=2, keepdims=True))
+    prob /= prob.sum(axis=2, keepdims=True)
+    inside = (windows < 256) & ((windows >= 128) | ((windows | 32) >= 97) & ((windows | 32) <= 122))
+    return prob[inside].sum(axis=0) / max(1, inside.sum())
+
+
+def test_query_equals_the_slow_network(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    net = train(docs)
+    rows = {r.doc_id: r for r in op5_language_id(spark, d).collect()}
+    for x in docs.collect():
+        r = rows[x.doc_id]
+        if not any(c.isalpha() for c in x.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        mean = slow_probabilities(net, x.text)
+        assert r.score == pytest.approx(mean.max(), abs=1e-4)
+        if np.sort(mean)[-1] - np.sort(mean)[-2] > 1e-3:
+            assert r.lang_pred == net.labels[int(mean.argmax())]
+
+
+def test_equal_texts_are_equal_to_the_last_bit():
+    net = Network(["a", "b", "c"], 96, 8, 3)
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choices("abc déf.", k=n)).encode()
+    same = [text(1), text(95), text(96), text(97), text(5000), text(400_000)]
+    alone = [net.probabilities(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in same]
+    for before in (0, 1, 17, 96 * 2047, 96 * 2048, 96 * 2049 + 5):
+        texts = [text(before), *same, text(30), *reversed(same)]
+        got = net.probabilities(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+        for i, want in enumerate(alone):
+            assert (got[1 + i] == want[0]).all() and (got[len(texts) - 1 - i] == want[0]).all()
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "the thing and other " * 9, "en", i, True) for i in range(20)], "doc_id long, text string, lang string, _text int, _lettered boolean")
+    assert sorted(map(tuple, language_stage(docs).collect())) == sorted(map(tuple, docs.collect()))
