@@ -12,11 +12,14 @@
    agreement the likelihood accounts for).
 4. Survivors are checked exactly on their full shingle sets.
 5. Connected components of the links are found.  In buckets that then still hold
-   several components, pairs across components are compared too.  That happens
-   inside tasks, on blocks of a bucket of bounded size, and only links leave a task;
-   a pair is compared in its first common band, and not once links found in the
-   task have joined its components.  Pairs within a component can't change the
-   result.
+   several components, pairs across components are compared too, on their full sets.
+   One row of such a pair is outside the bucket's largest component: rows outside are
+   dealt to all parts of the bucket, all others to their own part only, so that a
+   bucket with one large component costs no more than its rows.  A part holds a
+   bounded number of rows and shingles; rows outside visit it in blocks of the same
+   bound.  Only links leave a task; a pair is compared in its first common band, and
+   not once links found in the task have joined its components.  Pairs within a
+   component can't change the result.
 
 A pair at the threshold shares no band with a probability of
 ``(1 - 0.8**4)**32 < 1e-7``.
@@ -24,7 +27,8 @@ A pair at the threshold shares no band with a probability of
 Defined results: null or empty texts, or texts without words, have an empty set
 and are linked with nothing.  Rows of one key share its component; rows with a
 null key have a null component and are kept.  Equal rows get equal results.
-Further columns are ignored.  An empty table gives no rows.
+Further columns are ignored.  An empty table gives no rows.  Keys are integers,
+as components are named by the smallest one; a key of another type is an error.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm.graph import components
-from orrery.llm.store import Table, only, release, written
+from orrery.llm.store import Table, fresh, integral, only, release, written
 from orrery.llm.textops import LOWER, NOT_SPACE, U64, blocks, hash_spans, mix, runs, text_bytes
 
 
@@ -51,7 +55,8 @@ class Settings:
     rows: int = 4
     step: int = 16  # hashes of a batch of the sequential test
     miss: float = 1e-6
-    block: int = 2_000_000  # shingles of a block of a bucket
+    block: int = 400_000  # shingles of a part of a bucket
+    members: int = 1024  # rows of a part of a bucket
 
     @property
     def hashes(self) -> int:
@@ -141,7 +146,7 @@ def sketches(docs: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
     """Per row: doc, n, two sums that name the set, signature bytes, band keys."""
     long = T.LongType()
     schema = T.StructType([T.StructField(c, k) for c, k in (("doc", long), ("n", long), ("set_a", long), ("set_b", long), ("sig", T.BinaryType()), ("bands", T.ArrayType(long)))])
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(_sketch(s, schema.names), schema)
+    return docs.select(integral(docs, key).alias("doc"), F.col(text).alias("text")).mapInArrow(_sketch(s, schema.names), schema)
 
 
 def least_matches(s: Settings) -> list[tuple[int, int]]:
@@ -209,19 +214,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
                         h, to = shingle_sets(data[cut[0] : cut[-1]], cut - cut[0], s.width)
                         sets |= {names[k]: h[to[k - i] : to[k - i + 1]] for k in range(i, j)}
                 for x, y in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                    p, q = sets[x], sets[y]
-                    both = np.concatenate([p, q])
-                    both.sort(kind="stable")
-                    common = int((both[1:] == both[:-1]).sum())
-                    keep.append(len(both) > 0 and 100 * common >= s.percent * (len(both) - common))
+                    n, common = len(sets[x]) + len(sets[y]), common_shingles(sets[x], sets[y])
+                    keep.append(n > 0 and 100 * common >= s.percent * (n - common))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     half = lambda x: docs.select(F.col("doc").alias(x), F.col("text").alias(f"text_{x}"))
     return pairs.join(half("a"), "a").join(half("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _short_sets(s: Settings):
-    """Each text's shingles as ascending 32-bit hashes."""
+def _full_sets(s: Settings):
+    """Each text's shingles as ascending hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,26 +231,37 @@ def _short_sets(s: Settings):
             for i, j in blocks(offsets):
                 cut = offsets[i : j + 1]
                 h, to = shingle_sets(data[cut[0] : cut[-1]], cut - cut[0], s.width)
-                short = np.ascontiguousarray((h >> U64(32)).astype(np.uint32))
-                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(4 * to), pa.py_buffer(short)]).cast(pa.binary())
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(8 * to), pa.py_buffer(np.ascontiguousarray(h))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), column], names=["doc", "set"])
 
     return run, "doc long, set binary"
 
 
-#: Shingles by which 32-bit hashes may misjudge an intersection; links are checked on full hashes later.
-SLACK = 3
+def common_shingles(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
 
 
-def links_across(part: np.ndarray, slot: int, crossed: bool, doc: np.ndarray, component: np.ndarray, sig: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], s: Settings, bounds: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Links of a bucket's block between rows of different components (``crossed``: and different parts).
+@dataclass
+class Cell:
+    """Rows of a bucket's part and rows outside its largest component that visit it."""
 
-    One row of such a pair is outside the block's largest component: only those rows are compared with all.
-    """
-    names, label = np.unique(component, return_inverse=True)
-    largest = label == np.bincount(label).argmax()
-    order = np.argsort(largest, kind="stable")
-    part, doc, label, sig, bands, sets = part[order], doc[order], label[order], sig[order], bands[order], [sets[i] for i in order]
+    slot: int  # of the bucket's band
+    home: np.ndarray
+    visitor: np.ndarray
+    inside: np.ndarray  # of the bucket's largest component
+    doc: np.ndarray
+    component: np.ndarray
+    sig: np.ndarray
+    bands: np.ndarray
+    sets: list[np.ndarray]
+
+
+def links_across(cell: Cell, s: Settings, bounds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links between visitors and rows at home that have different components; two rows outside meet where the smaller is at home."""
+    c, out = cell, []
+    names, label = np.unique(c.component, return_inverse=True)
     parent = list(range(len(names)))
 
     def root(x: int) -> int:
@@ -257,53 +270,54 @@ def links_across(part: np.ndarray, slot: int, crossed: bool, doc: np.ndarray, co
             x = parent[x]
         return x
 
-    n, size, out = len(doc), np.array([len(x) for x in sets]), []
-    rows = max(1, (1 << 22) // (n * s.step + 1))
-    outside = n - int(largest.sum())
-    for a in range(0, outside, rows):
-        b = min(outside, a + rows)
-        same = (sig[a:b, None, : s.step] == sig[None, a:, : s.step]).sum(axis=2) >= bounds[0][1]
-        same &= (label[a:b, None] != label[None, a:]) & (np.arange(a, n)[None, :] > np.arange(a, b)[:, None])
-        same &= np.minimum(size[a:b, None], size[None, a:]) * 100 >= np.maximum(size[a:b, None], size[None, a:]) * s.percent
-        if crossed:
-            same &= part[a:b, None] != part[None, a:]
+    size = np.array([len(x) for x in c.sets])
+    visitors, home = np.flatnonzero(c.visitor), np.flatnonzero(c.home)
+    rows = max(1, (1 << 22) // (len(home) * s.step + 1))
+    head = c.sig[home, : s.step]
+    for a in range(0, len(visitors), rows):
+        v = visitors[a : a + rows]
+        same = (c.sig[v, None, : s.step] == head[None]).sum(axis=2) >= bounds[0][1]
+        same &= (label[v, None] != label[None, home]) & (c.inside[None, home] | (c.doc[v, None] > c.doc[None, home]))
+        same &= np.minimum(size[v, None], size[None, home]) * 100 >= np.maximum(size[v, None], size[None, home]) * s.percent
         i, j = np.nonzero(same)
-        i, j = i + a, j + a
-        keep = sequential_test(sig[i], sig[j], s, bounds) if len(i) else np.zeros(0, bool)
+        i, j = v[i], home[j]
+        keep = sequential_test(c.sig[i], c.sig[j], s, bounds) if len(i) else np.zeros(0, bool)
         i, j = i[keep], j[keep]
         if len(i):
-            first = (bands[i] == bands[j]).argmax(axis=1) == slot
+            first = (c.bands[i] == c.bands[j]).argmax(axis=1) == c.slot
             i, j = i[first], j[first]
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
             p, q = root(label[x]), root(label[y])
-            if p == q:
-                continue
-            common = np.concatenate([sets[x], sets[y]])
-            common.sort(kind="stable")
-            shared = int((common[1:] == common[:-1]).sum())
-            if 100 * (shared + SLACK) >= s.percent * (len(common) - shared - SLACK):
-                out.append((int(doc[x]), int(doc[y])))
-                if 100 * (shared - SLACK) >= s.percent * (len(common) - shared + SLACK):
+            if p != q:
+                shared = common_shingles(c.sets[x], c.sets[y])
+                if 100 * shared >= s.percent * (size[x] + size[y] - shared):
+                    out.append((int(c.doc[x]), int(c.doc[y])))
                     parent[max(p, q)] = min(p, q)
     return out
 
 
+CELL = ("band", "p", "q", "home", "visitor", "inside", "slot", "doc", "component", "sig", "bands", "set")
+
+
 def _across(s: Settings):
+    """Links of the cells (band, p, q) of a sorted partition."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds, held = least_matches(s), []
 
         def handle(rows: pa.Table) -> pa.RecordBatch:
             rows = rows.combine_chunks()
-            band, p, q, part, slot, doc, component = (rows.column(c).to_numpy() for c in range(7))
-            sig = text_bytes(rows.column(7))[0].reshape(-1, s.hashes)
-            bands = rows.column(8).combine_chunks().flatten().to_numpy().reshape(-1, s.bands)
-            data, offsets = text_bytes(rows.column(9))
+            band, p, q, home, visitor, inside, slot, doc, component = (rows.column(c).to_numpy() for c in CELL[:9])
+            sig = text_bytes(rows.column("sig"))[0].reshape(-1, s.hashes)
+            bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, s.bands)
+            data, offsets = text_bytes(rows.column("set"))
             edge = np.flatnonzero((band[1:] != band[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
             out: list[tuple[int, int]] = []
             for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(band)], strict=True):
                 if b - a > 1:
-                    sets = [np.frombuffer(data[offsets[k] : offsets[k + 1]].tobytes(), np.uint32) for k in range(a, b)]
-                    out += links_across(part[a:b], int(slot[a]), bool(p[a] != q[a]), doc[a:b], component[a:b], sig[a:b], bands[a:b], sets, s, bounds)
+                    sets = [np.frombuffer(data[offsets[k] : offsets[k + 1]].tobytes(), np.uint64) for k in range(a, b)]
+                    cell = Cell(int(slot[a]), home[a:b], visitor[a:b], inside[a:b], doc[a:b], component[a:b], sig[a:b], bands[a:b], sets)
+                    out += links_across(cell, s, bounds)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for b in batches:
@@ -322,6 +336,20 @@ def _across(s: Settings):
     return run
 
 
+def cells(rows: DataFrame, s: Settings, held) -> DataFrame:
+    """Rows of mixed buckets (band, slot, doc, component, n), dealt to cells (p, q): (doc, slot, band, p, q, home, visitor, inside)."""
+    of = rows.groupBy("band", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+    of = of.groupBy("band").agg(F.max(F.struct("rows", "total", "component")).alias("top"), F.sum("rows").alias("rows"), F.sum("total").alias("total"))
+    count = lambda n, total: F.greatest(F.lit(1), F.ceil(n / s.members), F.ceil(total / s.block)).cast("int")
+    plan = of.select("band", F.col("top.component").alias("largest"), count(F.col("rows"), F.col("total")).alias("parts"), count(F.col("rows") - F.col("top.rows"), F.col("total") - F.col("top.total")).alias("visits"))
+    known = rows.join(held(plan, "plan"), "band")
+    at = known.withColumns({"inside": F.col("component") == F.col("largest"), "p0": F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"), "q0": F.pmod(F.xxhash64("doc", F.lit(1)), F.col("visits")).cast("int")})
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    home = F.transform(upto("visits"), lambda q: F.struct(F.col("p0").alias("p"), q.alias("q"), F.lit(True).alias("home"), (~F.col("inside") & (q == F.col("q0"))).alias("visitor")))
+    visit = F.transform(F.filter(upto("parts"), lambda p: ~F.col("inside") & (p != F.col("p0"))), lambda p: F.struct(p.alias("p"), F.col("q0").alias("q"), F.lit(False).alias("home"), F.lit(True).alias("visitor")))
+    return at.select("doc", "slot", "band", "inside", F.explode(F.concat(home, visit)).alias("cell")).select("doc", "slot", "band", "inside", "cell.*")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Per row: doc (the key), n_shingles, component_id, kept."""
     s, spark, passing = settings, docs.sparkSession, []
@@ -340,7 +368,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     buckets = reps.select(F.explode("bands").alias("band"), "doc")
     centres = held(buckets.groupBy("band").agg(F.min("doc").alias("b"), F.count("*").alias("size")).filter("size > 1").drop("size"), "centres")
     stars = buckets.join(centres, "band").filter("doc != b").select(F.col("doc").alias("a"), "b").distinct()
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    texts = docs.select(integral(docs, key).alias("doc"), F.col(text).alias("text"))
 
     def links(pairs: DataFrame) -> DataFrame:
         """Confirmed pairs; only texts that a pair needs are joined."""
@@ -354,18 +382,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     first = held(components(found), "components")
     labelled = held(reps.join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "labelled")
     spread = labelled.select(F.posexplode("bands").alias("slot", "band"), "doc", "component", "n")
-    mixed = spread.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.sum("n").alias("total")).filter("low != high and size > 2")
-    mixed = held(mixed.select("band", F.ceil(F.col("total") / s.block).cast("int").alias("parts")), "mixed")
-    open_ = held(spread.join(mixed, "band").select("doc", "slot", "band", "parts", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part")), "open")
-    short = held(only(texts, "doc", open_.select("doc").distinct()).mapInArrow(*_short_sets(s)), "short")
+    mixed = spread.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low != high and size > 2")
+    open_ = held(spread.join(held(mixed.select("band"), "mixed"), "band"), "open")
+    full_sets = held(only(texts, "doc", open_.select("doc").distinct()).mapInArrow(*_full_sets(s)), "full")
     release(spark)
-    full = labelled.select("doc", "component", "sig", "bands").join(short, "doc")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = open_.select("doc", "slot", "band", "part", other.alias("other"))
-    dealt = dealt.select("doc", "slot", "band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part").join(full, "doc")
+    full = labelled.select("doc", "component", "sig", "bands").join(full_sets, "doc")
+    dealt = cells(open_, s, held).join(full, "doc")
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(count, "band", "p", "q").sortWithinPartitions("band", "p", "q", "doc").select("band", "p", "q", "part", "slot", "doc", "component", "sig", "bands", "set")
-    more = links(dealt.mapInArrow(_across(s), "a long, b long").distinct())
+    dealt = dealt.repartition(count, "band", "p", "q").sortWithinPartitions("band", "p", "q", "doc").select(*CELL)
+    more = held(dealt.mapInArrow(_across(s), "a long, b long").distinct(), "links")
     label = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
     joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("of_a", "a").alias("u"), F.coalesce("of_b", "b").alias("v"))
     release(spark)
@@ -387,5 +412,6 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_stage(docs: DataFrame) -> DataFrame:
     """The documents of which each group of near copies keeps one (five-word shingles)."""
-    drop = near_duplicates(docs).filter("not kept").select(F.col("doc").alias("_drop")).distinct()
-    return docs.join(drop, docs["doc_id"].cast("long") == drop["_drop"], "left_anti")
+    (name,) = fresh(docs.columns, "drop")
+    drop = near_duplicates(docs).filter("not kept").select(F.col("doc").alias(name)).distinct()
+    return docs.join(drop, docs["doc_id"].cast("long") == drop[name], "left_anti")

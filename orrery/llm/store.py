@@ -6,8 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def on_workers(spark: SparkSession) -> None:
@@ -29,6 +30,13 @@ def fresh(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def integral(df: DataFrame, key: str) -> Column:
+    """An integer column as a long; another type is an error rather than a key that is lost."""
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"the key {key} must be an integer column, not {df.schema[key].dataType.simpleString()}")
+    return F.col(key).cast("long")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset."""
     sc = spark.sparkContext
@@ -78,29 +86,35 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: Bits of the filter below: its table has at most a 64th of that many rows of 16 bytes, whatever the input.
-FILTER_BITS = 1 << 22
+#: Most bits of the filter below (16 MB), enough for about eight million wanted keys; with more it lets more rows through, and all in the end.
+FILTER_BITS = 1 << 27
 
 
-def _marked(rows: DataFrame, key: str, wanted: DataFrame, how: str) -> DataFrame:
-    """Rows joined with a broadcast bit table of bounded size, a bit per hash of ``wanted``'s first column: ``hit_``."""
+def _marked(rows: DataFrame, key: str, wanted: DataFrame, how: str) -> tuple[DataFrame, str]:
+    """Rows joined with a broadcast bit table of bounded size, a bit per hash of ``wanted``'s first column, and the name of a column that says whether a row's bit is set.
+
+    The table has about 16 bits for each wanted key, up to ``FILTER_BITS``.
+    """
     name = wanted.columns[0]
-    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
-    hashed = wanted.filter(F.col(name).isNotNull()).select(place(name).alias("at_"))
-    bits = hashed.groupBy(F.shiftright("at_", 6).alias("word_")).agg(F.expr("bit_or(shiftleft(1L, cast(at_ & 63 as int)))").alias("bits_"))
-    joined = rows.withColumn("at_", place(key)).join(F.broadcast(bits), F.shiftright("at_", 6) == F.col("word_"), how)
-    return joined.withColumn("hit_", F.col(key).isNotNull() & (F.expr("coalesce(shiftright(bits_, cast(at_ & 63 as int)) & 1L, 0L)") == 1))
+    at, word, mask, hit = fresh(rows.columns, "at", "word", "mask", "hit")
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    hashed = wanted.filter(F.col(name).isNotNull()).select(place(name).alias(at))
+    table = hashed.groupBy(F.shiftright(at, 6).alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} & 63 as int)))").alias(mask))
+    joined = rows.withColumn(at, place(key)).join(F.broadcast(table), F.shiftright(at, 6) == F.col(word), how)
+    return joined.withColumn(hit, F.col(key).isNotNull() & (F.expr(f"coalesce(shiftright({mask}, cast({at} & 63 as int)) & 1L, 0L)") == 1)), hit
 
 
 def near(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows whose key is among the wanted ones, and few others; the columns of ``rows``."""
-    return _marked(rows, key, wanted, "inner").filter("hit_").select(*rows.columns)
+    marked, hit = _marked(rows, key, wanted, "inner")
+    return marked.filter(hit).select(*rows.columns)
 
 
 def split(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """:func:`near` and the rest of the rows, whose keys aren't wanted."""
-    marked = _marked(rows, key, wanted, "left")
-    return marked.filter("hit_").select(*rows.columns), marked.filter("not hit_").select(*rows.columns)
+    marked, hit = _marked(rows, key, wanted, "left")
+    return marked.filter(hit).select(*rows.columns), marked.filter(~F.col(hit)).select(*rows.columns)
 
 
 def only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -108,6 +122,7 @@ def only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
     Most other rows are dropped where they are read; the exact join gets what is left.
     """
-    exact = wanted.select(F.col(wanted.columns[0]).cast("long").alias("wanted_")).distinct()
+    (name,) = fresh(rows.columns, "wanted")
+    exact = wanted.select(F.col(wanted.columns[0]).cast("long").alias(name)).distinct()
     # no semi-join: the optimizer would move it before the filter
-    return near(rows, key, wanted).join(exact, F.col(key).cast("long") == F.col("wanted_")).select(*rows.columns)
+    return near(rows, key, wanted).join(exact, F.col(key).cast("long") == F.col(name)).select(*rows.columns)

@@ -1,12 +1,12 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from orrery.llm.graph import components
-from orrery.llm.near_dedup import Settings, dedup_stage, least_matches, near_duplicates, op1_minhash_dedup, sequential_test
+from orrery.llm.near_dedup import Settings, cells, dedup_stage, least_matches, near_duplicates, op1_minhash_dedup, sequential_test
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -66,8 +66,8 @@ def test_edits_and_chains(spark):
     texts = dict(enumerate(variants() + [None, "", " \n\t ", "one", "One", "two words", "a b c", "a b c d", "A b\tc d", "x" * 40000, "x y " * 9000, "x y " * 8000]))
     rows = [(d, t, d, "s", 1) for d, t in texts.items()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n long, sig string, component_id int")
-    for width, block in ((4, 2_000_000), (5, 1500)):
-        got = {r.doc: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, settings=Settings(width=width, block=block)).collect()}
+    for width, block, members in ((4, 400_000, 1024), (5, 1500, 1024), (4, 400_000, 3)):
+        got = {r.doc: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, settings=Settings(width=width, block=block, members=members)).collect()}
         assert got == brute(texts, width)
     left = dedup_stage(docs)
     assert left.columns == docs.columns
@@ -102,3 +102,36 @@ def test_components(spark, edges):
             parent[q] = p
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
+
+
+def test_a_bucket_with_one_large_component_is_dealt_once(spark):
+    rows = [(5, 0, i, 1 if i else 0, 10) for i in range(5001)] + [(6, 1, i, i % 2, 10) for i in range(400)]
+    docs = spark.createDataFrame(rows, "band long, slot int, doc long, component long, n long")
+    dealt = cells(docs, Settings(members=100), lambda df, name: df).collect()
+    hot = [r for r in dealt if r.band == 5]
+    assert len(hot) == 5001 + 50 and len({(r.p, r.q) for r in hot}) == 51
+    # every pair with a row outside meets exactly once
+    met = Counter()
+    by = defaultdict(list)
+    for r in dealt:
+        by[r.band, r.p, r.q].append(r)
+    for x in by.values():
+        for v in x:
+            for h in x:
+                if v.visitor and h.home and v.doc != h.doc and (h.inside or v.doc > h.doc):
+                    met[(v.band, *sorted((v.doc, h.doc)))] += 1
+    inside = {(r.band, r.doc): r.inside for r in dealt}
+    want = {(b, x, y) for b, n in ((5, 5001), (6, 400)) for x in range(n) for y in range(x) if not (inside[b, x] and inside[b, y])}
+    assert set(met) == {(b, y, x) for b, x, y in want} and set(met.values()) == {1}
+    assert max(map(len, by.values())) < 450
+
+
+def test_keys_are_integers(spark):
+    docs = spark.createDataFrame([("a", "some text")], "doc_id string, text string")
+    with pytest.raises(TypeError):
+        near_duplicates(docs)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "one two three four five six", i, i) for i in range(3)], "doc_id long, text string, drop int, _drop int")
+    assert sorted(map(tuple, dedup_stage(docs).collect())) == [(0, "one two three four five six", 0, 0)]

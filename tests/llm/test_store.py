@@ -1,9 +1,10 @@
 import os
 
 import numpy as np
+import pytest
 
 from orrery.llm.sharding import jump_column, jump_hash
-from orrery.llm.store import Table, on_workers, only, shared_folder, written
+from orrery.llm.store import Table, on_workers, only, shared_folder, split, written
 
 
 def test_only_is_an_exact_semi_join(spark):
@@ -13,7 +14,17 @@ def test_only_is_an_exact_semi_join(spark):
     assert got == sorted(map(tuple, rows.filter("doc in (3, 40)").collect())) and got
     assert only(rows, "doc", wanted.limit(0)).count() == 0
     plan = only(rows, "doc", wanted)._jdf.queryExecution().executedPlan().toString()
-    assert "bits_" in plan
+    assert "mask" in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("bits", [1 << 6, 1 << 27])
+def test_filter_of_any_size(spark, monkeypatch, bits):
+    monkeypatch.setattr("orrery.llm.store.FILTER_BITS", bits)
+    rows = spark.createDataFrame([(i, i, "t", i, -i, True) for i in range(400)] + [(None, 0, "t", 0, 0, False)], "doc long, at int, word string, mask int, wanted int, hit boolean")
+    wanted = spark.createDataFrame([(i,) for i in range(0, 400, 3)], "k long")
+    assert sorted(map(tuple, only(rows, "doc", wanted).collect())) == sorted(map(tuple, rows.filter("doc % 3 = 0").collect()))
+    hit, rest = split(rows, "doc", wanted)
+    assert hit.count() + rest.count() == 401 and rest.filter("doc % 3 = 0").count() == 0 and hit.columns == rest.columns == rows.columns
 
 
 def test_tables(spark):
