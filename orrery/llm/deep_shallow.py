@@ -1,15 +1,19 @@
-"""Deep-shallow sorting of strings: multikey partitioning to a shallow depth, then blind tries.
+"""Deep-shallow sorting of strings: multikey quicksort to a shallow depth, then blind tries.
 
 Strings are rows of big-endian 64-bit words, zero-filled to one width.  The
-shallow pass treats a word as one character and partitions all groups of still
-equal prefixes at once; groups that share the shallow depth are each ordered by a
-blind trie, which compares whole strings only once per insertion.
+shallow pass is a multikey quicksort whose character is a word: each segment of rows
+is split three ways by a pivot's character at the segment's depth, and only the
+middle part goes on to the next character.  All segments of a round are split at once.
+Segments that still share the shallow depth are each ordered by a blind trie, which
+compares whole strings only once per insertion.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from orrery.llm.textops import U64, mix, words64
+
 SHALLOW = 4  # words
 
 
@@ -77,46 +81,80 @@ class BlindTrie:
 
 def words_of(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int, backwards: bool = False) -> np.ndarray:
     """Strings data[start : start + length], or backwards from start - 1, as big-endian words."""
-    step = np.arange(8 * width)
-    at = starts[:, None] + (-1 - step if backwards else step)
-    inside = step < lengths[:, None]
-    chars = np.where(inside, data[np.where(inside, at, 0)] if len(data) else 0, 0).astype(np.uint8)
-    return np.ascontiguousarray(chars).view(">u8").astype(np.uint64)
+    out = np.empty((len(starts), width), np.uint64)
+    if backwards:  # eight bytes read with the last one first are the reversed string's next word
+        room = 8 * width
+        view, starts = words64(np.concatenate([np.zeros(room, np.uint8), data])), starts + room
+    else:
+        view = words64(data)
+    for k in range(width):
+        have = np.clip(lengths - 8 * k, 0, 8)
+        word = view[starts - 8 * (k + 1)] if backwards else view[np.minimum(starts + 8 * k, len(data))].byteswap()
+        gone = np.minimum(8 * (8 - have), 63).astype(np.uint64)
+        out[:, k] = np.where(have > 0, word >> gone << gone, U64(0))
+    return out
 
 
-def sort_strings(words: np.ndarray, groups: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
-    """An order of the rows by (group, string), ties by row."""
+def multikey_quicksort(words: np.ndarray, groups: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """An order of the rows by (group, first ``depth`` words), ties by row, and the (begin, end) of its segments that share all these."""
     order = np.argsort(groups, kind="stable")
     label = groups[order]
-    for depth in range(min(shallow, words.shape[1])):
-        tied = np.zeros(len(order), bool)
-        same = label[1:] == label[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        at = np.flatnonzero(tied)
-        if not len(at):
-            return order
-        rows = order[at]
-        inner = np.lexsort((words[rows, depth], label[at]))
-        order[at] = rows[inner]
-        new = np.ones(len(order), bool)
-        new[1:] = label[1:] != label[:-1]
-        both = np.flatnonzero(~new)
-        new[both] = words[order[both], depth] != words[order[both - 1], depth]
-        label = np.cumsum(new)
-    first = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
-    for a, b in zip(first.tolist(), np.append(first[1:], len(order)).tolist(), strict=True):
-        if b - a > 1:
-            rows = order[a:b]
-            deep = words[rows, shallow:]
-            if (deep == deep[0]).all():
-                continue
-            width = 8 * deep.shape[1]
-            raw = deep.astype(">u8").tobytes()
-            trie = BlindTrie(width)
-            for i, row in enumerate(rows.tolist()):
-                trie.insert(row, int.from_bytes(raw[i * width : (i + 1) * width], "big"))
-            order[a:b] = trie.ordered()
+    begin = np.flatnonzero(np.append(True, label[1:] != label[:-1])) if len(label) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(label)))
+    level = np.zeros(len(begin), np.int64)
+    deep: list[np.ndarray] = []
+    live = size > 1
+    begin, size, level = begin[live], size[live], level[live]
+    turn = 0
+    while len(begin):
+        turn += 1
+        first = np.cumsum(size) - size
+        segment = np.repeat(np.arange(len(begin)), size)
+        rows = order[np.arange(len(segment)) + (begin - first)[segment]]
+        key = words[rows, level[segment]]
+        # the pivot: the median of three characters from anywhere in the segment
+        draw = [key[first + (mix((begin + 3 * turn + k).astype(np.uint64)) % size.astype(np.uint64)).astype(np.int64)] for k in range(3)]
+        pivot = np.maximum(np.minimum(draw[0], draw[1]), np.minimum(np.maximum(draw[0], draw[1]), draw[2]))[segment]
+        side = (key > pivot).astype(np.int64) - (key < pivot) + 1
+        counts = np.bincount(3 * segment + side, minlength=3 * len(begin)).reshape(-1, 3)
+        offset = np.cumsum(counts, axis=1) - counts
+        place = np.empty(len(rows), np.int64)
+        for k in range(3):
+            mine = np.flatnonzero(side == k)
+            before = np.cumsum(counts[:, k]) - counts[:, k]
+            of = segment[mine]
+            place[mine] = np.arange(len(mine)) - before[of] + (begin + offset[:, k])[of]
+        order[place] = rows
+        begin, size = (begin[:, None] + offset).ravel(), counts.ravel()
+        level = (level[:, None] + np.array([0, 1, 0])).ravel()
+        live = size > 1
+        done = live & (level >= depth)
+        if done.any():
+            deep.append(np.stack([begin[done], begin[done] + size[done]], axis=1))
+        live &= ~done
+        begin, size, level = begin[live], size[live], level[live]
+    return order, np.concatenate(deep).tolist() if deep else []
+
+
+def sort_strings(words: np.ndarray, groups: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
+    """An order of the rows by (group, string), ties by row."""
+    shallow = min(shallow, words.shape[1])
+    order, segments = multikey_quicksort(words, groups, shallow)
+    if shallow == words.shape[1] or not segments:
+        return order
+    # segments of equal strings are in order
+    apart = np.append(False, (words[order[1:], shallow:] != words[order[:-1], shallow:]).any(axis=1))
+    changes = np.cumsum(apart)
+    width = 8 * (words.shape[1] - shallow)
+    for a, b in segments:
+        if changes[b - 1] == changes[a]:
+            continue
+        rows = order[a:b]
+        raw = words[rows, shallow:].astype(">u8").tobytes()
+        trie = BlindTrie(width)
+        for i, row in enumerate(rows.tolist()):
+            trie.insert(row, int.from_bytes(raw[i * width : (i + 1) * width], "big"))
+        order[a:b] = trie.ordered()
     return order
 
 

@@ -6,23 +6,26 @@ of that length is judged, but only few are handled one by one:
 
 1. Each window has a minimiser, the ``gram``-byte string in it with the least hash.
    Neighbouring windows with the same minimiser make a *stretch*; equal windows
-   lie in stretches with equal minimisers at equal distances.  Only stretches are
-   shuffled, by minimiser: about one for forty bytes.
-2. Of stretches with equal content the first stays, the others are repeats
-   entirely.  That is done per task before the shuffle and once more after it, so
-   a passage that all documents share arrives once per task.
-3. Where a minimiser still has several contents, their bytes are fetched.  Suffixes
-   from the minimiser on, and prefixes before it read backwards, are put in order
-   by deep-shallow sorting; two windows are equal if their suffix and prefix have
-   long enough common parts with all rows between them.  The first of equal windows
-   stays.
-4. A minimiser with very many contents is dealt with in parts of bounded size; the
-   windows that are first in their part are compared once more by window.
+   lie in stretches with equal minimisers at equal distances.
+2. Stretches with one minimiser are compared by their bytes.  Suffixes from the
+   minimiser on, and prefixes before it read backwards, are put in order by
+   deep-shallow sorting; two windows are equal if their suffix and prefix have long
+   enough common parts with all rows between them.  The first of equal windows stays.
+3. A task does that for the stretches that it holds at once and drops those without a
+   first window, so that a passage that all documents share leaves a task but once.
+   The others, without bytes, are shuffled by minimiser: about one for forty bytes.
+4. Where a minimiser still has several stretches, their bytes are fetched and step 2
+   is done for all of them.  A minimiser with very many stretches is dealt with in
+   parts of bounded size; the windows that are first in their part are compared once
+   more, by their bytes.
+
+Hashes only choose what is compared: no byte goes because hashes are equal.
 
 Defined results: null and short texts lose nothing; rows with a null key lose
 nothing and repeat nothing.  A key names a document: rows of one key and text
 are the same document and don't repeat each other.  Empty tables give no rows.
-Further columns are ignored.
+Further columns are ignored.  Keys are integers, as they say which of equal strings
+is first; a key of another type is an error.
 """
 
 from __future__ import annotations
@@ -38,20 +41,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm.deep_shallow import neighbour_lcp, sort_strings, words_of
-from orrery.llm.store import Table, near, release, split, written
+from orrery.llm.store import Table, fresh, integral, near, release, split, written
 from orrery.llm.textops import U64, blocks, hash_spans, mix, text_bytes, words64
 
 STRETCH, MARK, BEACON = 0, 1, 2
 
+#: Rows that the comparison takes at once, whole groups.
+HELD = 20_000
+
 
 @dataclass(frozen=True)
 class Settings:
     length: int = 100
     gram: int = 24
     flush: int = 150_000  # stretches that a task holds at once
-    hot: int = 256  # contents of one minimiser in a flush from which on they are dealt out by content
+    hot: int = 256  # stretches of one minimiser in a flush from which on they are dealt out
     unit: int = 4 << 20  # bytes of a long document that are looked at together
-    part: int = 20_000  # contents of one minimiser that are sorted together
+    part: int = 4_000  # stretches of one minimiser that are sorted together
 
     def __post_init__(self):
         if not 8 <= self.gram <= self.length:
@@ -110,7 +116,7 @@ def spans_of(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return doc[at], start[at], np.maximum.reduceat(end, at)
 
 
-COLUMNS = T.StructType([T.StructField("kind", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("salt", "gram", "content", "doc", "lo", "hi", "at"))])
+COLUMNS = T.StructType([T.StructField("kind", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("salt", "gram", "doc", "lo", "hi", "at"))])
 
 
 def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -122,37 +128,99 @@ def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
 def _marks(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     """Removed spans, dealt out by document."""
     doc, start, end = spans_of(doc, start, end)
-    return _rows(MARK, 0, mix(doc.view(np.uint64)).view(np.int64), 0, doc, start, end, 0)
+    return _rows(MARK, 0, mix(doc.view(np.uint64)).view(np.int64), doc, start, end, 0)
+
+
+@dataclass
+class Stretches:
+    """Stretches in order of (group, document, place), with their suffixes and prefixes as words."""
+
+    group: np.ndarray
+    doc: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    at: np.ndarray
+    right: np.ndarray
+    left: np.ndarray
+
 
+def stretches_of(data: np.ndarray, middle: np.ndarray, group, doc, lo, hi, at, s: Settings) -> Stretches:
+    """``middle``: the minimisers' places in ``data``."""
+    width = -(-s.length // 8)
+    right = words_of(data, middle, np.minimum(hi + s.length - at, s.length), width)
+    return Stretches(group, doc, lo, hi, at, right, words_of(data, middle, at - lo, width, True))
 
-def firsts(gram, content, doc, lo) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by (gram, content, doc, lo): which are first, and which repeat an earlier place."""
-    new = np.ones(len(gram), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
-    return new, ~new & ((doc != doc[first]) | (lo != lo[first]))
+
+def equal_windows(x: Stretches, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, first starts, last starts, fresh, repeated): for each row, whether its windows that start there are the first of their kind, or repeat an earlier place.
+
+    Copies of a whole stretch come first, then, for each distance of a window's start
+    before its minimiser, the windows of all other rows.
+    """
+    n = len(x.group)
+    ranks = []
+    for words in (x.right, x.left):
+        order = sort_strings(words, x.group)
+        ranks.append((order, neighbour_lcp(words, order, x.group)))
+    cls = [np.empty(n, np.int64), np.empty(n, np.int64)]
+
+    def heads(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a row is the first with its key, and the row that is."""
+        order = np.argsort(key, kind="stable")
+        new = np.append(True, key[order][1:] != key[order][:-1])
+        first = np.empty(len(key), np.int64)
+        first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        return first == np.arange(len(key)), first
+
+    def classes(depths: tuple[int, int]) -> np.ndarray:
+        for side, depth in enumerate(depths):
+            order, lcp = ranks[side]
+            cls[side][order] = np.cumsum(lcp < depth)
+        return cls[0] * (n + 1) + cls[1]
+
+    least, most = x.at - x.hi, x.at - x.lo
+    fresh, first = heads((classes((length, length)) * (length + 1) + least) * (length + 1) + most)
+    copies = np.flatnonzero(~fresh)
+    if len(copies):
+        of = first[copies]
+        yield copies, x.lo[copies], x.hi[copies], np.zeros(len(copies), bool), (x.doc[copies] != x.doc[of]) | (x.at[copies] != x.at[of])
+    rest = np.flatnonzero(fresh)
+    for d in range(int(least.min()), int(most.max()) + 1):
+        rows = rest[(least[rest] <= d) & (d <= most[rest])]
+        if len(rows):
+            new, first = heads(classes((length - d, d))[rows])
+            of = rows[first]
+            yield rows, x.at[rows] - d, x.at[rows] - d, new, ~new & ((x.doc[rows] != x.doc[of]) | (x.at[rows] != x.at[of]))
 
 
 def _scan(s: Settings):
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        gram, content, doc, lo, hi, at = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((lo, doc, content, gram))
-        gram, content, doc, lo, hi, at = (c[order] for c in (gram, content, doc, lo, hi, at))
-        new, repeat = firsts(gram, content, doc, lo)
-        if repeat.any():
-            yield _marks(doc[repeat], lo[repeat], hi[repeat] + s.length)
-        gram, content, doc, lo, hi, at = (c[new] for c in (gram, content, doc, lo, hi, at))
-        _, place, counts = np.unique(gram, return_inverse=True, return_counts=True)
-        hot = counts[place] > s.hot
-        salt = np.where(hot, 1 + (content & 1023), 0)
+    def flush(held: list[tuple], units: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        gram, doc, lo, hi, at, middle = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((at, doc, gram))
+        gram, doc, lo, hi, at, middle = (c[order] for c in (gram, doc, lo, hi, at, middle))
+        group = np.cumsum(np.append(0, gram[1:] != gram[:-1]))
+        several = np.flatnonzero(np.bincount(group)[group] > 1)
+        left = np.ones(len(gram), bool)
+        if len(several):
+            left[several] = False
+            x, marks = stretches_of(np.concatenate(units), middle[several], *(c[several] for c in (group, doc, lo, hi, at)), s), []
+            for rows, a, b, fresh, repeated in equal_windows(x, s.length):
+                left[several[rows[fresh]]] = True
+                marks.append((x.doc[rows[repeated]], a[repeated], b[repeated] + s.length))
+            marks = [np.concatenate(c) for c in zip(*marks, strict=True)]
+            if len(marks[0]):
+                yield _marks(*marks)
+        gram, group, doc, lo, hi, at = (c[left] for c in (gram, group, doc, lo, hi, at))
+        hot = np.bincount(group)[group] > s.hot
+        salt = np.where(hot, 1 + (mix((doc + 31 * at).view(np.uint64)) & U64(1023)).astype(np.int64), 0)
         for i in range(0, len(gram), 20_000):
-            yield _rows(STRETCH, *(c[i : i + 20_000] for c in (salt, gram, content, doc, lo, hi, at)))
+            yield _rows(STRETCH, *(c[i : i + 20_000] for c in (salt, gram, doc, lo, hi, at)))
         if hot.any():
             beacons = np.unique(gram[hot])
-            yield _rows(BEACON, 0, beacons, np.iinfo(np.int64).min, np.zeros(len(beacons)), 0, 0, np.zeros(len(beacons)))
+            yield _rows(BEACON, 0, beacons, np.iinfo(np.int64).min, 0, 0, np.zeros(len(beacons)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, units, size, room = [], [], 0, 0
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             keys = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -165,132 +233,71 @@ def _scan(s: Settings):
                     if not len(d):
                         continue
                     gram = hash_spans(unit, at, at + s.gram).view(np.int64)
-                    content = mix(hash_spans(unit, lo, hi + s.length) ^ (at - lo).astype(np.uint64)).view(np.int64)
                     base = cut[d] if stop - begin <= s.unit else begin - a
-                    held.append((gram, content, keys[i + d], lo - base, hi - base, at - base))
-                    size += len(d)
+                    held.append((gram, keys[i + d], lo - base, hi - base, at - base, at + room))
+                    units.append(unit.copy())
+                    size, room = size + len(d), room + len(unit)
                     if size >= s.flush:
-                        yield from flush(held)
-                        held, size = [], 0
+                        yield from flush(held, units)
+                        held, units, size, room = [], [], 0, 0
         if held:
-            yield from flush(held)
+            yield from flush(held, units)
 
     return run
 
 
-def _settle(s: Settings):
-    """Of rows sorted by (salt, gram, content, doc, lo): marks, and first stretches whose minimiser has other contents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[np.ndarray] | None = None
-        for b in batches:
-            yield b.filter(pa.array(b.column(0).to_numpy() == MARK))
-            new = [b.column(c).to_numpy() for c in range(8)]
-            new = [c[new[0] != MARK] for c in new]
-            if not len(new[0]):
-                continue
-            rows = new if carry is None else [np.concatenate([a, c]) for a, c in zip(carry, new, strict=True)]
-            # the last content may go on in the next batch: its first row and the row of the content before stay
-            out, carry = settle(rows, s, False)
-            yield from out
-        if carry is not None:
-            yield from settle(carry, s, True)[0]
-
-    return run
-
-
-def settle(rows: list[np.ndarray], s: Settings, final: bool) -> tuple[list[pa.RecordBatch], list[np.ndarray] | None]:
-    """``at`` < 0 marks a carried row that was already handed on."""
-    kind, salt, gram, content, doc, lo, hi, at = rows
-    group = np.ones(len(gram), bool)
-    group[1:] = (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])
-    new = group.copy()
-    new[1:] |= content[1:] != content[:-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
-    repeat = ~new & (kind == STRETCH) & ((doc != doc[first]) | (lo != lo[first]))
-    out = [_marks(doc[repeat], lo[repeat], hi[repeat] + s.length)] if repeat.any() else []
-    heads = np.flatnonzero(new)
-    name = np.cumsum(group)[heads]
-    many = np.zeros(len(heads), bool)
-    many[1:] |= name[1:] == name[:-1]
-    many[:-1] |= name[1:] == name[:-1]
-    many |= salt[heads] > 0
-    ready = many & (kind[heads] == STRETCH) & (at[heads] >= 0)
-    take = heads[ready]
-    if len(take):
-        out.append(_rows(STRETCH, 0, gram[take], content[take], doc[take], lo[take], hi[take], at[take]))
-    if final:
-        return out, None
-    last = heads[-1]
-    kept = [c[last : last + 1].copy() for c in rows]
-    if many[-1]:  # handed on; its group is known to have several
-        before = [c.copy() for c in kept]
-        kept[7][0] = -1
-        if salt[last] == 0:  # a row with another content, so that what follows counts as one of several
-            before[0][0], before[7][0], before[3][0] = BEACON, -1, np.iinfo(np.int64).min
-            kept = [np.concatenate([x, y]) for x, y in zip(before, kept, strict=True)]
-    return out, kept
-
-
-def equal_windows(words_r: np.ndarray, words_l: np.ndarray, gid: np.ndarray, doc: np.ndarray, at: np.ndarray, least: np.ndarray, most: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each distance d of a window's start before its minimiser: (d, rows with it, whether an earlier row has an equal one).
-
-    Rows are in order of (document, place) within their group; a row has the
-    windows with ``least <= d <= most``.
-    """
-    ranks = []
-    for words in (words_r, words_l):
-        order = sort_strings(words, gid)
-        ranks.append((order, neighbour_lcp(words, order, gid)))
-    n = len(gid)
-    cls = [np.empty(n, np.int64), np.empty(n, np.int64)]
-    for d in range(int(least.min()), int(most.max()) + 1):
-        rows = np.flatnonzero((least <= d) & (d <= most))
-        if not len(rows):
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (salt, gram): marks, and stretches whose minimiser has others."""
+    waiting, known = None, None  # the last group: its only row so far, or its name if it has several
+    for b in batches:
+        kind = b.column(0).to_numpy()
+        yield b.filter(pa.array(kind == MARK))
+        rows = [b.column(c).to_numpy()[kind != MARK] for c in range(len(COLUMNS))]
+        if not len(rows[0]):
             continue
-        for side, depth in ((0, length - d), (1, d)):
-            order, lcp = ranks[side]
-            cls[side][order] = np.cumsum(lcp < depth)
-        key = cls[0][rows] * (n + 1) + cls[1][rows]
-        order = np.argsort(key, kind="stable")
-        new = np.append(True, key[order][1:] != key[order][:-1])
-        first = rows[order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]]
-        repeat = np.zeros(len(rows), bool)
-        repeat[order] = ~new & ((doc[rows[order]] != doc[first]) | (at[rows[order]] != at[first]))
-        yield d, rows, repeat
+        if waiting is not None:
+            rows = [np.concatenate([x, c]) for x, c in zip(waiting, rows, strict=True)]
+        kind, salt, gram = rows[:3]
+        new = np.append(True, (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1]))
+        group = np.cumsum(new) - 1
+        several = (np.bincount(group) > 1)[group] | (salt > 0)
+        if known == (salt[0], gram[0]):
+            several |= group == 0
+        last = len(gram) - 1
+        waiting, known = ([c[last:].copy() for c in rows], None) if not several[last] else (None, (salt[last], gram[last]))
+        take = several & (kind == STRETCH)
+        if take.any():
+            yield _rows(STRETCH, 0, *(c[take] for c in rows[2:]))
 
 
 def _compare(s: Settings):
-    """Groups of (gram, part) in a sorted partition: marks, and for minimisers in parts each first window."""
-    names = ["kind", "gram", "window", "doc", "lo", "hi"]
+    """Groups of (gram, part) in a sorted partition: marks, and for minimisers in parts each first window with its bytes."""
+    names = ["kind", "gram", "window", "doc", "lo", "hi", "content"]
 
-    def batch(kind, gram, window, doc, lo, hi) -> pa.RecordBatch:
+    def batch(kind, gram, window, doc, lo, hi, content: pa.Array) -> pa.RecordBatch:
         cols = [np.full(len(doc), kind), gram, window, doc, lo, hi]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=names)
+        return pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in cols), content], names=names)
 
     def handle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         gram, part, parts, doc, lo, hi, at = (rows.column(c).to_numpy() for c in range(7))
         data, offsets = text_bytes(rows.column(7))
         order = np.lexsort((at, doc, part, gram))
-        gid = np.cumsum(np.append(0, (gram[order][1:] != gram[order][:-1]) | (part[order][1:] != part[order][:-1])))
+        group = np.cumsum(np.append(0, (gram[order][1:] != gram[order][:-1]) | (part[order][1:] != part[order][:-1])))
         gram, parts, doc, lo, hi, at = (c[order] for c in (gram, parts, doc, lo, hi, at))
-        begin = offsets[:-1][order]
-        middle = begin + (at - lo)
-        width = -(-s.length // 8)
-        right = words_of(data, middle, np.minimum(hi + s.length - at, s.length), width)
-        left = words_of(data, middle, at - lo, width, True)
+        middle = offsets[:-1][order] + (at - lo)
         marks: list[tuple] = []
-        for d, i, repeat in equal_windows(right, left, gid, doc, at, at - hi, at - lo, s.length):
-            gone, split = i[repeat], i[~repeat & (parts[i] > 1)]
-            if len(gone):
-                marks.append((doc[gone], at[gone] - d, at[gone] - d + s.length))
-            if len(split):
-                start = middle[split] - d
-                window = mix(hash_spans(data, start, start + s.length) ^ U64(d)).view(np.int64)
-                yield batch(STRETCH, gram[split], window, doc[split], at[split] - d, at[split] - d + s.length)
-        if marks:
-            d, a, b = spans_of(*(np.concatenate(c) for c in zip(*marks, strict=True)))
-            yield batch(MARK, d, d, d, a, b)
+        for i, a, b, fresh, repeated in equal_windows(stretches_of(data, middle, group, doc, lo, hi, at, s), s.length):
+            marks.append((doc[i[repeated]], a[repeated], b[repeated] + s.length))
+            open_ = fresh & (parts[i] > 1)
+            k, first = i[open_], a[open_]
+            for x in range(0, len(k), 1 << 14):
+                some, begin = k[x : x + (1 << 14)], first[x : x + (1 << 14)]
+                start = middle[some] - (at[some] - begin)
+                window = mix(hash_spans(data, start, start + s.length) ^ (at[some] - begin).astype(np.uint64)).view(np.int64)
+                body = np.ascontiguousarray(data[start[:, None] + np.arange(s.length)])
+                yield batch(STRETCH, gram[some], window, doc[some], begin, begin + s.length, pa.FixedSizeBinaryArray.from_buffers(pa.binary(s.length), len(some), [None, pa.py_buffer(body)]).cast(pa.binary()))
+        d, a, b = spans_of(*(np.concatenate(c) for c in zip(*marks, strict=True)))
+        yield batch(MARK, d, d, d, a, b, pa.nulls(len(d), pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -298,7 +305,7 @@ def _compare(s: Settings):
         for b in batches:
             held.append(b)
             size += b.num_rows
-            if size >= s.part:
+            if size >= HELD:
                 rows = pa.Table.from_batches(held)
                 gram, part = rows.column(0).to_numpy(), rows.column(1).to_numpy()
                 edge = np.flatnonzero((gram[1:] != gram[:-1]) | (part[1:] != part[:-1]))
@@ -310,7 +317,7 @@ def _compare(s: Settings):
         if size:
             yield from handle(pa.Table.from_batches(held).combine_chunks())
 
-    return run, "kind long, gram long, window long, doc long, lo long, hi long"
+    return run, "kind long, gram long, window long, doc long, lo long, hi long, content binary"
 
 
 def _contents(s: Settings):
@@ -336,18 +343,16 @@ def _contents(s: Settings):
 
 
 def _windows_settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows sorted by (gram, window, doc, lo), those after the first, as spans."""
-    last = None
+    """Of windows sorted by (gram, window, doc, lo), those whose bytes an earlier one has, as spans."""
+    name, firsts = None, {}  # the group at hand, and its contents' first places
     for b in batches:
         gram, window, doc, lo, hi = (b.column(c).to_numpy() for c in range(5))
-        if not len(gram):
-            continue
-        rows = [gram, window, doc, lo, hi]
-        if last is not None:
-            gram, window, doc, lo, hi = (np.concatenate([[x], c]) for x, c in zip(last, rows, strict=True))
-        new, repeat = firsts(gram, window, doc, lo)
-        head = np.flatnonzero(new)[-1]
-        last = tuple(c[head] for c in (gram, window, doc, lo, hi))
+        contents = b.column(5).to_pylist()
+        repeat = np.zeros(len(gram), bool)
+        for i, (group, place, content) in enumerate(zip(zip(gram.tolist(), window.tolist(), strict=True), zip(doc.tolist(), lo.tolist(), strict=True), contents, strict=True)):
+            if group != name:
+                name, firsts = group, {}
+            repeat[i] = firsts.setdefault(content, place) != place
         d, a, e = spans_of(doc[repeat], lo[repeat], hi[repeat])
         yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(e)], names=["doc", "lo", "hi"])
 
@@ -355,23 +360,23 @@ def _windows_settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(doc, lo, hi): byte spans to remove, possibly overlapping."""
     s = settings
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("text")).filter(F.col("doc").isNotNull() & (F.octet_length("text") >= s.length))
+    texts = docs.select(integral(docs, key).alias("doc"), F.col(text).cast("binary").alias("text")).filter(F.col("doc").isNotNull() & (F.octet_length("text") >= s.length))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.mapInArrow(_scan(s), COLUMNS).repartition(n, "salt", "gram").sortWithinPartitions("salt", "gram", "content", "doc", "lo")
-    settled = Table(dealt.mapInArrow(_settle(s), COLUMNS), "stretches")
+    dealt = texts.mapInArrow(_scan(s), COLUMNS).repartition(n, "salt", "gram").sortWithinPartitions("salt", "gram")
+    settled = Table(dealt.mapInArrow(_settle, COLUMNS), "stretches")
     marks = settled.frame().filter(F.col("kind") == MARK).select("doc", "lo", "hi")
-    open_ = settled.frame().filter(F.col("kind") == STRETCH)
+    open_ = settled.frame().filter(F.col("kind") == STRETCH).select("gram", "doc", "lo", "hi", "at")
     release(docs.sparkSession)
     # written, so that the join has an exchange on either side, whose hot partitions can be split
-    counts = written(open_.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
-    parts = F.ceil(F.col("n") / F.lit(s.part)).cast("long")
-    numbered = open_.join(counts, "gram").select("doc", "gram", "lo", "hi", "at", F.pmod(F.col("content"), parts).alias("part"), parts.alias("parts"))
+    many = written(open_.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > s.part).select("gram", F.ceil(F.col("n") / s.part).cast("long").alias("several")), "many")
+    parts = F.coalesce("several", F.lit(1).cast("long"))
+    numbered = open_.join(many, "gram", "left").select("doc", "gram", "lo", "hi", "at", F.pmod(F.xxhash64("doc", "lo"), parts).alias("part"), parts.alias("parts"))
     wanted = Table(numbered.groupBy("doc").agg(F.collect_list(F.struct("gram", "part", "parts", "lo", "hi", "at")).alias("wanted")), "wanted")
     release(docs.sparkSession)
     fetched = near(texts, "doc", wanted.frame().select("doc")).join(wanted.frame(), "doc").select("doc", "text", "wanted").mapInArrow(*_contents(s))
     compared = Table(fetched.repartition(n, "gram", "part").sortWithinPartitions("gram", "part").mapInArrow(*_compare(s)), "windows")
     release(docs.sparkSession)
-    windows = compared.frame().filter(F.col("kind") == STRETCH).select("gram", "window", "doc", "lo", "hi")
+    windows = compared.frame().filter(F.col("kind") == STRETCH).select("gram", "window", "doc", "lo", "hi", "content")
     late = windows.repartition(n, "gram", "window").sortWithinPartitions("gram", "window", "doc", "lo").mapInArrow(_windows_settle, "doc long, lo long, hi long")
     return marks.union(compared.frame().filter(F.col("kind") == MARK).select("doc", "lo", "hi")).union(late)
 
@@ -420,14 +425,15 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", settin
 
     ``whole_characters``: a span gives up bytes at its ends rather than cut a character.
     """
-    table = Table(repeated_spans(docs, key, text, settings).groupBy(F.col("doc").alias("span_doc_")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans_")), "spans")
+    of, spans_, body = fresh(docs.columns, "of", "spans", "body")
+    table = Table(repeated_spans(docs, key, text, settings).groupBy(F.col("doc").alias(of)).agg(F.collect_list(F.struct("lo", "hi")).alias(spans_)), "spans")
     spans = table.frame()
     release(docs.sparkSession)
     names = [key, *keep]
     # documents without spans, most of them, aren't shuffled
-    rows, rest = split(docs.select(*names, F.col(text).cast("binary").alias("_text")), key, table.frame().select("span_doc_"))
-    joined = rows.join(spans, rows[key].cast("long") == spans["span_doc_"], "left").select(*(rows[c] for c in names), rows["_text"], spans["spans_"])
-    joined = joined.union(rest.withColumn("spans_", F.lit(None).cast(joined.schema["spans_"].dataType)))
+    rows, rest = split(docs.select(*names, F.col(text).cast("binary").alias(body)), key, table.frame().select(of))
+    joined = rows.join(spans, rows[key].cast("long") == spans[of], "left").select(*(rows[c] for c in names), rows[body], spans[spans_])
+    joined = joined.union(rest.withColumn(spans_, F.lit(None).cast(joined.schema[spans_].dataType)))
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in out[:3]] + [T.StructField(out[3], T.BinaryType())])
     return joined.mapInArrow(_cut(names, whole_characters, out), schema)
 
@@ -443,7 +449,7 @@ def repeats_stage(docs: DataFrame, settings: Settings = Settings(length=200, gra
     ``n_chars`` follows the text.  A document of which nothing is left goes.
     """
     names = docs.columns
-    out = tuple(c + "_" * (1 + max(map(len, names))) for c in OUT)  # no name of the input
+    out = tuple(fresh(names, *OUT))
     cut = cut_repeats(docs, settings=settings, keep=tuple(c for c in names if c not in ("doc_id", "text")), whole_characters=True, out=out)
     changed = F.col(out[1]) > 0
     text = F.col(out[3]).cast("string")

@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm.deep_shallow import neighbour_lcp, sort_strings, words_of
-from orrery.llm.suffix_dedup import Settings, cut_repeats, op10_suffix_dedup, spans_of
+from orrery.llm import suffix_dedup
+from orrery.llm.deep_shallow import multikey_quicksort, neighbour_lcp, sort_strings, words_of
+from orrery.llm.suffix_dedup import Settings, cut_repeats, op10_suffix_dedup, repeats_stage, spans_of
 
 
 def brute(texts, length=100):
@@ -102,3 +103,41 @@ def test_nulls_repeated_rows_and_whole_characters(spark):
     whole = cut_repeats(docs, whole_characters=True).withColumn("back", F.col("kept").cast("string").cast("binary"))
     assert all(bytes(r.kept) == bytes(r.back) for r in whole.collect())
     assert cut_repeats(docs.limit(0)).count() == 0
+
+
+def test_hashes_that_collide_remove_nothing(spark, monkeypatch):
+    rng, real = random.Random(21), suffix_dedup.hash_spans
+    monkeypatch.setattr(suffix_dedup, "hash_spans", lambda data, starts, ends: real(data, starts, ends) & np.uint64(1))
+    texts = dict(enumerate(random_texts(rng, 60, "abcd", 40))) | {100: "ab" * 50}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for settings in (Settings(12, 8), Settings(12, 8, flush=60, hot=2, part=7)):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept or b"")) for r in cut_repeats(docs, settings=settings).collect()}
+        assert got == brute(texts, settings.length)
+
+
+def test_many_copies_and_one_frequent_gram(spark):
+    """A passage that all documents share, and one of less than the length amid different bytes."""
+    rng = random.Random(8)
+    passage, gram = "".join(rng.choices("abcdefgh", k=90)), "".join(rng.choices("xyz", k=25))
+    word = lambda n: "".join(rng.choices("mnopqrst", k=n))
+    texts = {i: word(rng.randrange(30)) + passage + word(40) + gram + word(40) for i in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    settings = Settings(40, 16, flush=120, hot=5, part=20)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept or b"")) for r in cut_repeats(docs, settings=settings).collect()}
+    assert got == brute(texts, 40)
+
+
+def test_multikey_quicksort_splits_equal_and_adverse_keys():
+    for keys in (np.arange(3000), np.arange(3000)[::-1], np.zeros(3000, int), np.arange(3000) % 2, np.minimum(np.arange(3000), 5)):
+        words = np.stack([keys, keys[::-1]], axis=1).astype(np.uint64)
+        order, deep = multikey_quicksort(words, np.zeros(len(keys), np.int64), 2)
+        assert order.tolist() == sorted(range(len(keys)), key=lambda i: (words[i, 0], words[i, 1], i))
+        assert all((words[order[a:b]] == words[order[a]]).all() and b - a > 1 for a, b in deep)
+
+
+def test_clashing_names_and_keys(spark):
+    t = "0123456789" * 30
+    docs = spark.createDataFrame([(i, t, i, "s", 7, 8, 300) for i in range(3)], "doc_id long, text string, of int, spans string, n_bytes int, kept int, n_chars long")
+    assert sorted(map(tuple, repeats_stage(docs).collect()))[0][2:6] == (0, "s", 7, 8)
+    with pytest.raises(TypeError):
+        cut_repeats(spark.createDataFrame([("a", t)], "doc_id string, text string"))
