@@ -8,22 +8,23 @@
    two distributed passes: tasks send sums of the size of the basis, never rows.
 3. Windows of two widths over whole documents, a step of words apart, are
    projected (divided by the singular values, so that no direction dominates) and
-   compared with the benchmark's items by cosine.
+   compared with the benchmark's items by cosine: near ones are candidates.
 4. Cosines fall with the share of a window that an item fills, so they alone lose items
    much shorter or longer than the windows.  Each place where as many of an item's rarest
    words stand within a window of its length as any leak must have is a candidate too:
-   these are a superset of all leaks, whatever the item's length and words, and pairs
-   without such a place are not compared.
+   together these are a superset of all leaks, whatever the item's length and words.
 5. Around each candidate, the longest common subsequence of words with the item is
    computed in windows of about the item's length.  A document leaks the item if it
    has ``sure`` of its words in order, or ``least`` of them together with the
-   item's answer: its last words, of which ``answer`` must be there in order.
+   item's answer: its last words, of which ``answer`` must be there in order.  An item
+   of fewer than ``least_words`` words is leaked where all its words stand in a row.
 
-The items are sent to tasks in blocks of at most ``block`` items.
+The items are sent to tasks in blocks of at most ``block`` items.  What tasks sum up
+is added in a tree, so that no task reads more than ``fan`` parts of a sum.
 
-Defined results: null or empty documents or items match nothing; items of fewer
-than ``least_words`` words are not searched for.  Rows of one key are each searched,
-and their matches are given once per key and item.  Further columns are ignored.
+Defined results: null or empty documents or items, or those without words, match
+nothing.  Rows of one key are each searched, and their matches are given once per key
+and item; so are items that occur twice.  Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,18 +34,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.store import Table
+from orrery.llm.store import Table, fresh
 from orrery.llm.textops import ALNUM, LOWER, blocks, hash_spans, mix, runs, text_bytes
 
 
 @dataclass(frozen=True)
 class Settings:
     buckets: int = 1 << 13
-    rank: int = 256
+    rank: int = 192
     extra: int = 16  # further directions of the random basis
     signs: int = 4  # random combinations that a row is added to
     passage: int = 48  # words of a row of the matrix
@@ -56,9 +58,10 @@ class Settings:
     least: float = 0.5
     answer: float = 0.8
     answer_words: int = 8
-    least_words: int = 8
+    least_words: int = 8  # of an item that some of its words tell
     hits: float = 0.02  # words of a text that may be rare words of one item, if the rule leaves the choice
     block: int = 10_000
+    fan: int = 32  # parts that are added at once
     seed: int = 11
 
 
@@ -151,27 +154,43 @@ def scales(bucket: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return 1 / np.sqrt(np.maximum(filled(idf**2).take(bucket).sum(axis=1), 1e-9))
 
 
-def _sum_binary(frame: DataFrame, rows: int) -> np.ndarray:
-    """The sum of float arrays that tasks sent as (part, body) rows, part by part."""
+def _part(i: int, x: np.ndarray) -> pa.RecordBatch:
+    """A part of this task's sum."""
+    return pa.RecordBatch.from_arrays([pa.array([i]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([np.ascontiguousarray(x, np.float64).tobytes()], pa.binary())], names=["part", "task", "body"])
+
+
+def _sum_binary(frame: DataFrame, parts: int, tasks: int, fan: int) -> np.ndarray:
+    """The sum of the arrays that tasks sent as (part, task, body) rows, part by part, ``fan`` tasks' parts at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, total = None, None
+        name, total = None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([name[0]]), pa.array([name[1]]), pa.array([total.tobytes()], pa.binary())], names=["part", "task", "body"])
         for b in batches:
-            for p, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(body, np.float32).astype(np.float64)
-                if p == part:
+            for at, body in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), b.column(2), strict=True):
+                x = np.frombuffer(body.as_py(), np.float64)
+                if at == name:
                     total = total + x
                     continue
-                if part is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([total.tobytes()], pa.binary())], names=["part", "body"])
-                part, total = p, x
-        if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([total.tobytes()], pa.binary())], names=["part", "body"])
-
-    got = frame.repartition(rows, "part").sortWithinPartitions("part").mapInArrow(run, "part long, body binary").collect()
+                if name is not None:
+                    yield row()
+                name, total = at, x
+        if name is not None:
+            yield row()
+
+    places = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        tasks = -(-tasks // fan)
+        near = frame.select("part", F.floor(F.col("task") / fan).cast("long").alias("task"), "body")
+        frame = near.repartition(min(parts * tasks, max(places, parts)), "part", "task").sortWithinPartitions("part", "task").mapInArrow(run, PART)
+        if tasks <= 1:
+            break
+    got = frame.collect()  # a row for each part
     return np.concatenate([np.frombuffer(r.body, np.float64) for r in sorted(got, key=lambda r: r.part)]) if got else np.zeros(0)
 
 
+PART = "part long, task long, body binary"
+
+
 def singular_basis(words: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray:
     """(buckets, rank): right singular vectors of all passages, divided by their singular values.
 
@@ -197,10 +216,11 @@ def singular_basis(words: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray
                 at = (row[:, None] * (s.buckets + 1) + bucket).ravel()
                 total += np.bincount(at, value * np.repeat(sign, s.passage), total.size).reshape(total.shape)
         if total.any():
-            for i, x in enumerate(np.array_split(np.ascontiguousarray(total[:, :-1].T, np.float32), parts)):
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x.tobytes()], pa.binary())], names=["part", "body"])
+            for i, x in enumerate(np.array_split(np.ascontiguousarray(total[:, :-1].T), parts)):
+                yield _part(i, x)
 
-    total = _sum_binary(words.mapInArrow(first, "part long, body binary"), parts)
+    tasks = words.rdd.getNumPartitions()
+    total = _sum_binary(words.mapInArrow(first, PART), parts, tasks, s.fan)
     if not len(total):
         return np.zeros((s.buckets, 1), np.float32)
     q, _ = np.linalg.qr(total.reshape(s.buckets, width))
@@ -212,9 +232,10 @@ def singular_basis(words: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray
             bucket = cells(w, segments(offsets, s.passage), s.passage, s.buckets)
             c = row_sums(bucket, table) * scales(bucket, idf).astype(np.float32)[:, None]
             gram += c.T @ c
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([gram.astype(np.float32).tobytes()], pa.binary())], names=["part", "body"])
+        for i, x in enumerate(np.array_split(gram, 8)):
+            yield _part(i, x)
 
-    gram = _sum_binary(words.mapInArrow(second, "part long, body binary"), 1).reshape(width, width)
+    gram = _sum_binary(words.mapInArrow(second, PART), 8, tasks, s.fan).reshape(width, width)
     value, vector = np.linalg.eigh(gram)
     lead = np.argsort(-value)[: s.rank]
     lead = lead[value[lead] > 1e-6 * max(value.max(), 1e-12)]
@@ -241,9 +262,14 @@ def lcs(pattern: list[int], text: list[int]) -> int:
     return len(pattern) - v.bit_count()
 
 
-def window(m: int) -> int:
+def window(m: int, s: Settings = Settings()) -> int:
     """Words of the windows in which an item of ``m`` words is compared."""
-    return m + m // 4 + 2
+    return m if m < s.least_words else m + m // 4 + 2
+
+
+def least_common(m: int, s: Settings) -> int:
+    """Words of an item of ``m`` words that any leak has in order."""
+    return m if m < s.least_words else next(c for c in range(m + 1) if c >= min(s.least, s.sure) * m)
 
 
 SEED = -2.0  # in place of a cosine
@@ -252,7 +278,7 @@ SEED = -2.0  # in place of a cosine
 class Seeds:
     """Candidates that no leak can avoid.
 
-    A leak has at least c = ``least`` (or ``sure``) of an item's m words in order within
+    A leak has at least c = ``least`` (or ``sure``; all of a short item's) of an item's m words in order within
     a window, so of any k of the item's words at least k - (m - c) are there.  The k
     rarest are taken, as many as occur in ``hits`` of all words, and m - c + 1 at least.
     Which words count as rare changes only the time.
@@ -263,12 +289,12 @@ class Seeds:
         share = df / max(n, 1) / s.passage
         for i, (_, x) in enumerate(items):
             m = len(x)
-            least = next(c for c in range(m + 1) if c >= min(s.least, s.sure) * m)
+            least = least_common(m, s)
             by = np.array(x, np.uint32)
             by = by[np.lexsort((by, share[by % s.buckets]))]
             new = np.append(True, by[1:] != by[:-1])
             k = max(m - least + 1, int(np.searchsorted(np.cumsum(share[by % s.buckets] * new), s.hits, side="right")))
-            self.need[i], self.width[i] = k - (m - least), window(m)
+            self.need[i], self.width[i] = k - (m - least), window(m, s)
             for column, x in zip((pairs, times), np.unique(by[:k], return_counts=True), strict=True):
                 column.append(x)
         words, item = np.concatenate(pairs), np.repeat(np.arange(len(items)), [len(x) for x in pairs])
@@ -331,7 +357,11 @@ def best_match(item: list[int], words: np.ndarray, lo: int, hi: int, s: Settings
     Windows an eighth of the item apart come first; all windows if none of those leaks.
     """
     m = len(item)
-    width = window(m)
+    width = window(m, s)
+    if m < s.least_words:
+        whole = np.array(item, np.uint32)
+        begins = lo + np.flatnonzero(words[lo : hi - m + 1] == whole[0]) if hi - lo >= m else ()
+        return (m, m) if any((words[b : b + m] == whole).all() for b in begins) else (0, 0)
     inside = np.isin(words[lo:hi], np.array(item, np.uint32))
     to = np.concatenate([[0], np.cumsum(inside)])
     best = (0, 0)
@@ -356,6 +386,7 @@ def _search(items: list[tuple[object, list[int]]], basis: np.ndarray, idf: np.nd
     for i, (_, x) in enumerate(items):
         target[:, i] = table[np.array(x) % s.buckets].sum(axis=0)
     target /= np.maximum(np.linalg.norm(target, axis=0), 1e-12)
+    told = np.array([len(x) >= s.least_words for _, x in items], bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, w, offsets in _batches(batches, 1 << 17):
@@ -371,7 +402,7 @@ def _search(items: list[tuple[object, list[int]]], basis: np.ndarray, idf: np.nd
                     x[:-d] += np.where((doc[d:] == doc[:-d])[:, None], sums[d:], 0)
                 for a in range(0, len(x), 4096):
                     cosine = unit(x[a : a + 4096]) @ target
-                    for i, j in zip(*np.nonzero(cosine >= s.cosine), strict=True):
+                    for i, j in zip(*np.nonzero((cosine >= s.cosine) & told), strict=True):
                         r = a + int(i)
                         found.setdefault((int(doc[r]), int(j)), []).append((float(cosine[i, j]), int(starts[r]), int(starts[r]) + k * s.step))
             for places in seeds.places(w, offsets) if seeds else ():
@@ -380,9 +411,9 @@ def _search(items: list[tuple[object, list[int]]], basis: np.ndarray, idf: np.nd
             out: list[list] = [[], [], [], [], [], []]
             for (d, j), places in found.items():
                 name, words = items[j]
-                m, best, width = len(words), (0, 0), window(len(words))
+                m, best, width = len(words), (0, 0), window(len(words), s)
                 regions: list[list[int]] = []
-                for _, a, b in sorted((p for p in places if p[0] == SEED), key=lambda p: p[1]):  # without one the rule can't hold
+                for _, a, b in sorted(places, key=lambda p: p[1]):
                     a, b = max(int(offsets[d]), a - width), min(int(offsets[d + 1]), b + width)
                     if regions and a <= regions[-1][1]:
                         regions[-1][1] = max(b, regions[-1][1])
@@ -390,7 +421,7 @@ def _search(items: list[tuple[object, list[int]]], basis: np.ndarray, idf: np.nd
                         regions.append([a, b])
                 for a, b in regions:
                     best = max(best, best_match(words, w, a, b, s))
-                if leaks(*best, m, s):
+                if best[0] and leaks(*best, m, s):
                     near = max(p[0] for p in places)
                     if near == SEED:  # no window is near enough: the nearest around the candidates
                         lo, hi = np.searchsorted(starts, (min(p[1] for p in places) - s.step, max(p[2] for p in places)))
@@ -426,7 +457,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     for r in benchmark.select(item, item_text).distinct().toLocalIterator():
         raw = (r[1] or "").encode()
         hashed = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist()
-        if len(hashed) >= s.least_words:
+        if hashed:
             block.append((r[0], hashed))
         if len(block) == s.block:
             found, block = search() if found is None else found.union(search()), []
@@ -442,5 +473,6 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item."""
-    drop = contamination(docs, benchmark).select(F.col("doc_id").alias("_drop")).filter("_drop is not null").distinct()
-    return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
+    (name,) = fresh(docs.columns, "drop")
+    drop = contamination(docs, benchmark).select(F.col("doc_id").alias(name)).filter(F.col(name).isNotNull()).distinct()
+    return docs.join(drop, docs["doc_id"] == drop[name], "left_anti")

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from orrery.llm.decontaminate import Settings, best_match, cells, contamination, decontamination_stage, filled, frequencies, lcs, leaks, op4_decontaminate, row_sums, segments, singular_basis, weights, word_hashes
+from orrery.llm.decontaminate import PART, Settings, _part, _sum_binary, best_match, cells, contamination, decontamination_stage, filled, frequencies, lcs, leaks, op4_decontaminate, row_sums, segments, singular_basis, weights, word_hashes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -26,7 +26,11 @@ def brute(texts, items, s=Settings()):
         for i, x in items.items():
             p = WORD.findall((x or "").lower())
             m, best = len(p), (0, 0)
+            if not m:
+                continue
             if m < s.least_words:
+                if any(w[b : b + m] == p for b in range(len(w))):
+                    out.add((d, i))
                 continue
             width = m + m // 4 + 2
             for b in range(max(1, len(w) - width + 1)):
@@ -51,7 +55,7 @@ def test_planted_leaks(spark):
     vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(3000)]
     common = ["the", "of", "and", "to", "in"]
     prose = lambda n: [rng.choice(common) if rng.random() < 0.4 else rng.choice(vocabulary) for _ in range(n)]
-    items = {i: " ".join(prose(rng.randrange(15, 70))) for i in range(12)} | {50: "too short item", 51: None, 52: ""}
+    items = {i: " ".join(prose(rng.randrange(15, 70))) for i in range(12)} | {50: "of the", 51: None, 52: "", 53: "zebra", 54: "in to and to in"}
     texts, planted = {}, set()
     for d in range(144):
         w = prose(rng.choice([3, 40, 150, 400]))
@@ -72,7 +76,10 @@ def test_planted_leaks(spark):
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in contamination(docs, bench).collect()}
     del texts[904]
-    assert planted <= got and {x for x in got if x[0] != 904} == brute(texts, items)
+    want = brute(texts, items)
+    assert planted <= got and {x for x in got if x[0] != 904} == want and any(i == 50 for _, i in want)
+    bench = bench.filter("item_id < 50 or text is null or text = ''")
+    got = {x for x in got if x[1] < 50}
     kept = decontamination_stage(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == (set(texts) | {904}) - {d for d, _ in planted}
     blocks = {(r.doc_id, r.item_id) for r in contamination(docs, bench, settings=Settings(block=5)).collect()}
@@ -191,3 +198,22 @@ def test_long_documents_and_common_words(spark):
     df, n = frequencies(hashed, s)
     used = df > 0
     assert n == sum(-(-len(w) // s.passage) for w in texts.values()) and (weights(df, n, s)[used] > 0).mean() > 0.99
+
+
+def test_sums_of_many_tasks(spark):
+    def run(batches):
+        n = sum(b.num_rows for b in batches)
+        for i in range(3):
+            yield _part(i, np.full(4, n * (i + 1.0)))
+
+    frame = spark.range(500, numPartitions=70)
+    got = _sum_binary(frame.mapInArrow(run, PART), 3, 70, 4)
+    assert got.tolist() == [500.0] * 4 + [1000.0] * 4 + [1500.0] * 4
+
+
+def test_clashing_names(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(1, text, 5, 6), (2, "nothing here", 5, 6), (None, "x", 5, 6)], "doc_id long, text string, drop int, _drop int")
+    bench = spark.createDataFrame([(1, text), (1, text)], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r["drop"], r["_drop"]) for r in decontamination_stage(docs, bench).collect()) == [(0, 5, 6), (2, 5, 6)]
+    assert contamination(docs, bench).count() == 1
