@@ -9,7 +9,6 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from orrery.runtime import TIMEOUT_S, Engine
-from orrery.sources.wire import to_wire
 
 
 def statements(text: str) -> list[str]:
@@ -28,6 +27,12 @@ def statements(text: str) -> list[str]:
     return [s.strip() for s in [*out, "".join(now)] if s.strip()]
 
 
+def show(engine: Engine, texts: list[str], out=None, timeout: float = TIMEOUT_S) -> None:
+    for sql in (s for t in texts for s in statements(t)):
+        for line in engine.stream(sql, timeout=timeout):
+            print(line, file=out or sys.stdout)
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
     p = argparse.ArgumentParser(prog="orrery")
     p.add_argument("-d", "--data", required=True, help="folder of Parquet tables")
@@ -38,11 +43,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=N
     texts = ([a.query] if a.query else []) + [Path(f).read_text() for f in a.files]
     if not texts:
         p.error("a query or a file is needed")
-    engine = Engine(spark or SparkSession.builder.getOrCreate(), a.data)
-    for sql in (s for t in texts for s in statements(t)):
-        df, _ = engine.execute(sql, timeout=a.timeout)
-        for line in to_wire(df):
-            print(line, file=out or sys.stdout)
+    show(Engine(spark or SparkSession.builder.getOrCreate(), a.data), texts, out, a.timeout)
     return 0
 
 

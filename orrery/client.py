@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import datetime
+import socket
 from decimal import Decimal
 from urllib.parse import urlsplit
 
 from pyspark.sql import SparkSession
 
 from orrery.runtime import Engine
-from orrery.sources.wire import wire_type
+from orrery.sources.wire import parse_wire, wire_type
 
-VERSION = (42, 0)
+VERSION = (0, 2)
 
 
 class Connection:
@@ -47,6 +48,49 @@ def connect(spark: SparkSession, folder: str, **settings) -> Connection:
     return Connection(Engine(spark, folder, **settings))
 
 
+class RemoteConnection:
+    """A connection to a running query server, by ``orrery://host:port``."""
+
+    def __init__(self, url: str, timeout: float = 3600.0):
+        at = urlsplit(url)
+        if at.scheme != "orrery" or not at.hostname or not at.port:
+            raise ValueError(f"not of the form orrery://host:port: {url!r}")
+        self.socket = socket.create_connection((at.hostname, at.port), timeout)
+        self.lines = self.socket.makefile("r", encoding="utf-8", newline="\n")
+
+    def _send(self, line: str) -> None:
+        self.socket.sendall(line.encode() + b"\n")
+
+    def _line(self) -> str:
+        line = self.lines.readline()
+        if not line:
+            raise ConnectionError("the server closed the connection")
+        if line.startswith("!"):
+            raise RuntimeError(line[1:].rstrip("\n"))
+        return line.rstrip("\n")
+
+    def is_valid(self) -> bool:
+        self._send("PING")
+        return self._line() == "PONG"
+
+    def execute_query(self, sql: str) -> ResultSet:
+        self._send("EXEC " + " ".join(sql.split("\n")))
+        lines = [self._line()]
+        while (line := self._line()) or len(lines) < 2:
+            lines.append(line)
+        names, types, rows = parse_wire(lines)
+        return ResultSet(names, types, rows)
+
+    def close(self) -> None:
+        self.socket.close()
+
+    def __enter__(self) -> RemoteConnection:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
 def _bind(kind):
     def put(self, index: int, value):
         return self._set(index, None if value is None else kind(value))

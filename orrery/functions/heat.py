@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orrery.sources.shared import hadoop_path
+
 BLOCK = 4096
 TRACE = "timestamp double, inode long, filename string, mode string, offset long, size long"
 
@@ -14,7 +18,7 @@ def read_traces(spark: SparkSession, *paths: str, prefix: str = "") -> DataFrame
     """Traces (tab-separated, no header) of many files, with the query that each file's name says."""
     name = F.upper(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"(\.[^.]*)+$", ""))
     df = spark.read.option("sep", "\t").schema(TRACE).csv(list(paths))
-    return df.withColumn("query", name).withColumn("filename", F.regexp_replace("filename", F.lit("^" + prefix), F.lit("")) if prefix else F.col("filename"))
+    return df.withColumn("query", name).withColumn("filename", F.when(F.startswith("filename", F.lit(prefix)), F.substring("filename", len(prefix) + 1, 1 << 30)).otherwise(F.col("filename")) if prefix else F.col("filename"))
 
 
 def running_sum(df: DataFrame, value: str, order: list[str], name: str, by: list[str] | None = None) -> DataFrame:
@@ -47,3 +51,11 @@ def heat(accesses: DataFrame, block: str = "block", query: str = "query") -> Dat
 
 def of_queries(df: DataFrame, names: list[str]) -> DataFrame:
     return df.filter(F.substring("query", 1, 3).isin(*names))
+
+
+def kept(spark: SparkSession, path: str, derive: Callable[[], DataFrame]) -> DataFrame:
+    """An intermediate result that is derived and written once; later calls read it."""
+    done, fs = hadoop_path(spark, f"{path.rstrip('/')}/_SUCCESS")
+    if not fs.exists(done):
+        derive().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from orrery.functions.heat import heat, running_sum
 from orrery.functions.stats import describe
+from orrery.operators.querysets import SSB
 from orrery.plans import policies
 from orrery.plans.merge import Agg, aggregate, combine
-from orrery.plans.slicing import profile, slice_frames, sliced
+from orrery.plans.slicing import profile, sliced
 from orrery.sources.catalog import FactTable, discover
 from orrery.sources.views import inlined
 from orrery.sources.wire import from_wire, to_wire
@@ -47,14 +48,14 @@ def sliced_ssb_q04(spark: SparkSession) -> DataFrame:
 
 
 def sliced_concat(spark: SparkSession) -> DataFrame:
-    return combine([x.select("l_orderkey", "l_linenumber", "l_partkey") for x in slice_frames(spark.table("lineitem").filter("l_quantity > 45"), fact(spark), 10)])
+    """All slices of one scan, in one bag."""
+    return sliced(spark.table("lineitem").filter("l_quantity > 45"), fact(spark), 10).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 def sliced_topk(spark: SparkSession) -> DataFrame:
     """Order and limit over all slices together."""
     order = [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey")]
-    parts = [x.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice") for x in slice_frames(spark.table("lineitem"), fact(spark), 10)]
-    return combine(parts, order=order, limit=20, offset=3)
+    return combine([sliced(spark.table("lineitem"), fact(spark), 10).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")], order=order, limit=20, offset=3)
 
 
 def slice_profile(spark: SparkSession) -> DataFrame:
@@ -86,8 +87,8 @@ QUERIES = {
     "sliced_avg": (_aggregate(["l_returnflag"], [Agg("avg", "l_linenumber", "a"), Agg("avg", "nullif(l_partkey, 5)", "b")]), "SELECT l_returnflag, AVG(l_linenumber) AS a, AVG(nullif(l_partkey, 5)) AS b FROM lineitem GROUP BY l_returnflag"),
     "sliced_group": (_aggregate(["l_returnflag", "l_linestatus"], [Agg("sum", "l_linenumber", "s"), Agg("count_distinct", "l_suppkey", "d"), Agg("count", "*", "n")]), "SELECT l_returnflag, l_linestatus, CAST(SUM(l_linenumber) AS BIGINT) AS s, COUNT(DISTINCT l_suppkey) AS d, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus"),
     "sliced_first_last": (_aggregate(["l_linestatus"], [Agg("first", "l_partkey", "a", "struct(l_shipdate, l_orderkey, l_partkey)"), Agg("last", "l_partkey", "b", "struct(l_shipdate, l_orderkey, l_partkey)")]), "SELECT l_linestatus, arg_min(l_partkey, row(l_shipdate, l_orderkey, l_partkey)) AS a, arg_max(l_partkey, row(l_shipdate, l_orderkey, l_partkey)) AS b FROM lineitem GROUP BY l_linestatus"),
-    "sliced_ssb_q01": (sliced_ssb_q01, inlined("SELECT CAST(SUM(lo_extendedprice*lo_discount) AS DOUBLE) AS revenue FROM lineorder, dwdate WHERE lo_orderdate=d_datekey AND d_year=1996 AND lo_discount BETWEEN 1 AND 3 AND lo_quantity<25")),
-    "sliced_ssb_q04": (sliced_ssb_q04, inlined("SELECT d_year, p_brand1, CAST(SUM(lo_revenue) AS DOUBLE) AS revenue FROM lineorder, dwdate, s_part, s_supplier WHERE lo_orderdate=d_datekey AND lo_partkey=p_partkey AND lo_suppkey=s_suppkey AND p_category='MFGR#12' AND s_region='AMERICA' GROUP BY d_year, p_brand1")),
+    "sliced_ssb_q01": (sliced_ssb_q01, inlined(SSB["ssb_q01"])),
+    "sliced_ssb_q04": (sliced_ssb_q04, inlined(SSB["ssb_q04"])),
     "sliced_concat": (sliced_concat, "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity > 45"),
     "sliced_topk": (sliced_topk, "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 20 OFFSET 3"),
     "slice_profile": (
@@ -111,8 +112,12 @@ SELECT CAST(least(9, greatest(0, l_orderkey - lo - 1) // stride) AS INT) AS slic
         lambda s: policies.sticky_load_balancing(s, 100, NODES, LOADS),
         "SELECT CAST(i AS INT) AS slice, 'n' || (CASE WHEN l[(i + 1) % 5 + 1] < l[i % 5 + 1] THEN (i + 1) % 5 ELSE i % 5 END) AS node FROM range(100) t(i), (SELECT [0.5, 0.1, 0.9, 0.3, 0.2] AS l) x",
     ),
-    "sched_random": (lambda s: policies.random(s, 100, NODES), None),
-    "sched_lb": (lambda s: policies.load_balancing(s, 100, NODES, LOADS), None),
+    "sched_random": (lambda s: policies.random(s, 100, NODES), "SELECT CAST(i AS INT) AS slice, 'n' || (((i * 2 + 1) * 1103515245 + 12345) % 2147483648 // 65536 % 5) AS node FROM range(100) t(i)"),
+    "sched_lb": (
+        lambda s: policies.load_balancing(s, 100, NODES, LOADS),
+        """WITH d AS (SELECT i, ((i * 2 + 1) * 1103515245 + 12345) % 2147483648 // 65536 % 5 AS a, ((i * 2 + 2) * 1103515245 + 12345) % 2147483648 // 65536 % 5 AS b, [0.5, 0.1, 0.9, 0.3, 0.2] AS l FROM range(100) t(i))
+SELECT CAST(i AS INT) AS slice, 'n' || (CASE WHEN l[b + 1] < l[a + 1] THEN b ELSE a END) AS node FROM d""",
+    ),
     "sched_reschedule": (lambda s: policies.reschedule(policies.sticky(s, 100, NODES), 4, NODES), "SELECT CAST(i AS INT) AS slice, 'n' || (CASE WHEN i = 4 THEN 0 ELSE i % 5 END) AS node FROM range(100) t(i)"),
     "latency_stats": (lambda s: describe(s.table("lineitem"), "l_quantity", "l_returnflag"), "SELECT l_returnflag, MIN(l_quantity) AS min, MAX(l_quantity) AS max, AVG(l_quantity) AS mean, median(l_quantity) AS median, COUNT(l_quantity) AS count, SUM(l_quantity) AS sum FROM lineitem GROUP BY l_returnflag"),
     "running_sum": (lambda s: running_sum(s.table("part").select("p_brand", "p_partkey", "p_size"), "p_size", ["p_partkey"], "start", ["p_brand"]), "SELECT p_brand, p_partkey, p_size, CAST(coalesce(SUM(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM part"),

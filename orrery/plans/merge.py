@@ -72,21 +72,13 @@ def merge(parts: DataFrame, keys: list[str], aggs: list[Agg]) -> DataFrame:
 
 
 def aggregate(df: DataFrame, fact: FactTable, n: int, keys: list[str], aggs: list[Agg]) -> DataFrame:
-    """The whole aggregate by slices.  Distinct counts merge distinct values, not counts."""
-    plain = [a for a in aggs if a.kind != "count_distinct"]
-    out = merge(partials(df, fact, n, keys, plain), keys, plain) if plain else None
-    for a in aggs:
-        if a.kind == "count_distinct":
-            values = sliced(df, fact, n, "_slice").select("_slice", *keys, a.value.alias("_value")).distinct().select(*keys, "_value").distinct()
-            counted = values.groupBy(*keys).agg(F.count("_value").alias(a.alias))
-            if out is None:
-                out = counted
-            elif not keys:
-                out = out.join(counted, F.lit(True))  # one row each
-            else:
-                named = counted.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), a.alias)
-                out = out.join(named, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))).drop(*(f"_k{i}" for i in range(len(keys))))
-    return out.select(*keys, *(a.alias for a in aggs))
+    """The whole aggregate by slices, from one scan.  Distinct counts merge distinct values, not counts."""
+    values = {a: f"_{a.alias}_distinct" for a in aggs if a.kind == "count_distinct"}
+    plain = [a for a in aggs if a not in values]
+    rows = sliced(df, fact, n, "_slice").withColumns({c: a.value for a, c in values.items()})
+    # a distinct value is a further key of its slice's partial rows
+    parts = rows.groupBy("_slice", *keys, *values.values()).agg(*(c for a in plain for c in a.partial()), F.count("*").alias("_rows"))
+    return parts.groupBy(*keys).agg(*(F.count_distinct(values[a]).alias(a.alias) if a in values else a.merged() for a in aggs)).select(*keys, *(a.alias for a in aggs))
 
 
 def concat(parts: list[DataFrame]) -> DataFrame:

@@ -17,7 +17,8 @@ def _named(df: DataFrame, index: Column, nodes: list[str]) -> DataFrame:
 
 
 def _draw(seed: int, n: int) -> Column:
-    return F.pmod(F.xxhash64("slice", F.lit(seed)), F.lit(n))
+    """A pseudo-random node: a linear congruential step of the slice's number, without its low bits."""
+    return F.expr(f"((CAST(slice AS BIGINT) * 2 + {seed} + 1) * 1103515245 + 12345) % 2147483648 div 65536 % {n}")
 
 
 def _lighter(a: Column, b: Column, loads: list[float]) -> Column:

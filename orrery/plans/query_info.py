@@ -28,7 +28,8 @@ class NotAQuery(ValueError):
     """The statement does more than read."""
 
 
-def _items(seq) -> list:
+def items(seq) -> list:
+    """A list of a Scala sequence."""
     return [seq.apply(i) for i in range(seq.size())]
 
 
@@ -56,14 +57,14 @@ def inspect(spark: SparkSession, sql: str) -> QueryInfo:
             if name in ("Aggregate", "Project"):
                 top = False
                 if name == "Aggregate":
-                    info.group_keys = [x.sql() for x in _items(node.groupingExpressions())]
+                    info.group_keys = [x.sql() for x in items(node.groupingExpressions())]
                 outputs = node.aggregateExpressions() if name == "Aggregate" else node.projectList()
-                for text in (x.toString().lower().lstrip("'") for x in _items(outputs)):
+                for text in (x.toString().lower().lstrip("'") for x in items(outputs)):
                     if text.partition("(")[0] in AGGREGATES:
                         info.aggregates.append(text)
-        children = _items(node.children())
+        children = items(node.children())
         if name == "UnresolvedWith":
-            children += [x._2() for x in _items(node.cteRelations())] if hasattr(_items(node.cteRelations())[0], "_2") else []
+            children += [x._2() for x in items(node.cteRelations())] if hasattr(items(node.cteRelations())[0], "_2") else []
         todo += reversed(children)
     info.tables.sort()
     return info

@@ -6,15 +6,19 @@ import threading
 import time
 import uuid
 from collections import deque
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.cluster import Membership
 from orrery.plans import policies
 from orrery.plans.query_info import inspect
+from orrery.plans.rewrite import SlicedQuery, rewrite
 from orrery.sources.catalog import TABLES, FactTable, register
-from orrery.sources.views import register_views
-from orrery.sources.wire import monitoring
+from orrery.sources.star import register_star
+from orrery.sources.wire import monitoring, to_wire
 
 LOG_SIZE = 10
 TIMEOUT_S = 3600
@@ -58,8 +62,9 @@ class QueryTimeout(RuntimeError):
     pass
 
 
-def run_with_timeout(spark: SparkSession, action, seconds: float = TIMEOUT_S):
-    """``action()``, whose Spark jobs are cancelled once the time is up."""
+@contextmanager
+def limited(spark: SparkSession, seconds: float = TIMEOUT_S):
+    """The Spark jobs of the block are cancelled once the time is up."""
     tag, late = f"timeout-{uuid.uuid4().hex}", threading.Event()
 
     def stop() -> None:
@@ -70,7 +75,7 @@ def run_with_timeout(spark: SparkSession, action, seconds: float = TIMEOUT_S):
     spark.sparkContext.addJobTag(tag)
     timer.start()
     try:
-        out = action()
+        yield
     except Exception as e:
         if late.is_set():
             raise QueryTimeout(f"stopped after {seconds:g} s") from e
@@ -78,7 +83,12 @@ def run_with_timeout(spark: SparkSession, action, seconds: float = TIMEOUT_S):
     finally:
         timer.cancel()
         spark.sparkContext.removeJobTag(tag)
-    return out
+
+
+def run_with_timeout(spark: SparkSession, action, seconds: float = TIMEOUT_S):
+    """``action()``, whose Spark jobs are cancelled once the time is up."""
+    with limited(spark, seconds):
+        return action()
 
 
 @dataclass
@@ -113,28 +123,64 @@ class QueryLog:
 
 
 class Engine:
-    """Read-only SQL over a folder of Parquet tables."""
-
-    def __init__(self, spark: SparkSession, folder: str | None = None, tables: tuple[str, ...] = TABLES, nodes: list[str] | None = None, scenario: str = "sticky", fact: FactTable | None = None):
-        self.spark, self.log, self.fact = spark, QueryLog(), fact
-        self.nodes, self.scenario = nodes or ["local"], SCENARIOS[scenario]
+    """Read-only SQL over a folder of Parquet tables.
+
+    With a fact table and a scenario that slices, aggregate queries run by slices, and
+    the scenario's policy says which member has each slice.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, tables: tuple[str, ...] = TABLES, nodes: list[str] | None = None, scenario: str = "sticky", fact: FactTable | None = None, slices: int | None = None):
+        self.spark, self.log, self.fact, self.slices = spark, QueryLog(), fact, slices
+        self.members, self.scenario = Membership(patience=float("inf") if nodes else 5.0), SCENARIOS[scenario]
+        for node in nodes or []:
+            self.members.beat(node)
+        self._own = bool(nodes)
         if folder:
             register(spark, folder, tables)
             if set(TABLES[:7]) <= set(tables):
-                register_views(spark)
+                register_star(spark, folder)
+
+    @property
+    def nodes(self) -> list[str]:
+        """Names of the members: those given, else the session's executors."""
+        return list(self.members.alive() if self._own else self.members.refresh(self.spark))
+
+    def sliced(self, text: str) -> SlicedQuery | None:
+        """The query by slices, if the scenario and the query allow that."""
+        if not (self.scenario.sliced and self.fact):
+            return None
+        return rewrite(self.spark, text, self.fact, self.slices or self.fact.shards())
 
     def sql(self, text: str, args: list | dict | None = None) -> DataFrame:
         """A query as a DataFrame; ``?`` and ``:name`` are bound to ``args``; other statements raise NotAQuery."""
         inspect(self.spark, text)
-        return self.spark.sql(text.strip().rstrip(";"), args=args)
+        found = None if args else self.sliced(text)
+        return found.result if found else self.spark.sql(text.strip().rstrip(";"), args=args)
+
+    def placement(self, text: str) -> DataFrame:
+        """(slice, node) of the query's sub-queries; one sub-query if it isn't sliced."""
+        found, loads = self.sliced(text), self.members.alive() if self._own else self.members.refresh(self.spark)
+        return place(self.spark, self.scenario, found.slices if found else 1, list(loads), list(loads.values()))
 
     def execute(self, text: str, args: list | dict | None = None, timeout: float = TIMEOUT_S) -> tuple[DataFrame, list]:
         """Runs the query and logs it: its DataFrame and rows."""
         started = time.time()
         df = self.sql(text, args)
         rows = run_with_timeout(self.spark, df.collect, timeout)
-        self.log.add(LogEntry(uuid.uuid4().hex, text, started, time.time() - started, len(rows)))
+        self._logged(text, started, len(rows))
         return df, rows
 
+    def stream(self, text: str, args: list | dict | None = None, timeout: float = TIMEOUT_S) -> Iterator[str]:
+        """Wire text of the query, which runs once and is logged at its end; a partition at a time is held."""
+        started, n = time.time(), -2
+        with limited(self.spark, timeout):
+            for line in to_wire(self.sql(text, args)):
+                n += 1
+                yield line
+        self._logged(text, started, n)
+
+    def _logged(self, text: str, started: float, rows: int) -> None:
+        self.log.add(LogEntry(uuid.uuid4().hex, text, started, time.time() - started, rows))
+
     def monitoring(self) -> str:
         return monitoring(self.nodes, [asdict(e) for e in self.log.all()])

@@ -93,9 +93,10 @@ def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def console(df: DataFrame, most: int = 1000) -> str:
-    """Header, types and up to ``most`` rows, NULL for nulls."""
-    rows = df.take(most)
-    return "\n".join(["\t".join(df.columns), "\t".join(wire_type(f.dataType) for f in df.schema.fields), *("\t".join(_field(v, False) for v in r) for r in rows)])
+    """Header, types and up to ``most`` rows, NULL for nulls; a last line says if there are more."""
+    rows = df.take(most + 1)
+    lines = ["\t".join(df.columns), "\t".join(wire_type(f.dataType) for f in df.schema.fields), *("\t".join(_field(v, False) for v in r) for r in rows[:most])]
+    return "\n".join(lines + [f"... more than {most} rows"] * (len(rows) > most))
 
 
 def ddl(table: str, df: DataFrame) -> str:
