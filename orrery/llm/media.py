@@ -1,7 +1,7 @@
 """Media columns: byte payloads stored as lossless WebP images, and pixel features read back.
 
 A payload is a text's UTF-8 bytes, filled with zero bytes to a positive multiple
-of 64.  It is stored as images of 64 columns and at most 128 rows, a byte a
+of 64.  It is stored as images of 64 columns and at most 64 rows, a byte a
 pixel, so that neither a very long text nor its decoding needs a large image; the
 stored form is the sequence of WebP files.
 
@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.llm.store import written
 from orrery.llm.textops import blocks, text_bytes
-from orrery.llm.webp import Decoder, Encoder
+from orrery.llm.webp import Decoder
+from orrery.llm.webp_encoder import Encoder
 
 UNIT = 64
 BLOCK = 4 << 20
@@ -132,4 +134,5 @@ def media_features(media: DataFrame, key: str = "doc_id", column: str = "media")
 
 def op7_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return media_features(store_media(docs)).select("doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    media = written(store_media(docs), "media")  # stored, so that what follows reads the stored bytes back
+    return media_features(media).select("doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

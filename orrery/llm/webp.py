@@ -1,10 +1,10 @@
-"""Lossless WebP: a decoder of whole VP8L streams and an encoder for byte payloads.
+"""Lossless WebP: a decoder of whole VP8L streams.
 
 Decoding reads prefix codes, back-references, the colour cache and meta prefix
 images, and inverts the predictor, cross-colour, subtract-green and palette
-transforms.  Images of a batch are decoded side by side: one numpy step reads
-the next symbol of every image whose stream has one code group and no colour
-cache; other streams take the scalar reader.
+transforms.  Images of a batch are decoded side by side: one numpy step reads the
+next symbol of every image whose stream has one code group and no colour cache, and
+likewise the codes of those without transforms; other streams take the scalar reader.
 """
 
 from __future__ import annotations
@@ -14,21 +14,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from orrery.llm.prefix_codes import CODE_LENGTH_ORDER, MAX_CODE, Lanes, read_lengths, tables
+
 # Fixed values of the format.
-CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
-#: Offsets (x, y) of the first 120 distance codes, as text: "x,y" pairs.
+#: Offsets (x, y) of the first 120 distance codes.
 NEAR = [
-    tuple(map(int, p.split(",")))
-    for p in (
-        "0,1 1,0 1,1 -1,1 0,2 2,0 1,2 -1,2 2,1 -2,1 2,2 -2,2 0,3 3,0 1,3 -1,3 3,1 -3,1 2,3 -2,3 3,2 -3,2 0,4 4,0 1,4 -1,4 4,1 -4,1 "
-        "3,3 -3,3 2,4 -2,4 4,2 -4,2 0,5 3,4 -3,4 4,3 -4,3 5,0 1,5 -1,5 5,1 -5,1 2,5 -2,5 5,2 -5,2 4,4 -4,4 3,5 -3,5 5,3 -5,3 0,6 6,0 "
-        "1,6 -1,6 6,1 -6,1 2,6 -2,6 6,2 -6,2 4,5 -4,5 5,4 -5,4 3,6 -3,6 6,3 -6,3 0,7 7,0 1,7 -1,7 5,5 -5,5 7,1 -7,1 4,6 -4,6 6,4 -6,4 "
-        "2,7 -2,7 7,2 -7,2 3,7 -3,7 7,3 -7,3 5,6 -5,6 6,5 -6,5 8,0 4,7 -4,7 7,4 -7,4 8,1 8,2 6,6 -6,6 8,3 5,7 -5,7 7,5 -7,5 8,4 6,7 "
-        "-6,7 7,6 -7,6 8,5 7,7 -7,7 8,6 8,7"
-    ).split()
-]
+    (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2), (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3), (3, 2), (-3, 2), (0, 4), (4, 0), (1, 4), (-1, 4), (4, 1), (-4, 1),
+    (3, 3), (-3, 3), (2, 4), (-2, 4), (4, 2), (-4, 2), (0, 5), (3, 4), (-3, 4), (4, 3), (-4, 3), (5, 0), (1, 5), (-1, 5), (5, 1), (-5, 1), (2, 5), (-2, 5), (5, 2), (-5, 2), (4, 4), (-4, 4), (3, 5), (-3, 5), (5, 3), (-5, 3), (0, 6), (6, 0),
+    (1, 6), (-1, 6), (6, 1), (-6, 1), (2, 6), (-2, 6), (6, 2), (-6, 2), (4, 5), (-4, 5), (5, 4), (-5, 4), (3, 6), (-3, 6), (6, 3), (-6, 3), (0, 7), (7, 0), (1, 7), (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1), (4, 6), (-4, 6), (6, 4), (-6, 4),
+    (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7),
+    (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
+]
 GREEN, RED, BLUE, ALPHA, DISTANCE = range(5)
-N_LENGTHS, N_DISTANCES, MAX_CODE, MAX_COPY, MAX_SIDE = 24, 40, 15, 4096, 1 << 14
+N_LENGTHS, N_DISTANCES, MAX_COPY, MAX_SIDE = 24, 40, 4096, 1 << 14
 CACHE_MULTIPLIER = 0x1E35A7BD
 
 
@@ -52,17 +50,11 @@ def canonical(lengths: list[int] | np.ndarray) -> np.ndarray:
 
 
 def lookup(lengths: list[int] | np.ndarray) -> np.ndarray:
-    """For each next 15 bits: symbol * 16 + bits used.  A code of one symbol uses none."""
-    lengths = np.asarray(lengths)
-    used = np.flatnonzero(lengths)
-    if len(used) <= 1:
-        return np.full(1 << MAX_CODE, int(used[0] if len(used) else 0) << 4, np.int32)
-    if sum(1 << (MAX_CODE - int(n)) for n in lengths[used]) != 1 << MAX_CODE:
-        raise WebPError("a prefix code isn't complete")
-    table = np.empty(1 << MAX_CODE, np.int32)
-    for s, c in zip(used, canonical(lengths)[used], strict=True):
-        table[int(c) :: 1 << int(lengths[s])] = (int(s) << 4) | int(lengths[s])
-    return table
+    """For each next bits, as many as the longest code has: symbol * 16 + bits used.  A code of one symbol uses none."""
+    try:
+        return tables(np.asarray(lengths)[None])[0]
+    except ValueError as e:
+        raise WebPError(str(e)) from e
 
 
 def code_lengths(weights: list[int]) -> list[int]:
@@ -128,7 +120,7 @@ class Bits:
         return v
 
     def symbol(self, table: np.ndarray) -> int:
-        e = int(table[self.peek() & 0x7FFF])
+        e = int(table[self.peek() & (len(table) - 1)])
         self.at += e & 15
         return e >> 4
 
@@ -320,6 +312,15 @@ def _predict(mode: int, left, top, right_top, left_top):
 def undo_predictor(pixels: np.ndarray, width: int, bits: int, modes: np.ndarray) -> np.ndarray:
     c = pixels.view(np.uint8).reshape(-1, width, 4).astype(np.int64)
     modes = ((modes >> 8) & 15).reshape(-1, -(-width >> bits))
+    if (modes == 1).all() or (modes == 2).all():  # the left or the upper pixel throughout: running sums
+        c[0, 0, 3] += 255
+        c[0] = np.cumsum(c[0], axis=0)
+        if modes[0, 0] == 1:
+            c[:, 0] = np.cumsum(c[:, 0], axis=0)
+            c[1:] = np.cumsum(c[1:], axis=1)
+        else:
+            c = np.cumsum(c, axis=0)
+        return np.ascontiguousarray((c & 255).astype(np.uint8)).view(np.uint32).ravel()
     for y in range(len(c)):
         for x in range(width):
             if y == 0:
@@ -374,30 +375,41 @@ def undo(head: Head, pixels: np.ndarray) -> np.ndarray:
 # -------------------------------------------------------------------- decoding
 
 
+def plain(stream: bytes) -> bool:
+    """Whether the stream has no transform, no colour cache and no meta prefix image."""
+    return len(stream) > 4 and not stream[4] & 7 and not stream[3] >> 5
+
+
+def read_plain_heads(streams: list[bytes]) -> list[Head]:
+    """Heads of plain streams, side by side."""
+    lanes = Lanes(streams)
+    every = np.arange(len(streams))
+    width, height = lanes.read(every, 14) + 1, lanes.read(every, 14) + 1
+    lanes.read(every, 7)
+    codes = []
+    try:
+        for size in (256 + N_LENGTHS, 256, 256, 256, N_DISTANCES):
+            codes.append(tables(read_lengths(lanes, size)))
+    except ValueError as e:
+        raise WebPError(str(e)) from e
+    at = (lanes.at - lanes.begin).tolist()
+    out = []
+    for i, (w, h, p) in enumerate(zip(width.tolist(), height.tolist(), at, strict=True)):
+        out.append(Head(w, h, w, groups=[[t[starts[i] : starts[i + 1]] for t, starts in codes]], at=p))
+    return out
+
+
 class Decoder:
-    """Decodes many files; heads that were met before aren't read again."""
-
-    def __init__(self, remembered: int = 64):
-        self.heads: dict[bytes, tuple] = {}
-        self.remembered = remembered
-
-    def head(self, stream: bytes) -> Head:
-        # behind the 32 bits of the sizes, equal bytes mean equal codes
-        for rest, (at, found) in self.heads.items():
-            tail = at & 7
-            if stream[4 : 4 + len(rest)] == rest and (not tail or (stream[4 + len(rest)] & ((1 << tail) - 1)) == found[1]):
-                size = int.from_bytes(stream[:4], "little")
-                return Head((size & 0x3FFF) + 1, (size >> 14 & 0x3FFF) + 1, (size & 0x3FFF) + 1, [], found[0].cache_bits, found[0].groups, None, 0, found[0].at)
-        head = read_head(Bits(stream))
-        if not head.transforms and head.meta is None and len(self.heads) < self.remembered:
-            n = head.at - 32
-            self.heads[stream[4 : 4 + (n >> 3)]] = (n, (head, stream[4 + (n >> 3)] & ((1 << (n & 7)) - 1) if n & 7 else 0))
-        return head
+    """Decodes many files."""
 
     def decode(self, files: list[bytes]) -> list[np.ndarray]:
         """ARGB pixels (uint32, height x width) of each file."""
         streams = [stream_of(f) for f in files]
-        heads = [self.head(s) for s in streams]
+        easy = [i for i, s in enumerate(streams) if plain(s)]
+        heads: list = [None] * len(files)
+        for i, head in zip(easy, read_plain_heads([streams[i] for i in easy]) if easy else (), strict=True):
+            heads[i] = head
+        heads = [h or read_head(Bits(s)) for h, s in zip(heads, streams, strict=True)]
         out: list = [None] * len(files)
         side = [i for i, h in enumerate(heads) if h.meta is None and not h.cache_bits]
         for i, pixels in zip(side, side_by_side([streams[i] for i in side], [heads[i] for i in side]), strict=True):
@@ -413,15 +425,12 @@ def side_by_side(streams: list[bytes], heads: list[Head]) -> list[np.ndarray]:
     if not streams:
         return []
     order = sorted(range(len(streams)), key=lambda i: -len(streams[i]))
-    groups: dict[int, int] = {}
-    tables: list[list[np.ndarray]] = []
-    for i in order:
-        g = heads[i].groups[0]
-        if id(g) not in groups:
-            groups[id(g)] = len(tables)
-            tables.append(g)
-    table = [np.concatenate([g[k] for g in tables]) for k in range(5)]
-    silent = [bool((t & 15 == 0).all()) for t in table]
+    found = [[heads[i].groups[0][k] for i in order] for k in range(5)]
+    table = [np.concatenate(x) for x in found]
+    sizes_of = [np.array([len(t) for t in x]) for x in found]
+    first = [np.cumsum(x) - x for x in sizes_of]
+    mask = [x - 1 for x in sizes_of]
+    silent = [bool((x == 1).all()) for x in sizes_of]
     body = np.frombuffer(b"".join([streams[i] for i in order] + [bytes(16)]), np.uint8)
     view = np.ndarray((len(body) - 8,), dtype="<u8", buffer=body, strides=(1,))
     sizes = np.array([heads[i].coded_width * heads[i].height for i in order])
@@ -429,32 +438,33 @@ def side_by_side(streams: list[bytes], heads: list[Head]) -> list[np.ndarray]:
     begins = 8 * np.concatenate([[0], np.cumsum([len(streams[i]) for i in order])])
     pos = begins[:-1] + np.array([heads[i].at for i in order])
     limit, to, end = begins[1:].copy(), base[:-1].copy(), base[1:].copy()
-    origin, group = base[:-1].copy(), np.array([groups[id(heads[i].groups[0])] << MAX_CODE for i in order])
+    origin = base[:-1].copy()
     wide = np.array([heads[i].coded_width for i in order])
     out = np.zeros(base[-1] + 1, np.uint32)
-    seven, mask, eight = np.int64(7), np.uint64(0x7FFF), np.uint8(3)
-
-    def ahead(at: np.ndarray) -> np.ndarray:
-        return view[at >> eight] >> (at & seven).astype(np.uint64)
+    last = len(view) - 1
 
-    def step(k: int, pos: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        e = table[k][group + (ahead(pos) & mask).astype(np.int64)]
+    def step(k: int, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ahead = view[np.minimum(pos >> 3, last)] >> (pos & 7).astype(np.uint64)
+        e = table[k][first[k] + (ahead.astype(np.int64) & mask[k])]
         return e >> 4, pos + (e & 15)
 
+    # channels without bits are the same for all of an image's literals
+    channels = ((RED, 16), (BLUE, 0), (ALPHA, 24))
+    fixed = np.zeros(len(order), np.uint32)
+    for k, shift in channels:
+        if silent[k]:
+            fixed |= (table[k][first[k]] >> 4).astype(np.uint32) << np.uint32(shift)
+    spoken = [(k, shift) for k, shift in channels if not silent[k]]
     rounds = 0
     while len(pos):
-        green, after = step(GREEN, pos, group)
+        green, after = step(GREEN, pos)
         copies = np.flatnonzero(green >= 256)
-        rest = np.uint32(0)
-        for k, shift in ((RED, 16), (BLUE, 0), (ALPHA, 24)):
-            if silent[k]:
-                e = table[k][group] >> 4
-                rest = rest | (e.astype(np.uint32) << np.uint32(shift))
-            else:
-                v, later = step(k, after, group)
-                if len(copies):
-                    later[copies] = after[copies]
-                after, rest = later, rest | (v.astype(np.uint32) << np.uint32(shift))
+        rest = fixed
+        for k, shift in spoken:
+            v, later = step(k, after)
+            if len(copies):
+                later[copies] = after[copies]
+            after, rest = later, rest | (v.astype(np.uint32) << np.uint32(shift))
         out[to] = rest | (green.astype(np.uint32) << np.uint32(8))
         to, pos = to + 1, after
         for c in copies.tolist():
@@ -467,7 +477,7 @@ def side_by_side(streams: list[bytes], heads: list[Head]) -> list[np.ndarray]:
                 return v
 
             length = prefix_value(int(green[c]) - 256, read)
-            e = int(table[DISTANCE][int(group[c]) + (int(view[at >> 3]) >> (at & 7) & 0x7FFF)])
+            e = int(table[DISTANCE][int(first[DISTANCE][c]) + (int(view[at >> 3]) >> (at & 7) & int(mask[DISTANCE][c]))])
             at += e & 15
             back = near_distance(prefix_value(e >> 4, read), int(wide[c]))
             a = int(to[c]) - 1
@@ -483,24 +493,17 @@ def side_by_side(streams: list[bytes], heads: list[Head]) -> list[np.ndarray]:
         if not live.all():
             if (pos > limit).any():
                 raise WebPError("a stream ends early")
-            pos, to, end, origin, group, wide, limit = pos[live], to[live], end[live], origin[live], group[live], wide[live], limit[live]
+            pos, to, end, origin, wide, limit = pos[live], to[live], end[live], origin[live], wide[live], limit[live]
+            fixed, first, mask = fixed[live], [x[live] for x in first], [x[live] for x in mask]
         elif not rounds & 255 and (pos > limit).any():
             raise WebPError("a stream ends early")
-    found: list = [None] * len(streams)
+    images: list = [None] * len(streams)
     for k, i in enumerate(order):
-        found[i] = out[base[k] : base[k + 1]]
-    return found
-
-
-# -------------------------------------------------------------------- encoding
+        images[i] = out[base[k] : base[k + 1]]
+    return images
 
 
-def _bit_string(fields: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(value, bits) fields joined into pieces of at most 24 bits."""
-    value = n = 0
-    for v, k in fields:
-        value, n = value | v << n, n + k
-    return [(value >> i & 0xFFFFFF, min(24, n - i)) for i in range(0, n, 24)]
+# -------------------------------------------------------------------- writing
 
 
 def write_code(lengths: list[int]) -> list[tuple[int, int]]:
@@ -543,116 +546,6 @@ def write_code(lengths: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _priors() -> list[list[int]]:
-    """Weights of the green symbols: for prose, and the same for every byte."""
-    prose = [1] * 256 + [1] * N_LENGTHS
-    for rank, c in enumerate(b"etaoinsrhldcumfpgwybvkxjqz"):
-        prose[c] += 4000 // (rank + 2)
-        prose[c - 32] += 200 // (rank + 2)
-    for c, w in ((b" ", 3000), (b"\n.,", 160), (b"0123456789", 12), (b"\xc3", 300), (bytes(range(0xA0, 0xC0)), 12), (b"'-!?:;|#()\"/", 8)):
-        for x in c:
-            prose[x] += w
-    return [prose, [24] * 256 + [1] * N_LENGTHS]
-
-
-class Encoder:
-    """Writes byte payloads as images: a sample is a pixel's green, red and blue are 0, alpha 255.
-
-    Each image takes the shorter of two fixed prefix codes; runs of one byte
-    become back-references to the pixel before.
-    """
-
-    LEAST_RUN = 8
-
-    def __init__(self, width: int = 64, most_rows: int = 128):
-        if not (0 < width <= MAX_SIDE and 0 < most_rows <= MAX_SIDE):
-            raise ValueError("an image has 1 to 16384 columns and rows")
-        self.width, self.most_rows = width, most_rows
-        self.lengths, self.codes, self.heads = [], [], []
-        single = lambda s: [int(i == s) for i in range(256)]
-        for weights in _priors():
-            n = code_lengths(weights)
-            self.lengths.append(np.array(n))
-            self.codes.append(canonical(n))
-            fields = [(0, 3)] + write_code(n) + write_code(single(0)) + write_code(single(0)) + write_code(single(255)) + write_code([int(i == 1) for i in range(N_DISTANCES)])
-            self.heads.append(_bit_string(fields))  # distance symbol 1 stands for code 2: one pixel back
-        self.copy = np.array([prefix_symbol(max(1, v)) for v in range(MAX_COPY + 1)])
-
-    def _symbols(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(symbol, extra value, extra bits, index of its image), long runs as copies."""
-        new = np.ones(len(data), bool)
-        new[1:] = data[1:] != data[:-1]
-        new[cuts[:-1]] = True
-        first = np.flatnonzero(new)
-        length = np.diff(np.append(first, len(data)))
-        image = np.searchsorted(cuts, first, side="right") - 1
-        long = length >= self.LEAST_RUN
-        whole = np.where(long, 1 + -(-(length - 1) // MAX_COPY), length)  # symbols of each run
-        at = np.concatenate([[0], np.cumsum(whole)])
-        symbol, run = np.repeat(data[first].astype(np.int64), whole), np.repeat(np.arange(len(first)), whole)
-        extra, bits = np.zeros(len(symbol), np.int64), np.zeros(len(symbol), np.int64)
-        for r in np.flatnonzero(long).tolist():
-            left = int(length[r]) - 1
-            for k in range(at[r] + 1, at[r + 1]):
-                s, n, x = self.copy[min(left, MAX_COPY)]
-                symbol[k], bits[k], extra[k] = 256 + s, n, x
-                left -= MAX_COPY
-        return symbol, extra, bits, image[run]
-
-    def encode(self, payloads: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
-        """Images of each payload, whose bytes are a positive multiple of the width."""
-        sizes = np.diff(offsets)
-        if (sizes % self.width).any() or not (sizes > 0).all():
-            raise ValueError("payloads must fill whole rows")
-        most = self.width * self.most_rows
-        per = -(-sizes // most)
-        owner = np.repeat(np.arange(len(sizes)), per)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-        cuts = np.append(offsets[:-1][owner] + nth * most, offsets[-1])
-        rows = np.diff(cuts) // self.width
-        symbol, extra, more, image = self._symbols(payloads, cuts)
-        first = np.searchsorted(image, np.arange(len(owner)))
-        cost = np.stack([np.add.reduceat(n[symbol] + more, first) for n in self.lengths])
-        pick = cost.argmin(axis=0)
-        code_bits = np.where(pick[image] == 0, self.lengths[0][symbol], self.lengths[1][symbol])
-        value = np.where(pick[image] == 0, self.codes[0][symbol], self.codes[1][symbol]) | extra << code_bits
-        bits = code_bits + more
-        # each image: 32 bits of sizes, its head's pieces, its symbols; images start at whole words
-        heads = [np.array(h) for h in self.heads]
-        n_head = np.array([len(h) + 2 for h in heads])[pick]
-        at = first + np.cumsum(n_head) - n_head
-        total = np.full(len(symbol) + int(n_head.sum()), 0, np.int64)
-        width = total.copy()
-        place = np.arange(len(symbol)) + np.cumsum(n_head)[image]
-        total[place], width[place] = value, bits
-        total[at], width[at] = (self.width - 1) | ((rows - 1) & 3) << 14, 16
-        total[at + 1], width[at + 1] = (rows - 1) >> 2, 16
-        for k, h in enumerate(heads):
-            mine = at[pick == k]
-            for j, (v, n) in enumerate(h):
-                total[mine + 2 + j], width[mine + 2 + j] = v, n
-        ends = np.cumsum(width)
-        begin = np.concatenate([[0], ends[:-1]])
-        length = np.append(begin[at[1:]], ends[-1]) - begin[at]
-        words = -(-length // 32)
-        start = np.concatenate([[0], np.cumsum(words)])
-        count = np.diff(np.append(at, len(total)))
-        offset = begin + np.repeat(32 * start[:-1] - begin[at], count)
-        word = offset >> 5
-        parts = total.astype(np.uint64) << (offset & 31).astype(np.uint64)
-        new = np.ones(len(word), bool)
-        new[1:] = word[1:] != word[:-1]
-        filled = np.zeros(int(start[-1]) + 1, np.uint64)
-        filled[word[new]] = np.add.reduceat(parts, np.flatnonzero(new))
-        packed = (filled & np.uint64(0xFFFFFFFF)).astype(np.uint64)
-        packed[1:] |= filled[:-1] >> np.uint64(32)
-        raw = packed.astype("<u4").tobytes()
-        out: list[list[bytes]] = [[] for _ in sizes]
-        for i, (o, s, n) in enumerate(zip(owner.tolist(), start.tolist(), length.tolist(), strict=False)):
-            out[o].append(riff(raw[4 * s : 4 * s + (n + 7) // 8]))
-        return out
-
-
 def riff(stream: bytes) -> bytes:
     """A file of one VP8L stream."""
     size = len(stream) + 1

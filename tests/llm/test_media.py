@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 
 from orrery.llm import webp
+from orrery.llm.prefix_codes import Lanes, canonical_codes, huffman_lengths, length_tokens, read_lengths, tables
 from orrery.llm.media import media_features, op7_webp_media, read_media, store_media
+from orrery.llm.webp_encoder import META, META_CODES, Encoder, repeats
 
 
 class Writer:
@@ -198,9 +200,11 @@ def test_cross_colour_green_and_palette():
 
 
 def test_damaged_files_raise():
-    e = webp.Encoder()
-    good = e.encode(np.frombuffer(b"some prose " * 64, np.uint8), np.array([0, 704]))[0][0]
-    for bad in (b"", good[:30], b"RIFX" + good[4:], good[:60]):
+    e = Encoder()
+    good = e.encode(np.random.default_rng(0).integers(0, 256, 704).astype(np.uint8), np.array([0, 704]))[0][0]
+    short = good[:-300]
+    short = short[:4] + (len(short) - 8).to_bytes(4, "little") + short[8:16] + (len(short) - 20).to_bytes(4, "little") + short[20:]
+    for bad in (b"", good[:30], b"RIFX" + good[4:], good[:60], short):
         with pytest.raises(webp.WebPError):
             webp.Decoder().decode([bad])
 
@@ -233,3 +237,92 @@ def test_query(spark):
     for r in got:
         raw = texts[r.doc_id]
         assert r.payload_sha256 == hashlib.sha256(raw + bytes((-len(raw)) % 64 or (0 if raw else 64))).hexdigest() and r.n_bytes == len(raw)
+
+
+def form(file):
+    """Which transform a file has."""
+    first = file[25]
+    return ("predictor", "cross-colour", "green", "palette")[first >> 1 & 3] if first & 1 else "none"
+
+
+def test_forms_are_the_shortest_and_read_back():
+    rng = random.Random(6)
+    cases = {
+        "none": "".join(rng.choices("etaoin shrdlu.", k=3000)) + "Zq#é",
+        "palette": "".join(rng.choices("01", k=4000)),
+        "palette 4": "".join(rng.choices("acgt", k=4000)),
+        "palette 16": "".join(rng.choices(["ab", "cd", "ef", "gh", "ij", "kl"], k=2000)),
+        "predictor": "".join(chr(33 + (i // 64 * 7 + i % 64 * 3 + rng.randrange(2)) % 90) for i in range(4096)),
+    }
+    for name, text in cases.items():
+        raw = text.encode() + bytes(-len(text.encode()) % 64)
+        files = Encoder().encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        assert {form(f) for f in files} == {name.split()[0]}, name
+        assert b"".join(((x.ravel() >> 8) & 255).astype(np.uint8).tobytes() for x in webp.Decoder().decode(files)) == raw
+    # all in one call, each many times, in any order: the same files
+    texts = [cases[k] for k in rng.choices(list(cases), k=40)] + [""]
+    raws = [t.encode() + bytes(-len(t.encode()) % 64 or (0 if t else 64)) for t in texts]
+    e = Encoder()
+    many = e.encode(np.frombuffer(b"".join(raws), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raws])]))
+    for raw, files in zip(raws, many, strict=True):
+        assert files == e.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+    flat = [f for g in many for f in g]
+    back = [((x.ravel() >> 8) & 255).astype(np.uint8).tobytes() for x in webp.Decoder().decode(flat)]
+    assert b"".join(back) == b"".join(raws)
+
+
+def test_repeats_are_equal_and_apart():
+    rng = np.random.default_rng(2)
+    words = [bytes(rng.integers(97, 103, 9).astype(np.uint8)) for _ in range(30)]
+    data = np.frombuffer(b" ".join(words[i] for i in rng.integers(0, 30, 2000)) + b"z" * 9000, np.uint8)
+    cuts = np.append(np.arange(0, len(data), 4096), len(data))
+    at, length, back = repeats(data, cuts)
+    assert len(at) > 50 and (at[1:] >= at[:-1] + length[:-1]).all() and length.max() == 4095 and (back > 1).any()
+    for a, n, d in zip(at.tolist(), length.tolist(), back.tolist(), strict=True):
+        image = int(np.searchsorted(cuts, a, side="right")) - 1
+        assert a - d >= cuts[image] and a + n <= cuts[image + 1] and all(data[a + k] == data[a + k - d] for k in range(n))
+
+
+def test_prefix_codes_equal_the_scalar_ones():
+    rng = np.random.default_rng(5)
+    counts = np.where(rng.random((60, 280)) < 0.2, rng.integers(1, 5000, (60, 280)), 0)
+    counts[0] = 0
+    counts[0, 7], counts[1] = 3, 1
+    counts[2] = np.where(np.arange(280) < 30, 2 ** np.minimum(np.arange(280), 40), 0)  # needs a limit
+    counts[3] = 0
+    counts[3, [1, 279]] = 5
+    got = huffman_lengths(counts, 12)
+    assert got.max() <= 12 and ((got > 0) == (counts > 0)).all()
+    for row, c in zip(got, counts, strict=True):
+        if (c > 0).sum() > 1:
+            assert sum(2.0 ** -int(n) for n in row[row > 0]) == 1.0
+            if c.max() < 5000 and (c > 0).sum() > 2:
+                slow = np.array(webp.code_lengths(c.tolist()))
+                assert (slow * c).sum() == (row * c).sum() or slow.max() > 12
+    codes = canonical_codes(got)
+    assert all((codes[i] == webp.canonical(got[i])).all() for i in range(60))
+    flat, starts = tables(got)
+    for i in range(60):
+        table = flat[starts[i] : starts[i + 1]]
+        for s in np.flatnonzero(got[i]):
+            n = int(got[i, s]) if (got[i] > 0).sum() > 1 else 0
+            assert (table[int(codes[i, s]) :: 1 << n] == s << 4 | n).all() or n == 0 and table.tolist() == [s << 4]
+    row, token, extra, bits = length_tokens(got)
+    streams = []
+    for i in range(60):
+        w = Writer()
+        w.fields([(0, 1), (15, 4), *((int(META[s]), 3) for s in webp.CODE_LENGTH_ORDER), (0, 1)])
+        for t, x, k in zip(token[row == i], extra[row == i], bits[row == i], strict=True):
+            w.put(int(META_CODES[t]), int(META[t]))
+            w.put(int(x), int(k))
+        streams.append(w.value.to_bytes(-(-w.n // 8), "little"))
+    assert (read_lengths(Lanes(streams), 280) == got).all()
+
+
+def test_the_query_reads_stored_files_with_their_own_codes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    files = [bytes(f) for r in store_media(docs).collect() for f in r.media]
+    heads = webp.read_plain_heads([webp.stream_of(f) for f in files if form(f) == "none"])
+    assert len({h.groups[0][0].tobytes() for h in heads}) > 0.9 * len(set(files)) and sum(len(h.groups[0][4]) > 1 for h in heads) > 0.2 * len(heads)
+    plan = op7_webp_media(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "media" in plan
