@@ -21,8 +21,10 @@ Defined results: events without conversation, turn or identifier have a null id,
 level and no link.  A null text is a reply without ``text``, which isn't valid, or a
 result without content.  Equal rows each give their events and link alike.  A chain
 that is a cycle has no level and the error ``cycle``.  Tagged text that is no JSON
-object is an event with the error ``not an object``.  An empty table gives no rows;
-further columns are ignored.
+object is an event with the error ``not an object``.  Of events with one identifier that
+wait for different ones, the smallest name counts for all.  Names are joined by ``-``;
+in texts ``%`` and ``-`` are written ``%25`` and ``%2D``, so that no two names are the same.
+An empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,11 +97,17 @@ def canonical(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
+def _told(name: Column) -> Column:
+    """A text that can be joined by ``-`` and told apart again."""
+    return F.replace(F.replace(name, F.lit("%"), F.lit("%25")), F.lit("-"), F.lit("%2D"))
+
+
 def events(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, part, kind, event_id, call_id, waits_for, name, arguments, content, broken)."""
-    here = F.concat_ws("-", F.lit("t"), "conv_id", "turn")
+    conv = _told(F.col("conv_id")) if messages.schema["conv_id"].dataType.typeName() == "string" else F.col("conv_id")
+    here = F.concat_ws("-", F.lit("t"), conv, "turn")
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    before = F.concat_ws("-", F.lit("t"), "conv_id", F.col("turn") - 1)
+    before = F.concat_ws("-", F.lit("t"), conv, F.col("turn") - 1)
     kind = F.when(F.col("role") == "user", "call").when(F.col("role") == "assistant", "result").otherwise("note")
     told = F.to_json(F.struct("text", "turn"))
     turns = messages.select(
@@ -118,7 +126,7 @@ def events(messages: DataFrame) -> DataFrame:
     tagged = messages.filter(F.col("text").contains("<tool_")).select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)<(tool_call|tool_result)>.*?</\1>"), F.lit(0))).alias("part", "tag"))
     body = F.try_parse_json(F.regexp_replace("tag", r"^<tool_(call|result)>|</tool_(call|result)>$", ""))
     member = lambda x: F.coalesce(F.try_variant_get("body", f"$.{x}", "string"), F.to_json(F.try_variant_get("body", f"$.{x}", "variant")))
-    named = lambda sort, x: F.concat_ws("-", F.lit(sort), "conv_id", x)
+    named = lambda sort, x: F.concat_ws("-", F.lit(sort), conv, _told(x))
     tagged = tagged.select("conv_id", "turn", "part", F.when(F.col("tag").startswith("<tool_call>"), "call").otherwise("result").alias("kind"), body.alias("body"))
     ident = F.when(F.col("conv_id").isNotNull(), member("id"))
     call = F.col("kind") == "call"

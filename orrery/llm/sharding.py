@@ -56,18 +56,18 @@ def jump_column(key, n: int):
 
 
 def _assign(n: int):
-    """Adds shard, grown_shard, and each row's rank among its task's rows of the same shard."""
+    """Replaces the last column, a hash key, by shard, grown_shard, the task and the row's rank among its task's rows of the same shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, part = np.zeros(n, np.int64), TaskContext.get().partitionId()
         for b in batches:
-            keys = b.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
             shard, grown = jump_hash(keys, n), jump_hash(keys, n + 1)
             rank = seen[shard] + rank_in_group(shard)
             seen += np.bincount(shard, minlength=n)
-            new = {"shard": shard.astype(np.int32), "grown_shard": grown.astype(np.int32), "part": np.full(len(keys), part, np.int32), "rank": rank}
-            kept = {c: b.column(c) for c in b.schema.names if c != "key"}
-            yield pa.RecordBatch.from_pydict(kept | {c: pa.array(v) for c, v in new.items()})
+            new = (shard.astype(np.int32), grown.astype(np.int32), np.full(len(keys), part, np.int32), rank)
+            names = [*b.schema.names[:-1], "shard", "grown_shard", "part", "rank"]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(v) for v in new)], names=names)
 
     return run
 
@@ -80,17 +80,17 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, key: str = "doc_i
     and shard is summed up to turn those ranks into slots.
     """
     base = docs.select(
-        F.col(key).alias(key),
+        F.col(key).alias("document"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(8)).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(F.col(key), F.lit(0)).cast("long").alias("key"),
+        F.coalesce(F.col(key), F.lit(0)).cast("long").alias("hashed"),
     )
-    out = [x for x in base.schema.fields if x.name != "key"] + [T.StructField("shard", T.IntegerType()), T.StructField("grown_shard", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())]
+    out = [*base.schema.fields[:-1], T.StructField("shard", T.IntegerType()), T.StructField("grown_shard", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())]
     ranked = written(base.mapInArrow(_assign(n_shards), T.StructType(out)), "shards")
     counts = ranked.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return ranked.join(starts, ["shard", "part"]).select(key, "size", "text_crc32", "shard", (F.col("first") + F.col("rank")).alias("slot"), "grown_shard")
+    return ranked.join(starts, ["shard", "part"]).select(F.col("document").alias(key), "size", "text_crc32", "shard", (F.col("first") + F.col("rank")).alias("slot"), "grown_shard")
 
 
 def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.sources.shared import hadoop_path, shared_folder
+
 
 def on_workers(spark: SparkSession) -> None:
     """Python workers import this package from where the driver has it."""
@@ -37,23 +38,6 @@ def integral(df: DataFrame, key: str) -> Column:
     return F.col(key).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = sc.getCheckpointDir()
-        if not folder:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-"))
-            folder = sc.getCheckpointDir()
-    return folder
-
-
-def _path(spark: SparkSession, path: str):
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath, jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 class Table:
     """A written table: ``frame()`` reads it again, ``drop()`` deletes it.
 
@@ -65,14 +49,14 @@ class Table:
         self.path = f"{shared_folder(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.schema = df.schema
         df.write.option("compression", "zstd").parquet(self.path)
-        jpath, fs = _path(self.spark, self.path)
+        jpath, fs = hadoop_path(self.spark, self.path)
         fs.deleteOnExit(jpath)
 
     def frame(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jpath, fs = _path(self.spark, self.path)
+        jpath, fs = hadoop_path(self.spark, self.path)
         fs.delete(jpath, True)
 
 

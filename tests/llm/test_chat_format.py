@@ -70,3 +70,91 @@ def test_canonical(spark):
     rows = [('{"b": 1, "a": {"d": [1, 2.50, "x"], "c": null}}',), ("[1,",), (None,), ('"a"',)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(canonical("t")).collect()]
     assert got == ['{"a":{"c":null,"d":[1,2.5,"x"]},"b":1}', None, None, '"a"']
+
+
+def brute(rows, tools):
+    """Events, levels, links and JSON of integer conversations, one event after another."""
+    import re
+
+    found = []
+    for conv, turn, role, text in rows:
+        here, before = f"t-{conv}-{turn}", f"t-{conv}-{turn - 1}"
+        kind = {"user": "call", "assistant": "result"}.get(role, "note")
+        call = {"call": here, "result": before}.get(kind)
+        args = {k: v for k, v in (("text", text), ("turn", turn)) if v is not None}
+        found.append(dict(conv=conv, turn=turn, part=0, kind=kind, event=here, call=call, waits=before, name="reply", args=args, content=text))
+        for part, m in enumerate(re.finditer(r"(?s)<(tool_call|tool_result)>(.*?)</\1>", text or ""), 1):
+            body = json.loads(m[2])
+            told = lambda x: x.replace("%", "%25").replace("-", "%2D")
+            name = f"c-{conv}-{told(body['id'])}"
+            if m[1] == "tool_call":
+                found.append(dict(conv=conv, turn=turn, part=part, kind="call", event=name, call=name, waits=f"c-{conv}-{told(body['after'])}" if "after" in body else None, name=body["name"], args=body["arguments"], content=None))
+            else:
+                found.append(dict(conv=conv, turn=turn, part=part, kind="result", event="r" + name[1:], call=name, waits=name, name=None, args=None, content=body.get("content")))
+    waits = {}
+    for e in found:
+        if e["waits"] is not None or e["event"] not in waits:
+            old = waits.get(e["event"])
+            waits[e["event"]] = e["waits"] if old is None else min(old, e["waits"])
+
+    def level(x):
+        seen, n = {x}, 0
+        while waits[x] in waits:
+            x, n = waits[x], n + 1
+            if x in seen:
+                return None
+            seen.add(x)
+        return n
+
+    calls, results = ({e["call"] for e in found if e["kind"] == k} for k in ("call", "result"))
+    out = []
+    for e in found:
+        wrong = []
+        if e["kind"] == "call":
+            spec = tools.get(e["name"])
+            if spec is None:
+                wrong.append("unknown tool")
+            else:
+                wrong += [f"arguments: lacks {k}" for k in spec["required"] if k not in e["args"]]
+                wrong += ["arguments: has further members"] * (spec.get("additionalProperties", True) is False and bool(set(e["args"]) - set(spec["properties"])))
+                if "text" in e["args"] and e["name"] == "reply" and not e["args"]["text"]:
+                    wrong.append("arguments.text: shorter than 1")
+        at = level(e["event"])
+        if at is None:
+            wrong.append("cycle")
+        body = {"id": e["call"], "type": e["kind"]} | ({"arguments": e["args"], "name": e["name"]} if e["kind"] == "call" else {"content": e["content"]})
+        text = json.dumps({k: v for k, v in body.items() if v is not None}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        linked = e["call"] in (results if e["kind"] == "call" else calls) if e["call"] is not None and e["kind"] != "note" else False
+        out.append((e["conv"], e["turn"], e["part"], e["kind"], e["call"], at, linked, not wrong, "; ".join(wrong), text))
+    return out
+
+
+def test_tagged_conversations_equal_brute_force(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for conv in range(60):
+        ids = [f"{rng.choice('ab')}{rng.choice(['', '-', '%', '-b'])}{i}" for i in range(rng.randrange(1, 7))]
+        for turn in range(rng.randrange(1, 6)):
+            parts = [rng.choice(["", "so", "well "])]
+            for _ in range(rng.randrange(4)):
+                i = rng.choice(ids)
+                if rng.random() < 0.6:
+                    call = {"id": i, "name": rng.choice(["weather", "reply", "none"]), "arguments": rng.choice([{"city": "Oslo"}, {"days": 2}, {"text": "x", "turn": 1}, {}])}
+                    if rng.random() < 0.6:
+                        call["after"] = rng.choice(ids)
+                    parts.append(tagged(**call))
+                else:
+                    parts.append(f'<tool_result>{json.dumps({"id": i, "content": rng.choice(["ok", "é"])}, ensure_ascii=False)}</tool_result>')
+            rows.append((conv, turn + (turn > 2), rng.choice(["user", "assistant", "tool", None]), "".join(parts)))
+    tools = TOOLS | {"weather": WEATHER}
+    got = format_chat(spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA), tools).collect()
+    order = lambda xs: sorted(((*x[:8], "; ".join(sorted(x[8].split("; "))), x[9]) for x in map(tuple, xs)), key=repr)
+    assert order(got) == order(brute(rows, tools))
+    assert sum(r.linked for r in got) > 50 and any(r.errors == "cycle" for r in got)
+
+
+def test_names_of_texts_are_told_apart(spark):
+    rows = [("a", 0, "user", tagged(id="b-c", name="none", arguments={})), ("a-b", 0, "user", tagged(id="c", name="none", arguments={})), ("a%2Db", 0, "user", tagged(id="c", name="none", arguments={}))]
+    got = format_chat(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    assert len({r.call_id for r in got}) == 6

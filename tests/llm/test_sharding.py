@@ -47,3 +47,9 @@ def test_edges(spark):
     assert len(got) == 5 and len({(r.shard, r.slot) for r in got}) == 5
     assert sorted(r["size"] for r in got) == [8, 8, 10, 10, 100008]
     assert shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "t", i, i, i) for i in range(50)], "key long, shard string, size int, part int, rank int")
+    rows = shard_documents(docs, 7, key="key", text="shard").collect()
+    assert sorted(r.key for r in rows) == list(range(50)) and all(r.shard == jump_one(r.key, 7) and r.size == 9 for r in rows)
