@@ -15,9 +15,11 @@ of that length is judged, but only few are handled one by one:
    first window, so that a passage that all documents share leaves a task but once.
    The others, without bytes, are shuffled by minimiser: about one for forty bytes.
 4. Where a minimiser still has several stretches, their bytes are fetched and step 2
-   is done for all of them.  A minimiser with very many stretches is dealt with in
-   parts of bounded size; the windows that are first in their part are compared once
-   more, by their bytes.
+   is done for all of them.  The stretches of a very frequent minimiser are cut in two,
+   into windows that start near it and further from it, and dealt out by the bytes
+   that such windows share beside it.  Groups that are still too large for a task are
+   compared in parts of bounded size, whose first windows are compared once more,
+   by their bytes.
 
 Hashes only choose what is compared: no byte goes because hashes are equal.
 
@@ -46,10 +48,6 @@ from orrery.llm.textops import U64, blocks, hash_spans, mix, text_bytes, words64
 
 STRETCH, MARK, BEACON = 0, 1, 2
 
-#: Rows that the comparison takes at once, whole groups.
-HELD = 20_000
-
-
 @dataclass(frozen=True)
 class Settings:
     length: int = 100
@@ -57,7 +55,9 @@ class Settings:
     flush: int = 150_000  # stretches that a task holds at once
     hot: int = 256  # stretches of one minimiser in a flush from which on they are dealt out
     unit: int = 4 << 20  # bytes of a long document that are looked at together
-    part: int = 4_000  # stretches of one minimiser that are sorted together
+    part: int = 4_000  # stretches of one minimiser from which on they are dealt out by more bytes
+    held: int = 20_000  # stretches of a group that are sorted together
+    spread: int = 250_000  # stretches of one minimiser for each random part
 
     def __post_init__(self):
         if not 8 <= self.gram <= self.length:
@@ -271,15 +271,18 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(s: Settings):
-    """Groups of (gram, part) in a sorted partition: marks, and for minimisers in parts each first window with its bytes."""
+    """Groups of (gram, part) in a sorted partition: marks, and for groups in parts each first window with its bytes."""
     names = ["kind", "gram", "window", "doc", "lo", "hi", "content"]
 
     def batch(kind, gram, window, doc, lo, hi, content: pa.Array) -> pa.RecordBatch:
         cols = [np.full(len(doc), kind), gram, window, doc, lo, hi]
         return pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in cols), content], names=names)
 
-    def handle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def handle(rows: pa.Table, large: tuple | None) -> Iterator[pa.RecordBatch]:
+        """``large``: the group of which only some rows are here."""
         gram, part, parts, doc, lo, hi, at = (rows.column(c).to_numpy() for c in range(7))
+        if large:
+            parts = np.where((gram == large[0]) & (part == large[1]), 2, parts)
         data, offsets = text_bytes(rows.column(7))
         order = np.lexsort((at, doc, part, gram))
         group = np.cumsum(np.append(0, (gram[order][1:] != gram[order][:-1]) | (part[order][1:] != part[order][:-1])))
@@ -301,25 +304,45 @@ def _compare(s: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, large = 0, None
         for b in batches:
             held.append(b)
             size += b.num_rows
-            if size >= HELD:
-                rows = pa.Table.from_batches(held)
+            if size >= s.held:
+                rows = pa.Table.from_batches(held).combine_chunks()
                 gram, part = rows.column(0).to_numpy(), rows.column(1).to_numpy()
                 edge = np.flatnonzero((gram[1:] != gram[:-1]) | (part[1:] != part[:-1]))
-                if len(edge):
-                    cut = int(edge[-1]) + 1
-                    yield from handle(rows.slice(0, cut).combine_chunks())
-                    held = rows.slice(cut).to_batches()
-                    size = rows.num_rows - cut
+                cut = int(edge[-1]) + 1 if len(edge) else rows.num_rows
+                if not len(edge):
+                    large = (gram[0], part[0])
+                yield from handle(rows.slice(0, cut).combine_chunks(), large)
+                held = rows.slice(cut).to_batches()
+                size = rows.num_rows - cut
         if size:
-            yield from handle(pa.Table.from_batches(held).combine_chunks())
+            yield from handle(pa.Table.from_batches(held).combine_chunks(), large)
 
     return run, "kind long, gram long, window long, doc long, lo long, hi long, content binary"
 
 
+def dealt_out(cols: dict[str, np.ndarray], place: np.ndarray, data: np.ndarray, begin: np.ndarray, s: Settings) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Stretches of very frequent minimisers (``hot``) in two, by the distance of their windows' starts, named by the bytes that all windows there share."""
+    hot, middle = cols["hot"].astype(bool), (s.length - s.gram) // 2
+    cold = {c: v[~hot] for c, v in cols.items()}
+    out, places = [cold], [place[~hot]]
+    some, at = {c: v[hot] for c, v in cols.items()}, place[hot]
+    for far in (False, True):
+        border = some["at"] - middle  # windows that start here or later are near
+        half = some | ({"hi": np.minimum(some["hi"], border - 1)} if far else {"lo": np.maximum(some["lo"], border)})
+        have = half["lo"] <= half["hi"]
+        half, where = {c: v[have] for c, v in half.items()}, at[have]
+        text = begin[where] + half["at"]
+        shared = hash_spans(data, text - middle - 1, text + s.gram) if far else hash_spans(data, text, text + s.length - middle)
+        half["gram"] = mix(half["gram"].view(np.uint64) ^ shared ^ U64(far)).view(np.int64)
+        out.append(half)
+        places.append(where)
+    return {c: np.concatenate([x[c] for x in out]) for c in cols}, np.concatenate(places)
+
+
 def _contents(s: Settings):
     """Each wanted stretch of a document with its bytes."""
 
@@ -328,15 +351,17 @@ def _contents(s: Settings):
             data, offsets = text_bytes(b.column(1))
             wanted = b.column(2)
             flat, sizes = wanted.flatten(), wanted.value_lengths().to_numpy()
-            cols = {f.name: flat.field(f.name).to_numpy() for f in flat.type}
-            at = np.repeat(offsets[:-1], sizes)
+            cols = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+            place = np.repeat(np.arange(b.num_rows), sizes)
+            cols, place = dealt_out(cols, place, data, offsets[:-1], s)
+            at = offsets[:-1][place]
             starts = at + cols["lo"]
             lengths = cols["hi"] - cols["lo"] + s.length
             to = np.concatenate([[0], np.cumsum(lengths)])
             for i, j in blocks(to, 4 << 20):
                 take = np.arange(to[j] - to[i]) + np.repeat(starts[i:j] - (to[i:j] - to[i]), lengths[i:j])
                 content = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(to[i : j + 1] - to[i]), pa.py_buffer(data[take])]).cast(pa.binary())
-                doc = np.repeat(b.column(0).to_numpy(), sizes)[i:j]
+                doc = b.column(0).to_numpy()[place[i:j]]
                 yield pa.RecordBatch.from_arrays([*(pa.array(cols[c][i:j]) for c in ("gram", "part", "parts")), pa.array(doc), *(pa.array(cols[c][i:j]) for c in ("lo", "hi", "at")), content], names=["gram", "part", "parts", "doc", "lo", "hi", "at", "content"])
 
     return run, "gram long, part long, parts long, doc long, lo long, hi long, at long, content binary"
@@ -368,10 +393,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", set
     open_ = settled.frame().filter(F.col("kind") == STRETCH).select("gram", "doc", "lo", "hi", "at")
     release(docs.sparkSession)
     # written, so that the join has an exchange on either side, whose hot partitions can be split
-    many = written(open_.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > s.part).select("gram", F.ceil(F.col("n") / s.part).cast("long").alias("several")), "many")
-    parts = F.coalesce("several", F.lit(1).cast("long"))
-    numbered = open_.join(many, "gram", "left").select("doc", "gram", "lo", "hi", "at", F.pmod(F.xxhash64("doc", "lo"), parts).alias("part"), parts.alias("parts"))
-    wanted = Table(numbered.groupBy("doc").agg(F.collect_list(F.struct("gram", "part", "parts", "lo", "hi", "at")).alias("wanted")), "wanted")
+    many = written(open_.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > s.part), "many")
+    parts = F.coalesce(F.ceil(F.col("n") / s.spread), F.lit(1)).cast("long")
+    numbered = open_.join(many, "gram", "left").select("doc", "gram", "lo", "hi", "at", F.col("n").isNotNull().alias("hot"), F.pmod(F.xxhash64("doc", "lo"), parts).alias("part"), parts.alias("parts"))
+    wanted = Table(numbered.groupBy("doc").agg(F.collect_list(F.struct("gram", "part", "parts", "hot", "lo", "hi", "at")).alias("wanted")), "wanted")
     release(docs.sparkSession)
     fetched = near(texts, "doc", wanted.frame().select("doc")).join(wanted.frame(), "doc").select("doc", "text", "wanted").mapInArrow(*_contents(s))
     compared = Table(fetched.repartition(n, "gram", "part").sortWithinPartitions("gram", "part").mapInArrow(*_compare(s)), "windows")
@@ -446,12 +471,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeats_stage(docs: DataFrame, settings: Settings = Settings(length=200, gram=48)) -> DataFrame:
     """The documents without their repeated strings of 200 bytes and more, about 30 words.
 
-    ``n_chars`` follows the text.  A document of which nothing is left goes.
+    ``n_chars``, if there is such a column, follows the text.  A document of which nothing is left goes.
     """
     names = docs.columns
     out = tuple(fresh(names, *OUT))
     cut = cut_repeats(docs, settings=settings, keep=tuple(c for c in names if c not in ("doc_id", "text")), whole_characters=True, out=out)
     changed = F.col(out[1]) > 0
     text = F.col(out[3]).cast("string")
-    new = {"text": text, "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
+    new = {"text": text}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return cut.filter(~changed | (F.octet_length(out[3]) > 0)).select(*(new[c].alias(c) if c in new else F.col(c) for c in names))

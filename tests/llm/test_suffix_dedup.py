@@ -67,7 +67,7 @@ def random_texts(rng, n, alphabet, most):
 @pytest.mark.parametrize("case", range(4))
 def test_equals_brute_force(spark, case):
     rng = random.Random(case)
-    settings = [Settings(12, 8), Settings(16, 8, flush=50, hot=2, part=8), Settings(20, 11, flush=400, hot=3, part=5), Settings(9, 9, hot=1, part=2)][case]
+    settings = [Settings(12, 8), Settings(16, 8, flush=50, hot=2, part=8, held=9), Settings(20, 11, flush=400, hot=3, part=5, spread=9), Settings(9, 9, hot=1, part=2, held=4, spread=5)][case]
     texts = dict(enumerate(random_texts(rng, 120, ["ab", "abcdeé", "abc😀ß", "ab "][case], 60)))
     texts |= {500: None, 501: "", 502: "a" * 300, 503: "ab" * 200, -4: "ab" * 30}
     rows = list(texts.items())
@@ -110,7 +110,7 @@ def test_hashes_that_collide_remove_nothing(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "hash_spans", lambda data, starts, ends: real(data, starts, ends) & np.uint64(1))
     texts = dict(enumerate(random_texts(rng, 60, "abcd", 40))) | {100: "ab" * 50}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    for settings in (Settings(12, 8), Settings(12, 8, flush=60, hot=2, part=7)):
+    for settings in (Settings(12, 8), Settings(12, 8, flush=60, hot=2, part=7, held=11)):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept or b"")) for r in cut_repeats(docs, settings=settings).collect()}
         assert got == brute(texts, settings.length)
 
@@ -122,7 +122,7 @@ def test_many_copies_and_one_frequent_gram(spark):
     word = lambda n: "".join(rng.choices("mnopqrst", k=n))
     texts = {i: word(rng.randrange(30)) + passage + word(40) + gram + word(40) for i in range(300)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
-    settings = Settings(40, 16, flush=120, hot=5, part=20)
+    settings = Settings(40, 16, flush=120, hot=5, part=20, held=30)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept or b"")) for r in cut_repeats(docs, settings=settings).collect()}
     assert got == brute(texts, 40)
 
