@@ -46,12 +46,12 @@ from orrery.llm.textops import ALNUM, LOWER, blocks, hash_spans, mix, runs, text
 @dataclass(frozen=True)
 class Settings:
     buckets: int = 1 << 13
-    rank: int = 192
+    rank: int = 128
     extra: int = 16  # further directions of the random basis
     signs: int = 4  # random combinations that a row is added to
     passage: int = 48  # words of a row of the matrix
-    step: int = 16  # words between windows
-    widths: tuple[int, ...] = (2, 4)  # of windows, in steps
+    step: int = 24  # words between windows
+    widths: tuple[int, ...] = (1, 2)  # of windows, in steps
     common: float = 0.25  # buckets in a larger share of passages carry no weight; items of such words are found by their seeds
     cosine: float = 0.45
     sure: float = 0.7
@@ -362,14 +362,14 @@ def best_match(item: list[int], words: np.ndarray, lo: int, hi: int, s: Settings
         whole = np.array(item, np.uint32)
         begins = lo + np.flatnonzero(words[lo : hi - m + 1] == whole[0]) if hi - lo >= m else ()
         return (m, m) if any((words[b : b + m] == whole).all() for b in begins) else (0, 0)
-    inside = np.isin(words[lo:hi], np.array(item, np.uint32))
-    to = np.concatenate([[0], np.cumsum(inside)])
+    known, window_words = set(item), words[lo:hi].tolist()
+    to = np.concatenate([[0], np.cumsum([w in known for w in window_words])])
     best = (0, 0)
     for stride in dict.fromkeys((max(1, m // 8), 1)):
         begins = np.arange(0, max(1, hi - lo - width + stride), stride)
         bound = to[np.minimum(begins + width, hi - lo)] - to[begins]
         for b in begins[bound >= min(s.least, s.sure) * m].tolist():
-            text = words[lo + b : min(hi, lo + b + width)].tolist()
+            text = window_words[b : b + width]
             n = lcs(item, text)
             if n >= max(best[0], min(s.least, s.sure) * m):
                 answer = lcs(item[-s.answer_words :], text)
@@ -395,19 +395,24 @@ def _search(items: list[tuple[object, list[int]]], basis: np.ndarray, idf: np.nd
                 continue
             doc = np.searchsorted(offsets, starts, side="right") - 1
             sums = row_sums(cells(w, starts, s.step, s.buckets), table)
+            # no pair without such a place can pass the rule, whatever its cosine: it isn't looked at further
             found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-            for k in s.widths:
+            for places in seeds.places(w, offsets) if seeds else ():
+                for d, j, a, b in zip(*(x.tolist() for x in places), strict=True):
+                    found.setdefault((d, j), []).append((SEED, a, b))
+            open_ = np.sort(np.array([d * len(items) + j for d, j in found], np.int64))
+            for k in s.widths if len(open_) else ():
                 x = sums.copy()
                 for d in range(1, k):
                     x[:-d] += np.where((doc[d:] == doc[:-d])[:, None], sums[d:], 0)
                 for a in range(0, len(x), 4096):
                     cosine = unit(x[a : a + 4096]) @ target
-                    for i, j in zip(*np.nonzero((cosine >= s.cosine) & told), strict=True):
-                        r = a + int(i)
-                        found.setdefault((int(doc[r]), int(j)), []).append((float(cosine[i, j]), int(starts[r]), int(starts[r]) + k * s.step))
-            for places in seeds.places(w, offsets) if seeds else ():
-                for d, j, a, b in zip(*(x.tolist() for x in places), strict=True):
-                    found.setdefault((d, j), []).append((SEED, a, b))
+                    i, j = np.nonzero((cosine >= s.cosine) & told)
+                    pair = doc[a + i] * len(items) + j
+                    passes = open_[np.minimum(np.searchsorted(open_, pair), len(open_) - 1)] == pair
+                    for i, j in zip(i[passes].tolist(), j[passes].tolist(), strict=True):
+                        r = a + i
+                        found[int(doc[r]), j].append((float(cosine[i, j]), int(starts[r]), int(starts[r]) + k * s.step))
             out: list[list] = [[], [], [], [], [], []]
             for (d, j), places in found.items():
                 name, words = items[j]
