@@ -14,7 +14,7 @@ from orrery.llm.language_id import language_stage
 from orrery.llm.near_dedup import dedup_stage
 from orrery.llm.packing import pack
 from orrery.llm.queries import visible
-from orrery.llm.store import written
+from orrery.llm.store import Table
 from orrery.llm.suffix_dedup import repeats_stage
 
 
@@ -51,6 +51,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        table = Table(stage(spark, docs, sf_dir), name)
+        docs = table.frame()
+        if before is not None:
+            before.drop()  # what a stage was made from isn't read again
+        before = table
     return STAGES[-1][1](spark, docs, sf_dir)
