@@ -72,13 +72,15 @@ def merge(parts: DataFrame, keys: list[str], aggs: list[Agg]) -> DataFrame:
 
 
 def aggregate(df: DataFrame, fact: FactTable, n: int, keys: list[str], aggs: list[Agg]) -> DataFrame:
-    """The whole aggregate by slices, from one scan.  Distinct counts merge distinct values, not counts."""
+    """The whole aggregate from one scan: partial rows by slice, or by distinct value where values are counted, as those merge and their counts don't."""
     values = {a: f"_{a.alias}_distinct" for a in aggs if a.kind == "count_distinct"}
     plain = [a for a in aggs if a not in values]
-    rows = sliced(df, fact, n, "_slice").withColumns({c: a.value for a, c in values.items()})
-    # a distinct value is a further key of its slice's partial rows
-    parts = rows.groupBy("_slice", *keys, *values.values()).agg(*(c for a in plain for c in a.partial()), F.count("*").alias("_rows"))
-    return parts.groupBy(*keys).agg(*(F.count_distinct(values[a]).alias(a.alias) if a in values else a.merged() for a in aggs)).select(*keys, *(a.alias for a in aggs))
+    if not values:
+        return merge(partials(df, fact, n, keys, plain), keys, plain).select(*keys, *(a.alias for a in aggs))
+    rows = df.withColumns({c: a.value for a, c in values.items()})
+    parts = rows.groupBy(*keys, *values.values()).agg(*(c for a in plain for c in a.partial()), F.count("*").alias("_rows"))
+    once = F.count if len(values) == 1 else F.count_distinct  # one value a row already
+    return parts.groupBy(*keys).agg(*(once(F.col(values[a])).alias(a.alias) if a in values else a.merged() for a in aggs)).select(*keys, *(a.alias for a in aggs))
 
 
 def concat(parts: list[DataFrame]) -> DataFrame:
