@@ -61,14 +61,15 @@ def partial_groups(spark: SparkSession) -> DataFrame:
 
 
 def jdbc_scan(spark: SparkSession) -> DataFrame:
-    """A live database's table in key ranges; the database is an in-memory one of this process."""
+    """A live database's table in key ranges; the database is an in-memory one of this process, of a table of fixed size."""
     spark._jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)
     url = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true"
     driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    spark.table("supplier").select("s_suppkey", "s_nationkey").write.format("jdbc").options(url=url, dbtable="s", **driver).save()
-    low, high = spark.table("supplier").agg(F.min("s_suppkey"), F.max("s_suppkey")).first()
-    found = read_jdbc(spark, url, "s", FactTable("s", "S_SUPPKEY", low or 0, high or 1), 4, **driver).collect()  # as many rows as suppliers: the database goes with this process
-    return spark.createDataFrame([tuple(r) for r in found], "s_suppkey long, s_nationkey int")
+    spark.table("nation").select("n_nationkey", "n_regionkey").write.format("jdbc").options(url=url, dbtable="n", **driver).save()
+    low, high = spark.table("nation").agg(F.min("n_nationkey"), F.max("n_nationkey")).first()
+    found = read_jdbc(spark, url, "n", FactTable("n", "N_NATIONKEY", low or 0, high or 1), 4, **driver)
+    assert found.rdd.getNumPartitions() == 4
+    return spark.createDataFrame([tuple(r) for r in found.collect()], "n_nationkey int, n_regionkey int")
 
 
 def bench_csv(spark: SparkSession) -> DataFrame:
@@ -122,8 +123,8 @@ def remote_query(spark: SparkSession) -> DataFrame:
 
 def client_statement(spark: SparkSession) -> DataFrame:
     """Typed parameters through a prepared statement."""
-    st = Connection(Engine(spark, nodes=NODES)).prepare("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = ? AND c_mktsegment = ?")
-    return spark.createDataFrame(st.set_int(1, 3).set_string(2, "BUILDING").execute_query().rows, "c_custkey long, c_name string")
+    st = Connection(Engine(spark, nodes=NODES)).prepare("SELECT c_mktsegment, COUNT(*) AS n FROM customer WHERE c_nationkey = ? AND c_mktsegment <> ? AND c_acctbal > ? GROUP BY c_mktsegment")
+    return spark.createDataFrame(st.set_int(1, 3).set_string(2, "BUILDING").set_double(3, -100.5).execute_query().rows, "c_mktsegment string, n long")
 
 
 def result_cursor(spark: SparkSession) -> DataFrame:
@@ -288,7 +289,7 @@ SERVICES = {
         partial_groups,
         "WITH e AS (SELECT min(l_orderkey) AS lo, max(l_orderkey) AS hi, greatest(1, least(97, max(l_orderkey) - min(l_orderkey))) AS n FROM lineitem) SELECT l_returnflag, COUNT(DISTINCT least(n - 1, greatest(0, l_orderkey - lo - 1) // greatest(1, (hi - lo) // n))) AS slices, COUNT(*) AS n FROM lineitem, e GROUP BY l_returnflag",
     ),
-    "jdbc_scan": (jdbc_scan, "SELECT s_suppkey, s_nationkey FROM supplier"),
+    "jdbc_scan": (jdbc_scan, "SELECT n_nationkey, n_regionkey FROM nation"),
     "fact_stated": (fact_stated, "SELECT 'lineitem' AS name, 'l_orderkey' AS key, CAST(i AS INT) AS slice, i * 600000 AS low, (i + 1) * 600000 AS high FROM range(1000) t(i)"),
     "memory_rows": (memory_rows, "SELECT * FROM (VALUES (1, 'a', NULL::DOUBLE), (2, NULL, 2.5), (3, 'c' || chr(9) || '\"', -1.0)) t(k, s, v)"),
     "tsv_files": (tsv_files, "SELECT * FROM nation"),
@@ -303,7 +304,7 @@ SERVICES = {
     "monitor_page": (monitor_page, "SELECT CAST(4 AS BIGINT) AS n, TRUE AS page"),
     "query_log": (query_log, "SELECT 'SELECT r_name FROM region WHERE r_regionkey < ' || i AS sql, (SELECT COUNT(*) FROM region WHERE r_regionkey < i) AS n FROM range(6) t(i)"),
     "remote_query": (remote_query, "SELECT * FROM nation"),
-    "client_statement": (client_statement, "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING'"),
+    "client_statement": (client_statement, "SELECT c_mktsegment, COUNT(*) AS n FROM customer WHERE c_nationkey = 3 AND c_mktsegment <> 'BUILDING' AND c_acctbal > -100.5 GROUP BY c_mktsegment"),
     "result_cursor": (result_cursor, "SELECT CAST(s AS INT) AS step, r_regionkey AS k, r_name AS name FROM (VALUES (0, 0), (1, 4), (2, 2), (3, 2)) t(s, k) JOIN region ON r_regionkey = k"),
     "cli_lines": (
         cli_lines,
