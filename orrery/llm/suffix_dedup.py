@@ -116,6 +116,7 @@ def spans_of(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return doc[at], start[at], np.maximum.reduceat(end, at)
 
 
+#: Rows of tasks.  A mark has its span in ``lo`` and ``hi``; a stretch has there how far its minimiser ``at`` is behind its first and last window's start.
 COLUMNS = T.StructType([T.StructField("kind", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("salt", "gram", "doc", "lo", "hi", "at"))])
 
 
@@ -214,7 +215,7 @@ def _scan(s: Settings):
         hot = np.bincount(group)[group] > s.hot
         salt = np.where(hot, 1 + (mix((doc + 31 * at).view(np.uint64)) & U64(1023)).astype(np.int64), 0)
         for i in range(0, len(gram), 20_000):
-            yield _rows(STRETCH, *(c[i : i + 20_000] for c in (salt, gram, doc, lo, hi, at)))
+            yield _rows(STRETCH, *(c[i : i + 20_000] for c in (salt, gram, doc, at - lo, at - hi, at)))
         if hot.any():
             beacons = np.unique(gram[hot])
             yield _rows(BEACON, 0, beacons, np.iinfo(np.int64).min, 0, 0, np.zeros(len(beacons)))
@@ -281,6 +282,7 @@ def _compare(s: Settings):
     def handle(rows: pa.Table, large: tuple | None) -> Iterator[pa.RecordBatch]:
         """``large``: the group of which only some rows are here."""
         gram, part, parts, doc, lo, hi, at = (rows.column(c).to_numpy() for c in range(7))
+        lo, hi = at - lo, at - hi
         if large:
             parts = np.where((gram == large[0]) & (part == large[1]), 2, parts)
         data, offsets = text_bytes(rows.column(7))
@@ -352,6 +354,7 @@ def _contents(s: Settings):
             wanted = b.column(2)
             flat, sizes = wanted.flatten(), wanted.value_lengths().to_numpy()
             cols = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+            cols |= {c: cols["at"] - cols[c] for c in ("lo", "hi")}
             place = np.repeat(np.arange(b.num_rows), sizes)
             cols, place = dealt_out(cols, place, data, offsets[:-1], s)
             at = offsets[:-1][place]
@@ -362,7 +365,8 @@ def _contents(s: Settings):
                 take = np.arange(to[j] - to[i]) + np.repeat(starts[i:j] - (to[i:j] - to[i]), lengths[i:j])
                 content = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(to[i : j + 1] - to[i]), pa.py_buffer(data[take])]).cast(pa.binary())
                 doc = b.column(0).to_numpy()[place[i:j]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(cols[c][i:j]) for c in ("gram", "part", "parts")), pa.array(doc), *(pa.array(cols[c][i:j]) for c in ("lo", "hi", "at")), content], names=["gram", "part", "parts", "doc", "lo", "hi", "at", "content"])
+                places = (cols["at"] - cols["lo"], cols["at"] - cols["hi"], cols["at"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(cols[c][i:j]) for c in ("gram", "part", "parts")), pa.array(doc), *(pa.array(c[i:j]) for c in places), content], names=["gram", "part", "parts", "doc", "lo", "hi", "at", "content"])
 
     return run, "gram long, part long, parts long, doc long, lo long, hi long, at long, content binary"
 
@@ -395,7 +399,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", set
     # written, so that the join has an exchange on either side, whose hot partitions can be split
     many = written(open_.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > s.part), "many")
     parts = F.coalesce(F.ceil(F.col("n") / s.spread), F.lit(1)).cast("long")
-    numbered = open_.join(many, "gram", "left").select("doc", "gram", "lo", "hi", "at", F.col("n").isNotNull().alias("hot"), F.pmod(F.xxhash64("doc", "lo"), parts).alias("part"), parts.alias("parts"))
+    numbered = open_.join(many, "gram", "left").select("doc", "gram", "lo", "hi", "at", F.col("n").isNotNull().alias("hot"), F.pmod(F.xxhash64("doc", "at"), parts).alias("part"), parts.alias("parts"))
     wanted = Table(numbered.groupBy("doc").agg(F.collect_list(F.struct("gram", "part", "parts", "hot", "lo", "hi", "at")).alias("wanted")), "wanted")
     release(docs.sparkSession)
     fetched = near(texts, "doc", wanted.frame().select("doc")).join(wanted.frame(), "doc").select("doc", "text", "wanted").mapInArrow(*_contents(s))
