@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm.deep_shallow import neighbour_lcp, sort_strings, words_of
-from orrery.llm.store import Table, fresh, integral, near, release, split, written
+from orrery.llm.store import Table, fresh, integral, near, release, split
 from orrery.llm.textops import U64, blocks, hash_spans, mix, text_bytes, words64
 
 STRETCH, MARK, BEACON = 0, 1, 2
@@ -386,8 +386,8 @@ def _windows_settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(e)], names=["doc", "lo", "hi"])
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """(doc, lo, hi): byte spans to remove, possibly overlapping."""
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings(), passing: list[Table] | None = None) -> DataFrame:
+    """(doc, lo, hi): byte spans to remove, possibly overlapping.  ``passing`` gets the tables that the result is read from."""
     s = settings
     texts = docs.select(integral(docs, key).alias("doc"), F.col(text).cast("binary").alias("text")).filter(F.col("doc").isNotNull() & (F.octet_length("text") >= s.length))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -397,14 +397,18 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", set
     open_ = settled.frame().filter(F.col("kind") == STRETCH).select("gram", "doc", "lo", "hi", "at")
     release(docs.sparkSession)
     # written, so that the join has an exchange on either side, whose hot partitions can be split
-    many = written(open_.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > s.part), "many")
+    many = Table(open_.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > s.part), "many")
     parts = F.coalesce(F.ceil(F.col("n") / s.spread), F.lit(1)).cast("long")
-    numbered = open_.join(many, "gram", "left").select("doc", "gram", "lo", "hi", "at", F.col("n").isNotNull().alias("hot"), F.pmod(F.xxhash64("doc", "at"), parts).alias("part"), parts.alias("parts"))
+    numbered = open_.join(many.frame(), "gram", "left").select("doc", "gram", "lo", "hi", "at", F.col("n").isNotNull().alias("hot"), F.pmod(F.xxhash64("doc", "at"), parts).alias("part"), parts.alias("parts"))
     wanted = Table(numbered.groupBy("doc").agg(F.collect_list(F.struct("gram", "part", "parts", "hot", "lo", "hi", "at")).alias("wanted")), "wanted")
     release(docs.sparkSession)
     fetched = near(texts, "doc", wanted.frame().select("doc")).join(wanted.frame(), "doc").select("doc", "text", "wanted").mapInArrow(*_contents(s))
     compared = Table(fetched.repartition(n, "gram", "part").sortWithinPartitions("gram", "part").mapInArrow(*_compare(s)), "windows")
     release(docs.sparkSession)
+    many.drop()
+    wanted.drop()
+    if passing is not None:
+        passing += [settled, compared]
     windows = compared.frame().filter(F.col("kind") == STRETCH).select("gram", "window", "doc", "lo", "hi", "content")
     late = windows.repartition(n, "gram", "window").sortWithinPartitions("gram", "window", "doc", "lo").mapInArrow(_windows_settle, "doc long, lo long, hi long")
     return marks.union(compared.frame().filter(F.col("kind") == MARK).select("doc", "lo", "hi")).union(late)
@@ -455,7 +459,11 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", settin
     ``whole_characters``: a span gives up bytes at its ends rather than cut a character.
     """
     of, spans_, body = fresh(docs.columns, "of", "spans", "body")
-    table = Table(repeated_spans(docs, key, text, settings).groupBy(F.col("doc").alias(of)).agg(F.collect_list(F.struct("lo", "hi")).alias(spans_)), "spans")
+    passing: list[Table] = []
+    found = repeated_spans(docs, key, text, settings, passing).groupBy(F.col("doc").alias(of))
+    table = Table(found.agg(F.collect_list(F.struct("lo", "hi")).alias(spans_)), "spans")
+    for t in passing:
+        t.drop()
     spans = table.frame()
     release(docs.sparkSession)
     names = [key, *keep]
