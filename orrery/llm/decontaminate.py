@@ -305,7 +305,7 @@ class Seeds:
         self.known = np.zeros(self.bits + 1, bool)
         self.known[self.words & self.bits] = True
 
-    def places(self, w: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 17, pairs: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def places(self, w: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 17, pairs: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(documents, items, first words, ends) of all candidates, a bounded number of words and (word, item) pairs at a time."""
         at = np.flatnonzero(self.known[w & self.bits])
         code = np.minimum(np.searchsorted(self.words, w[at]), len(self.words) - 1)

@@ -52,11 +52,11 @@ STRETCH, MARK, BEACON = 0, 1, 2
 class Settings:
     length: int = 100
     gram: int = 24
-    flush: int = 150_000  # stretches that a task holds at once
+    flush: int = 60_000  # stretches that a task holds at once
     hot: int = 256  # stretches of one minimiser in a flush from which on they are dealt out
     unit: int = 4 << 20  # bytes of a long document that are looked at together
     part: int = 4_000  # stretches of one minimiser from which on they are dealt out by more bytes
-    held: int = 20_000  # stretches of a group that are sorted together
+    held: int = 10_000  # stretches of a group that are sorted together
     spread: int = 250_000  # stretches of one minimiser for each random part
 
     def __post_init__(self):
@@ -194,6 +194,26 @@ def equal_windows(x: Stretches, length: int) -> Iterator[tuple[np.ndarray, np.nd
             yield rows, x.at[rows] - d, x.at[rows] - d, new, ~new & ((x.doc[rows] != x.doc[of]) | (x.at[rows] != x.at[of]))
 
 
+class Spans:
+    """Spans of documents; those gathered are joined before they get many, as a repeat of n windows gives n spans that overlap."""
+
+    def __init__(self, most: int = 1 << 17):
+        self.most, self.size, self.parts = most, 0, []
+
+    def add(self, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        if len(doc):
+            self.parts.append((doc, start, end))
+            self.size += len(doc)
+            if self.size > self.most:
+                self.parts = [self.joined()]
+                self.size = len(self.parts[0][0])
+                self.most = max(self.most, 2 * self.size)
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        return spans_of(*(np.concatenate(c) for c in zip(*self.parts, strict=True))) if self.parts else (none, none, none)
+
+
 def _scan(s: Settings):
     def flush(held: list[tuple], units: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         gram, doc, lo, hi, at, middle = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -204,13 +224,12 @@ def _scan(s: Settings):
         left = np.ones(len(gram), bool)
         if len(several):
             left[several] = False
-            x, marks = stretches_of(np.concatenate(units), middle[several], *(c[several] for c in (group, doc, lo, hi, at)), s), []
+            x, marks = stretches_of(np.concatenate(units), middle[several], *(c[several] for c in (group, doc, lo, hi, at)), s), Spans()
             for rows, a, b, fresh, repeated in equal_windows(x, s.length):
                 left[several[rows[fresh]]] = True
-                marks.append((x.doc[rows[repeated]], a[repeated], b[repeated] + s.length))
-            marks = [np.concatenate(c) for c in zip(*marks, strict=True)]
-            if len(marks[0]):
-                yield _marks(*marks)
+                marks.add(x.doc[rows[repeated]], a[repeated], b[repeated] + s.length)
+            if marks.size:
+                yield _marks(*marks.joined())
         gram, group, doc, lo, hi, at = (c[left] for c in (gram, group, doc, lo, hi, at))
         hot = np.bincount(group)[group] > s.hot
         salt = np.where(hot, 1 + (mix((doc + 31 * at).view(np.uint64)) & U64(1023)).astype(np.int64), 0)
@@ -290,9 +309,9 @@ def _compare(s: Settings):
         group = np.cumsum(np.append(0, (gram[order][1:] != gram[order][:-1]) | (part[order][1:] != part[order][:-1])))
         gram, parts, doc, lo, hi, at = (c[order] for c in (gram, parts, doc, lo, hi, at))
         middle = offsets[:-1][order] + (at - lo)
-        marks: list[tuple] = []
+        marks = Spans()
         for i, a, b, fresh, repeated in equal_windows(stretches_of(data, middle, group, doc, lo, hi, at, s), s.length):
-            marks.append((doc[i[repeated]], a[repeated], b[repeated] + s.length))
+            marks.add(doc[i[repeated]], a[repeated], b[repeated] + s.length)
             open_ = fresh & (parts[i] > 1)
             k, first = i[open_], a[open_]
             for x in range(0, len(k), 1 << 14):
@@ -301,7 +320,7 @@ def _compare(s: Settings):
                 window = mix(hash_spans(data, start, start + s.length) ^ (at[some] - begin).astype(np.uint64)).view(np.int64)
                 body = np.ascontiguousarray(data[start[:, None] + np.arange(s.length)])
                 yield batch(STRETCH, gram[some], window, doc[some], begin, begin + s.length, pa.FixedSizeBinaryArray.from_buffers(pa.binary(s.length), len(some), [None, pa.py_buffer(body)]).cast(pa.binary()))
-        d, a, b = spans_of(*(np.concatenate(c) for c in zip(*marks, strict=True)))
+        d, a, b = marks.joined()
         yield batch(MARK, d, d, d, a, b, pa.nulls(len(d), pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
