@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
+import tempfile
+import uuid
+import zipfile
 from dataclasses import dataclass
+from hashlib import sha256
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,6 +96,56 @@ def read_jdbc(spark: SparkSession, url: str, table: str, fact: FactTable | None
     return reader.load()
 
 
+#: Archives by the table that they hold; they go when the process ends.
+_archives: dict[str, tuple[tempfile.TemporaryDirectory, str]] = {}
+
+
+def archived(spark: SparkSession, df: DataFrame, table: str) -> str:
+    """The address of a read-only database that holds ``df``, a table of integers, and that the driver and all executors can open.
+
+    An embedded database lives in the one process that opened it. This one is made by the driver and
+    goes to the executors as an archive on their class path, so they need no folder or server in common.
+    """
+    folder = tempfile.TemporaryDirectory(prefix="orrery-db-", ignore_cleanup_errors=True)
+    at, name = os.path.realpath(folder.name), f"d{uuid.uuid4().hex}"
+    columns = ", ".join(f'"{c}" {kind}' for c, kind in df.dtypes)
+    seen = sha256(f"{table} {columns}\n".encode())
+    with open(f"{at}/rows.csv", "w") as f:
+        for r in df.toLocalIterator():
+            print(*("" if x is None else x for x in r), sep=",", file=f)
+            seen.update(f"{tuple(r)}\n".encode())
+    if (key := seen.hexdigest()) not in _archives:
+        _archive(spark, at, name, table, columns)
+        _archives[key] = folder, name
+    folder, name = _archives[key]
+    spark.sql(f"ADD JAR '{os.path.realpath(folder.name)}/{name}.jar'")  # also makes this thread see it
+    return f"jdbc:derby:classpath:{name}"
+
+
+def _archive(spark: SparkSession, at: str, name: str, table: str, columns: str) -> None:
+    """The rows of ``rows.csv`` as a database, in an archive that isn't compressed, as pages are read by their place."""
+    jvm, url = spark.sparkContext._jvm, f"jdbc:derby:directory:{at}/{name}"
+    jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)
+    connection = jvm.java.sql.DriverManager.getConnection(f"{url};create=true")
+    try:
+        statement = connection.createStatement()
+        statement.execute(f"CREATE TABLE {table} ({columns})")
+        statement.execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, '{table.upper()}', '{at}/rows.csv', NULL, NULL, 'UTF-8', 0)")
+    finally:
+        connection.close()
+        try:
+            jvm.java.sql.DriverManager.getConnection(f"{url};shutdown=true")
+        except Py4JJavaError as e:  # how it says that it ended
+            if e.java_exception.getSQLState() != "08006":
+                raise
+    with zipfile.ZipFile(f"{at}/{name}.jar", "w") as z:
+        for top, _, names in os.walk(f"{at}/{name}"):
+            for x in names:
+                z.write(os.path.join(top, x), os.path.relpath(os.path.join(top, x), at))
+    shutil.rmtree(f"{at}/{name}")
+    os.remove(f"{at}/rows.csv")
+
+
 def rows(spark: SparkSession, data: list[tuple], schema: str) -> DataFrame:
     """An in-memory source."""
     return spark.createDataFrame(data, schema)

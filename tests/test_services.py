@@ -9,14 +9,16 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from orrery.client import RemoteConnection
 from orrery.cluster import Membership, gather
 from orrery.operators.querysets import SSB
+from orrery.operators.services import SERVICES
 from orrery.plans.intervals import as_of_join, interval_join
 from orrery.plans.rewrite import rewrite
 from orrery.runtime import Engine
 from orrery.server import query_server
-from orrery.sources.catalog import FactTable, register
+from orrery.sources.catalog import FactTable, archived, read_jdbc, register
 from orrery.sources.shared import fingerprint, shared_folder
 from orrery.sources.star import lineorder, register_star, store
 
@@ -101,6 +103,52 @@ def test_changed_files_are_seen(spark, tmp_path):
     assert os.path.isdir(shared_folder(spark).removeprefix("file:"))
 
 
+def test_jdbc_ranges_of_odd_tables(spark):
+    spark = spark.newSession()  # its nation is its own
+    for data in ([], [(7, 1)], [(None, None)], [(-2147483648, 1), (2147483647, 2), (0, None), (None, 2), (None, 2)]):
+        spark.createDataFrame(data, "n_nationkey int, n_regionkey int").createOrReplaceTempView("nation")
+        got = SERVICES["jdbc_scan"][0](spark)
+        assert rows(got) == sorted(data, key=repr) and got.dtypes == [("n_nationkey", "int"), ("n_regionkey", "int")]
+    one = spark.createDataFrame([(i * 3_000_000_000,) for i in range(9)] + [(None,)], "k bigint")
+    assert rows(read_jdbc(spark, archived(spark, one, "t"), "t")) == rows(one)
+
+
+def test_jdbc_scan_makes_no_star_table(spark, monkeypatch):
+    def made(*_):
+        raise AssertionError("the scan reads nation only")
+
+    monkeypatch.setattr(entry, "register_star", made)
+    s = spark.newSession()
+    assert rows(entry.queries()["jdbc_scan"](s, D)) == rows(s.sql(entry.oracle_sql()["jdbc_scan"]))
+
+
+CLUSTER = f"""
+import os, sys
+sys.path.insert(0, {ROOT!r})
+import pyspark
+from pyspark.sql import SparkSession
+home = sys.argv[1]  # executors work in a folder of Spark's home
+for x in os.listdir(os.path.dirname(pyspark.__file__)):
+    if x != "work":
+        os.symlink(os.path.join(os.path.dirname(pyspark.__file__), x), os.path.join(home, x))
+os.environ |= {{"SPARK_HOME": home, "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1"}}
+spark = SparkSession.builder.master("local-cluster[2,2,1024]").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.scheduler.minRegisteredResourcesRatio", "1").getOrCreate()
+from orrery.operators.services import SERVICES
+spark.read.parquet({D!r} + "/nation.parquet").createOrReplaceTempView("nation")
+want = sorted(map(tuple, spark.sql(SERVICES["jdbc_scan"][1]).collect()))
+for _ in range(2):
+    found = SERVICES["jdbc_scan"][0](spark)
+    assert found.rdd.getNumPartitions() == 4 and sorted(map(tuple, found.collect())) == want and len(want) == 25
+print("equal")
+spark.stop()
+"""
+
+
+def test_jdbc_scan_where_executors_are_other_processes(tmp_path):
+    out = subprocess.run([sys.executable, "-c", CLUSTER, str(tmp_path)], capture_output=True, text=True, timeout=300)
+    assert "equal" in out.stdout, out.stderr
+
+
 def test_gather():
     def late(attempt):
         if not attempt:
