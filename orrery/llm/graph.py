@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.store import Table
+from orrery.llm.store import Table, gathered
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     plain = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).dropna()
-    nodes = Table(plain.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    nodes = Table(gathered(plain.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), "edges")
     now, state = nodes, None
     while True:
         links = now.frame().filter("u != v")
@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         near = _least(large)
         small = near.select("u", F.col("m").alias("v")).union(near.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        after = Table(small, "edges")
+        after = Table(gathered(small), "edges")
         got = after.frame().agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
         if now is not nodes:
             now.drop()

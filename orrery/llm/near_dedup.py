@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm.graph import components
-from orrery.llm.store import Table, fresh, integral, only, release, written
+from orrery.llm.store import Table, fresh, gathered, integral, only, release, written
 from orrery.llm.textops import LOWER, NOT_SPACE, U64, blocks, hash_spans, mix, runs, text_bytes
 
 
@@ -356,13 +356,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 
     def held(df: DataFrame, name: str) -> DataFrame:
         """A table that goes once the components are known."""
-        passing.append(Table(df, name))
+        passing.append(Table(gathered(df), name))
         return passing[-1].frame()
 
-    rows = written(sketches(docs, key, text, s), "sketch")
+    rows = written(gathered(sketches(docs, key, text, s)), "sketch")
     # written, so that the joins have an exchange on either side, whose hot partitions can be split
     sets = held(rows.filter("n > 0 and doc is not null").groupBy("set_a", "set_b").agg(F.min("doc").alias("least")), "sets")
-    same = written(rows.filter("n > 0 and doc is not null").select("doc", "set_a", "set_b").join(sets, ["set_a", "set_b"]).select("doc", "least"), "classes")
+    same = written(gathered(rows.filter("n > 0 and doc is not null").select("doc", "set_a", "set_b").join(sets, ["set_a", "set_b"]).select("doc", "least")), "classes")
     least = same.filter("doc = least").select("doc").distinct()
     reps = held(rows.filter("n > 0").join(least, "doc", "left_semi").dropDuplicates(["doc", "set_a", "set_b"]), "representatives")
     buckets = reps.select(F.explode("bands").alias("band"), "doc")
@@ -398,7 +398,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     final = same.join(first.select(F.col("node").alias("least"), "component"), "least", "left").select("doc", F.coalesce("component", "least").alias("component"))
     final = final.join(second.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").select("doc", F.coalesce("joined", "component").alias("component"))
     # a key with several rows: their least component
-    final = written(final.groupBy("doc").agg(F.min("component").alias("component")), "components")
+    final = written(gathered(final.groupBy("doc").agg(F.min("component").alias("component"))), "components")
     for t in passing:
         t.drop()
     component = F.coalesce("component", "doc")
@@ -414,4 +414,4 @@ def dedup_stage(docs: DataFrame) -> DataFrame:
     """The documents of which each group of near copies keeps one (five-word shingles)."""
     (name,) = fresh(docs.columns, "drop")
     drop = near_duplicates(docs).filter("not kept").select(F.col("doc").alias(name)).distinct()
-    return docs.join(drop, docs["doc_id"].cast("long") == drop[name], "left_anti")
+    return gathered(docs.join(drop, docs["doc_id"].cast("long") == drop[name], "left_anti"))

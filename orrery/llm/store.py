@@ -12,8 +12,14 @@ from pyspark.sql import types as T
 from orrery.sources.shared import hadoop_path, shared_folder
 
 
+#: Bytes after which a batch for a Python worker ends, unless the session says otherwise; Spark's 64 MB take up to three times that of a task in buffers that grow by doubling.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Python workers import this package from where the driver has it."""
+    """Python workers import this package from where the driver has it, and get rows in small batches."""
+    if not spark._jsparkSession.conf().contains(BATCH[0]):
+        spark.conf.set(*BATCH)
     root, known = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
     paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
@@ -38,17 +44,29 @@ def integral(df: DataFrame, key: str) -> Column:
     return F.col(key).cast("long")
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` by fewer tasks, one after the other's partitions: four for each core, or an eighth of the shuffle partitions where that is more.
+
+    Without native code Hadoop starts a process three times for each local file that a task
+    writes, which until it has its own image counts as a second executor.  Not for functions that
+    name their rows by a task's number.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 class Table:
     """A written table: ``frame()`` reads it again, ``drop()`` deletes it.
 
-    Files that are not dropped go when the driver's JVM ends.
+    Files that are not dropped go when the driver's JVM ends.  Row groups are small, so that
+    tasks that write or read large files hold little of them.
     """
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.schema = df.schema
-        df.write.option("compression", "zstd").parquet(self.path)
+        df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(self.path)
         jpath, fs = hadoop_path(self.spark, self.path)
         fs.deleteOnExit(jpath)
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm.deep_shallow import neighbour_lcp, sort_strings, words_of
-from orrery.llm.store import Table, fresh, integral, near, release, split
+from orrery.llm.store import Table, fresh, gathered, integral, near, release, split
 from orrery.llm.textops import U64, blocks, hash_spans, mix, text_bytes, words64
 
 STRETCH, MARK, BEACON = 0, 1, 2
@@ -411,18 +411,18 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", set
     texts = docs.select(integral(docs, key).alias("doc"), F.col(text).cast("binary").alias("text")).filter(F.col("doc").isNotNull() & (F.octet_length("text") >= s.length))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.mapInArrow(_scan(s), COLUMNS).repartition(n, "salt", "gram").sortWithinPartitions("salt", "gram")
-    settled = Table(dealt.mapInArrow(_settle, COLUMNS), "stretches")
+    settled = Table(gathered(dealt.mapInArrow(_settle, COLUMNS)), "stretches")
     marks = settled.frame().filter(F.col("kind") == MARK).select("doc", "lo", "hi")
     open_ = settled.frame().filter(F.col("kind") == STRETCH).select("gram", "doc", "lo", "hi", "at")
     release(docs.sparkSession)
     # written, so that the join has an exchange on either side, whose hot partitions can be split
-    many = Table(open_.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > s.part), "many")
+    many = Table(gathered(open_.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > s.part)), "many")
     parts = F.coalesce(F.ceil(F.col("n") / s.spread), F.lit(1)).cast("long")
     numbered = open_.join(many.frame(), "gram", "left").select("doc", "gram", "lo", "hi", "at", F.col("n").isNotNull().alias("hot"), F.pmod(F.xxhash64("doc", "at"), parts).alias("part"), parts.alias("parts"))
-    wanted = Table(numbered.groupBy("doc").agg(F.collect_list(F.struct("gram", "part", "parts", "hot", "lo", "hi", "at")).alias("wanted")), "wanted")
+    wanted = Table(gathered(numbered.groupBy("doc").agg(F.collect_list(F.struct("gram", "part", "parts", "hot", "lo", "hi", "at")).alias("wanted"))), "wanted")
     release(docs.sparkSession)
     fetched = near(texts, "doc", wanted.frame().select("doc")).join(wanted.frame(), "doc").select("doc", "text", "wanted").mapInArrow(*_contents(s))
-    compared = Table(fetched.repartition(n, "gram", "part").sortWithinPartitions("gram", "part").mapInArrow(*_compare(s)), "windows")
+    compared = Table(gathered(fetched.repartition(n, "gram", "part").sortWithinPartitions("gram", "part").mapInArrow(*_compare(s))), "windows")
     release(docs.sparkSession)
     many.drop()
     wanted.drop()
@@ -480,7 +480,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", settin
     of, spans_, body = fresh(docs.columns, "of", "spans", "body")
     passing: list[Table] = []
     found = repeated_spans(docs, key, text, settings, passing).groupBy(F.col("doc").alias(of))
-    table = Table(found.agg(F.collect_list(F.struct("lo", "hi")).alias(spans_)), "spans")
+    table = Table(gathered(found.agg(F.collect_list(F.struct("lo", "hi")).alias(spans_))), "spans")
     for t in passing:
         t.drop()
     spans = table.frame()
@@ -512,4 +512,4 @@ def repeats_stage(docs: DataFrame, settings: Settings = Settings(length=200, gra
     new = {"text": text}
     if "n_chars" in names:
         new["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.filter(~changed | (F.octet_length(out[3]) > 0)).select(*(new[c].alias(c) if c in new else F.col(c) for c in names))
+    return gathered(cut.filter(~changed | (F.octet_length(out[3]) > 0)).select(*(new[c].alias(c) if c in new else F.col(c) for c in names)))

@@ -1,10 +1,13 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.llm.sharding import jump_column, jump_hash
-from orrery.llm.store import Table, on_workers, only, shared_folder, split, written
+from orrery.llm.near_dedup import near_duplicates
+from orrery.llm.store import BATCH, Table, gathered, on_workers, only, shared_folder, split, written
 
 
 def test_only_is_an_exact_semi_join(spark):
@@ -42,3 +45,46 @@ def test_jump_column(spark):
     on_workers(spark)
     df = spark.createDataFrame([(1,), (None,), (-5,)], "k long")
     assert [r.s for r in df.select(jump_column("k", 24).alias("s")).collect()] == jump_hash(np.array([1, 0, -5]), 24).tolist()
+
+
+def _sizes(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["rows", "size"])
+
+
+def test_workers_get_small_batches(spark):
+    asked = spark._jsparkSession.conf().contains(BATCH[0]) and spark.conf.get(BATCH[0])
+    spark.conf.unset(BATCH[0])
+    on_workers(spark)
+    long = spark.range(0, 5000, 1, 1).select(F.repeat(F.lit("x"), 8000).alias("text"))  # 40 MB in one partition
+    got = long.mapInArrow(_sizes, "rows long, size long").collect()
+    assert sum(r.rows for r in got) == 5000 and max(r.size for r in got) < 10 << 20
+    spark.conf.set(BATCH[0], "1000000b")
+    on_workers(spark)
+    assert spark.conf.get(BATCH[0]) == "1000000b"
+    spark.conf.set(*(BATCH if not asked else (BATCH[0], asked)))
+
+
+def test_tables_of_many_partitions_have_few_files(spark, monkeypatch):
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    files, write = {}, Table.__init__
+
+    def counted(self, df, name):
+        write(self, df, name)
+        files[self.path] = sum(f.startswith("part-") for f in os.listdir(self.path.removeprefix("file:")))
+
+    monkeypatch.setattr(Table, "__init__", counted)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        words = [f"w{i}" for i in range(30)]
+        docs = spark.createDataFrame([(i, " ".join(words[i % 25 :] + [f"d{i % 150}"] * 6)) for i in range(300)], "doc_id long, text string")
+        got = {r.doc: r.component_id for r in near_duplicates(docs).collect()}
+        assert got == {i: got[i % 150] for i in range(300)} and all(got[i] <= i for i in got)
+        assert len(files) > 10 and max(files.values()) <= 4 * spark.sparkContext.defaultParallelism
+        wide = spark.range(0, 1000, 1, 64)
+        assert gathered(wide).rdd.getNumPartitions() == 16 and sorted(r.id for r in gathered(wide).collect()) == list(range(1000))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
